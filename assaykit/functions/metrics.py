@@ -42,11 +42,10 @@ class Context:
 
 
 def context_of(preds: DataFrame, weight: str | None = None) -> Context:
-    """Positive class (the largest true label), number of labels up to three, probability column."""
-    few = preds.select("y_true").filter("y_true is not null").distinct()
-    row = preds.agg(F.max("y_true"), F.min("y_true")).first()
-    n = few.limit(3).count()
-    return Context(row[0], row[1], n, positive_proba(preds.columns), weight)
+    """Positive class (the largest true label), number of labels, probability column."""
+    labels = preds.select("y_true").filter("y_true is not null").distinct()
+    row = labels.agg(F.max("y_true"), F.min("y_true"), F.count("*")).first()
+    return Context(row[0], row[1], row[2], positive_proba(preds.columns), weight)
 
 
 @dataclass(frozen=True)

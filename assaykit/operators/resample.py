@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import poisson_weight, replica_coefficients, replica_value, slot, uniform
+from ..functions.hashing import poisson_cuts, poisson_weight, replica_coefficients, replica_value, slot, uniform
 from ..functions.metrics import SCORE_CELLS, Context, Metric, RankMetric, context_of
 from .align import Aligned, align
 
@@ -43,15 +43,26 @@ def coarse_scores(preds: DataFrame, column: str, cells: int = SCORE_CELLS) -> Da
     return binned.withColumn(column, F.col("_rank_bin")).drop("_rank_bin")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out over all cores before its rows are multiplied.
+
+    An explicit partition number is kept by adaptive execution, which would otherwise pack a small
+    table into one task.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted)
+
+
 def replicate(cells: DataFrame, sums: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Every cell once per replica, sums multiplied with the unit's weight; zero weights dropped."""
     keep = [c for c in cells.columns if c not in sums]
     return (
-        cells.withColumn("_coef", replica_coefficients(F.col("_unit"), f"boot{seed}"))
+        spread(cells.withColumn("_coef", replica_coefficients(F.col("_unit"), f"boot{seed}")))
         .withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
         .withColumn("_v", replica_value(F.col("_coef"), F.col("replica").cast("bigint")))
+        .filter(F.col("_v") >= poisson_cuts()[0])
         .withColumn("_draw", poisson_weight(F.col("_v")))
-        .filter("_draw > 0")
         .select(*keep, "replica", *[(F.col(s) * F.col("_draw")).alias(s) for s in sums])
     )
 

@@ -306,7 +306,11 @@ def _k():
 
 
 def runs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", _k())
     t = F.col("event_type")
     kind = F.when(t == "signup", "baseline").when(t == "error", "forensics").otherwise("experiment")
     status = F.when(F.col("k") % 33 == 1, "running").when(F.col("k") % 10 == 0, "abandoned").otherwise("finished")
