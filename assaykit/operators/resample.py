@@ -242,21 +242,22 @@ def stratified_kfold(
 
 
 def shuffle_column(
-    df: DataFrame, column: str, out: str, key: str = "row_id", salt: str = "shuffle", slots: int | None = None
+    df: DataFrame, column: str, salts: dict[str, str], key: str = "row_id", slots: int | None = None
 ) -> DataFrame:
-    """Permute a column: every row takes the value of its successor in a random cyclic order.
+    """Permuted copies of a column: each row takes the value of its successor in a random cycle.
 
-    The order is cut into hash slots of bounded size, so counts of values are kept exactly and no
-    task sorts more than one slot.
+    ``salts`` maps each output column to the salt of its order. Orders are cut into hash slots of
+    bounded size: counts of values are kept exactly, no task sorts more than one slot, and all
+    copies share one shuffle.
     """
     slots = slots or slots_for(df)
-    tagged = df.withColumn("_slot", slot(F.col(key), slots, f"{salt}-slot")).withColumn(
-        "_u", uniform(F.col(key), salt)
-    )
-    ring = Window.partitionBy("_slot").orderBy("_u", key)
-    last = F.lead(F.lit(True)).over(ring).isNull()
-    moved = F.when(last, F.first(column).over(ring)).otherwise(F.lead(column).over(ring))
-    return tagged.withColumn(out, moved).drop("_slot", "_u")
+    out = df.withColumn("_slot", slot(F.col(key), slots, "ring"))
+    for name, salt in salts.items():
+        out = out.withColumn("_u", uniform(F.col(key), salt))
+        ring = Window.partitionBy("_slot").orderBy("_u", key)
+        last = F.lead(F.lit(True)).over(ring).isNull()
+        out = out.withColumn(name, F.when(last, F.first(column).over(ring)).otherwise(F.lead(column).over(ring)))
+    return out.drop("_slot", "_u")
 
 
 def learning_sizes(df: DataFrame, sizes: Sequence[float], key: str = "row_id", seed: int = 0) -> DataFrame:

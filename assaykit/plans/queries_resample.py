@@ -160,33 +160,38 @@ def kfold(spark, sf):
     return r.kfold(v.noisy(spark, sf).select("row_id"), 5)
 
 
-SLOTS = 4
+def slots_sql(view: str, rows: int = r.ROWS_PER_SLOT) -> str:
+    return f"(SELECT greatest(1, ceil(count(*) / {rows}.0::DOUBLE))::BIGINT FROM {view})"
 
 
-def strat_sql(view: str, label: str, k: int = 5, slots: int = SLOTS, seed: int = 0) -> str:
-    """Folds with a fixed number of hash slots, for inputs whose smallest class is at least ``k``."""
+def strat_sql(view: str, label: str, k: int = 5, seed: int = 0) -> str:
+    """Folds for inputs without missing labels whose smallest class has at least ``k`` rows."""
     return f"""SELECT *, ((row_number() OVER (PARTITION BY {label}, _slot ORDER BY _u, row_id) - 1 + _slot) % {k})::BIGINT AS fold
-      FROM (SELECT *, {v.h_sql('row_id', f'strat{seed}')} % {slots} AS _slot, {v.u_sql('row_id', f'fold{seed}')} AS _u FROM {view})"""
+      FROM (SELECT *, {v.h_sql('row_id', f'strat{seed}')} % {slots_sql(view)} AS _slot, {v.u_sql('row_id', f'fold{seed}')} AS _u FROM {view})"""
 
 
 @query("stratified_kfold", ("quality",), f"SELECT row_id, quality, fold FROM ({strat_sql('quality', 'quality')})")
 def stratified_kfold(spark, sf):
     q = v.quality(spark, sf).select("row_id", "quality")
-    return r.stratified_kfold(q, "quality", 5, slots=SLOTS).select("row_id", "quality", "fold")
+    return r.stratified_kfold(q, "quality", 5).select("row_id", "quality", "fold")
 
 
-def ring_sql(view: str, column: str, out: str, salt: str, slots: int = SLOTS) -> str:
-    """``view`` with ``out`` = ``column`` of the next row in hash order, the last taking the first's."""
-    return f"""SELECT * EXCLUDE (_slot, _u), coalesce(
-        lead({column}) OVER w, first_value({column}) OVER w) AS {out}
-      FROM (SELECT *, {v.h_sql('row_id', f'{salt}-slot')} % {slots} AS _slot, {v.u_sql('row_id', salt)} AS _u FROM {view})
-      WINDOW w AS (PARTITION BY _slot ORDER BY _u, row_id)"""
+def ring_sql(view: str, column: str, salts: dict[str, str]) -> str:
+    """``view`` plus copies of ``column``, each taken from the next row in a hash order; the last row takes the first's."""
+    us = ", ".join(f"{v.u_sql('row_id', salt)} AS _u{i}" for i, salt in enumerate(salts.values()))
+    outs = ", ".join(
+        f"coalesce(lead({column}) OVER w{i}, first_value({column}) OVER w{i}) AS {out}" for i, out in enumerate(salts))
+    wins = ", ".join(f"w{i} AS (PARTITION BY _slot ORDER BY _u{i}, row_id)" for i in range(len(salts)))
+    drop = ", ".join(["_slot", *[f"_u{i}" for i in range(len(salts))]])
+    return f"""SELECT * EXCLUDE ({drop}), {outs} FROM (
+      SELECT *, {v.h_sql('row_id', 'ring')} % {slots_sql(view)} AS _slot, {us} FROM {view}) WINDOW {wins}"""
 
 
-@query("shuffle_labels", ("noisy",), f"SELECT row_id, y, y1 FROM ({ring_sql('noisy', 'y', 'y1', 'shuffle1')})")
+@query("shuffle_labels", ("noisy",),
+       f"SELECT row_id, y, y1, y2 FROM ({ring_sql('noisy', 'y', {'y1': 'labels1', 'y2': 'labels2'})})")
 def shuffle_labels(spark, sf):
     d = v.noisy(spark, sf).select("row_id", "y")
-    return r.shuffle_column(d, "y", "y1", salt="shuffle1", slots=SLOTS)
+    return r.shuffle_column(d, "y", {"y1": "labels1", "y2": "labels2"})
 
 
 SIZES = (0.2, 0.36, 0.52, 0.68, 0.84, 1.0)
