@@ -44,7 +44,11 @@ def signal_check(prep: Prepared, shuffles: int = 3, salt: str = "labels") -> Dat
     ])
     long = scored.select("fold", F.explode(copies).alias("s")).select("fold", "s.*")
     folds = grouped_score(long, ["replica", "fold"], prep.binary)
-    scores = folds.groupBy("replica").agg(F.avg("value").alias("score"))
+    return signal_summary(folds.groupBy("replica").agg(F.avg("value").alias("score")))
+
+
+def signal_summary(scores: DataFrame) -> DataFrame:
+    """From (replica, score), replica 0 being the real labels."""
     real = F.max(F.when(F.col("replica") == 0, F.col("score")))
     fake = F.when(F.col("replica") > 0, F.col("score"))
     spread = F.when(F.stddev_pop(fake) > 0, F.stddev_pop(fake)).otherwise(F.lit(1e-6))
@@ -308,7 +312,8 @@ def verdict(
 def forensics_table(prep: Prepared, dataset: DataFrame, features: Sequence[str], target: str, quick: bool = False) -> DataFrame:
     """The whole battery as (item, key, value) rows of text."""
     counts = label_counts(prep)
-    signal = signal_check(prep, 2 if quick else 3).cache()
+    signal = signal_check(prep, 2 if quick else 3)
+    signal = prep.rows.sparkSession.createDataFrame([signal.first()], signal.schema)
     has_signal = bool(signal.first()["has_signal"])
     noise = label_noise(flag_issues(out_of_fold(prep), len(prep.classes)), has_signal)
     conflicts = conflict_rate(dataset, features, target)

@@ -32,16 +32,16 @@ class Prepared:
 
     rows: DataFrame
     binner: Binner
-    classes: list[str]
+    classes: list[str] | None
     k: int
 
     @property
     def binary(self) -> bool:
-        return len(self.classes) == 2
+        return self.classes is not None and len(self.classes) == 2
 
     @property
     def scoring(self) -> str:
-        return "roc_auc" if self.binary else "accuracy"
+        return "r2" if self.classes is None else "roc_auc" if self.binary else "accuracy"
 
 
 def prepare(
@@ -57,7 +57,7 @@ def prepare(
         raise ValueError("no usable features after encoding")
     smallest = coded.groupBy("y").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
     k = max(2, min(k, smallest))
-    narrow = coded.select("row_id", "y", binner.cells().alias("cells"), *keep)
+    narrow = binner.apply(coded, ["row_id", "y", *keep])
     folded = stratified_kfold(narrow, "y", k, seed=seed, slots=slots)
     return Prepared(cut_lineage(folded), binner, classes, k)
 

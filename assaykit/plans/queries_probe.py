@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import known_metric
-from ..operators import align, combos, featurize, forensics, learners, models
+from ..operators import align, combos, featurize, forensics, learners, models, regression
 from ..operators import diagnose as d
 from ..operators.resample import noise_floor
+from ..session import cut_lineage
 from . import views as v
 from .catalog import query
 from .queries_resample import ring_sql, strat_sql
@@ -471,7 +472,7 @@ def _vectors(spark, sf):
           votes AS (SELECT row_id, label, count(*) AS c FROM near, n WHERE r <= k GROUP BY ALL)
           SELECT row_id, max(c) / (SELECT k FROM n) AS share FROM votes GROUP BY row_id""", ("share",))
 def knn_predict(spark, sf):
-    rows = _vectors(spark, sf).cache()
+    rows = cut_lineage(_vectors(spark, sf))
     k = models.neighbours_wanted(rows.count())
     classes = rows.agg(F.max("y")).first()[0] + 1
     return models.knn_out_of_fold(rows, k, classes).select("row_id", F.array_max("probs").alias("share"))
@@ -511,3 +512,58 @@ def stacked_features(spark, sf):
 @query("fe_probe")
 def fe_probe(spark, sf):
     return combos.fe_probe(v.ratio(spark, sf), "y", list(XS), top_k=3)
+
+
+# --- numeric targets ------------------------------------------------------------------------------
+
+_KFOLDS = f"(SELECT *, floor({v.u_sql('row_id', 'fold0')} * 5)::BIGINT AS fold FROM number_target)"
+REG_LONG = f"""folds AS MATERIALIZED {_KFOLDS},
+  edges_ AS (SELECT {", ".join(f"list_sort(list_distinct(quantile_cont({c}, [{PROBES}]))) AS e_{c}" for c in ("x1", "x2"))} FROM number_target),
+  long_ AS MATERIALIZED ({" UNION ALL ".join(
+      f"SELECT row_id, fold, '{c}' AS f, len([e FOR e IN e_{c} IF e < {c}]) AS b FROM folds, edges_" for c in ("x1", "x2"))}),
+  shuffled AS ({ring_sql('(SELECT row_id, y, fold FROM folds)', 'y', LABELS)}),
+  labs AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {i} AS rep, row_id, fold, y{'' if i == 0 else i} AS lab FROM shuffled" for i in range(4))}),
+  fs AS (SELECT DISTINCT fold FROM folds),
+  own AS (SELECT rep, l.fold, f, b, count(*) AS n, sum(lab) AS s FROM labs l JOIN long_ USING (row_id) GROUP BY ALL),
+  tot AS (SELECT rep, f, b, sum(n) AS n, sum(s) AS s FROM own GROUP BY ALL),
+  mean_ AS (SELECT rep, fs.fold, avg(lab) FILTER (labs.fold <> fs.fold) AS m FROM labs, fs GROUP BY ALL),
+  w AS MATERIALIZED (SELECT tot.rep, m.fold, tot.f, tot.b, m.m AS prior,
+      (tot.s - coalesce(own.s, 0) - (tot.n - coalesce(own.n, 0)) * m.m) / (tot.n - coalesce(own.n, 0) + 1) AS wt
+    FROM tot JOIN mean_ m ON m.rep = tot.rep
+    LEFT JOIN own ON own.rep = tot.rep AND own.fold = m.fold AND own.f = tot.f AND own.b = tot.b),
+  scored AS (SELECT l.rep, l.fold, any_value(lab) AS y, any_value(prior) + sum(wt) AS s FROM labs l JOIN long_ g USING (row_id)
+    JOIN w ON w.rep = l.rep AND w.fold = l.fold AND w.f = g.f AND w.b = g.b GROUP BY l.rep, l.fold, row_id),
+  line AS (SELECT a.rep, fs.fold, regr_slope(y, s) FILTER (a.fold <> fs.fold) AS slope, regr_intercept(y, s) FILTER (a.fold <> fs.fold) AS icept
+    FROM scored a, fs GROUP BY ALL),
+  r2 AS (SELECT rep, fold, 1 - sum((y - icept - slope * s) ** 2) / (var_pop(y) * count(*)) AS value FROM scored JOIN line USING (rep, fold) GROUP BY ALL),
+  means AS (SELECT rep, avg(value) AS s FROM r2 GROUP BY rep),
+  one AS (SELECT max(s) FILTER (rep = 0) AS score_real, avg(s) FILTER (rep > 0) AS score_shuffled_mean,
+    stddev_pop(s) FILTER (rep > 0) AS score_shuffled_std FROM means)"""
+
+
+@query("signal_check_reg", ("number_target",),
+       f"""WITH {REG_LONG} SELECT *, score_real - score_shuffled_mean AS gap, true AS has_signal, 'high' AS confidence FROM one""", _SIGNAL)
+def signal_check_reg(spark, sf):
+    return regression.signal_check(regression.prepare_regression(v.number_target(spark, sf), "y", ["x1", "x2"]))
+
+
+@query("learning_curve_reg")
+def learning_curve_reg(spark, sf):
+    return regression.learning_curve(regression.prepare_regression(v.number_target(spark, sf), "y", ["x1", "x2"]))
+
+
+@query("paired_gain_reg")
+def paired_gain_reg(spark, sf):
+    data = v.number_target(spark, sf).withColumn("x3", F.col("x1") - F.col("x2"))
+    prep = regression.prepare_regression(data, "y", ["x1", "x2", "x3"])
+    return combos.paired_gain(regression.fold_gains(prep, ["x1"], {"x2": ["x2"], "diff": ["x3"]}))
+
+
+@query("feature_signal_reg", ("number_target",),
+       f"""WITH edges AS (SELECT list_sort(list_distinct(quantile_cont(y, [{", ".join(f"{i}/10.0::DOUBLE" for i in range(1, 10))}]))) AS e FROM number_target),
+          nt AS (SELECT row_id, x1, x2, len([q FOR q IN e IF q < y]) AS y FROM number_target, edges), {long_sql('nt', ('x1', 'x2'))}, {MI}
+          SELECT feature, mutual_info, row_number() OVER (ORDER BY mutual_info DESC, feature) AS rank, mutual_info > 0.01 AS informative FROM mi""",
+       ("mutual_info",))
+def feature_signal_reg(spark, sf):
+    binned = regression.target_classes(v.number_target(spark, sf), "y")
+    return forensics.feature_signal(learners.prepare(binned, "target_bin", ["x1", "x2"]))

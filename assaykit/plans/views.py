@@ -242,6 +242,16 @@ def nosignal(spark, sf_dir):
 SQL["nosignal"] = (f"SELECT row_id, x1, x2, ({u_sql('row_id', 'd')} < 0.5)::BIGINT AS y FROM noisy", ("noisy",))
 
 
+def number_target(spark, sf_dir):
+    """Two uniform features and a noisy number that depends on both."""
+    d = noisy(spark, sf_dir).select("row_id", "x1", "x2")
+    return d.withColumn("y", 3 * F.col("x1") - 2 * F.col("x2") * F.col("x2") + u("row_id", "e"))
+
+
+SQL["number_target"] = (
+    f"SELECT row_id, x1, x2, 3 * x1 - 2 * x2 * x2 + {u_sql('row_id', 'e')} AS y FROM noisy", ("noisy",))
+
+
 def ratio(spark, sf_dir):
     """Six log-uniform features, label x1 / x2 > 1."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
