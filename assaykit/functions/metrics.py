@@ -36,16 +36,20 @@ class Context:
     n_labels: int = 2
     proba: str | None = None
     weight: str | None = None
+    n_scores: int | None = None
 
     def is_positive(self, column: str) -> Column:
         return F.col(column) == F.lit(self.positive)
 
 
 def context_of(preds: DataFrame, weight: str | None = None) -> Context:
-    """Positive class (the largest true label), number of labels, probability column."""
-    labels = preds.select("y_true").filter("y_true is not null").distinct()
-    row = labels.agg(F.max("y_true"), F.min("y_true"), F.count("*")).first()
-    return Context(row[0], row[1], row[2], positive_proba(preds.columns), weight)
+    """Positive class (the largest true label), number of labels, probability column and about how
+    many distinct scores it has (per label, added up): one pass."""
+    proba = positive_proba(preds.columns)
+    scores = F.approx_count_distinct(F.col(proba), 0.02) if proba else F.lit(0)
+    labels = preds.filter("y_true is not null").groupBy("y_true").agg(scores.alias("n"))
+    row = labels.agg(F.max("y_true"), F.min("y_true"), F.count("*"), F.sum("n")).first()
+    return Context(row[0], row[1], row[2], proba, weight, row[3] if proba else None)
 
 
 @dataclass(frozen=True)

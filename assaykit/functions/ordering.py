@@ -110,19 +110,22 @@ def exact_quantiles(
     df: DataFrame,
     probabilities: dict[str, Sequence[float]],
     direct_cells: int = DIRECT_QUANTILE_CELLS,
+    n_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several columns (missing values ignored).
 
     ``percentile`` keeps every distinct value of a column in one buffer, so it is used only while
     rows x columns stay below ``direct_cells``. Beyond that, each wanted rank is bracketed with a
     mergeable sketch, only the values inside the bracket are counted, and the bracket is narrowed
-    again until it is small.
+    again until it is small. A caller that knows the number of rows saves the counting pass.
     """
     columns = list(probabilities)
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    if sum(counts) <= direct_cells:
+    direct = n_rows is not None and n_rows * len(columns) <= direct_cells
+    if not direct:
+        counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    if direct or sum(counts) <= direct_cells:
         row = df.agg(
             *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probabilities[c]]))
               .alias(f"q{i}") for i, c in enumerate(columns)]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import lookup_join
+from ..session import cut_lineage
 
 MIN_COMMON_ROWS = 50
 MIN_COMMON_FRACTION = 0.6
@@ -78,14 +79,15 @@ def side_by_side(preds: DataFrame, runs: Sequence[str], columns: Sequence[str])
 
 
 def align(preds: DataFrame, runs: Sequence[str], columns: Sequence[str] | None = None) -> Aligned:
-    """Rows present exactly once in all ``runs``, with the overlap rule's counts."""
+    """Rows present exactly once in all ``runs``, with the overlap rule's counts.
+
+    The shuffled rows are written once: the counts and every later score read them back.
+    """
     columns = tuple(columns or [c for c in preds.columns if c not in ("run_id", "row_id")])
-    table = side_by_side(preds, runs, columns)
+    table = cut_lineage(side_by_side(preds, runs, columns))
     flags = [F.col(f"_in{i}") for i in range(len(runs))]
     in_all = reduce(lambda a, b: a & b, [f == 1 for f in flags])
-    counts = side_by_side(preds, runs, ()).agg(
-        F.count_if(in_all), *[F.sum(f) for f in flags]
-    ).first()
+    counts = table.agg(F.count_if(in_all), *[F.sum(f) for f in flags]).first()
     wide = table.filter(in_all).drop(*[f"_in{i}" for i in range(len(runs))])
     return Aligned(wide, tuple(runs), columns, counts[0], min(c or 0 for c in counts[1:]))
 

@@ -198,7 +198,9 @@ def residual_stats(preds: DataFrame) -> DataFrame:
     """Bias, spread and correlation of error size with the prediction; flags for the first and last."""
     y, p = F.col("y_true").cast("double"), F.col("y_pred").cast("double")
     gap = y - p
-    corr = F.when(F.count(gap) > 2, F.corr(p, F.abs(gap)))
+    # corr() itself fails on a column without spread
+    spread = F.stddev_pop(p) * F.stddev_pop(F.abs(gap))
+    corr = F.when((F.count(gap) > 2) & (spread > 0), F.covar_pop(p, F.abs(gap)) / spread)
     out = preds.agg(
         F.count(gap).alias("n"), F.avg(gap).alias("bias"), F.stddev_pop(gap).alias("residual_std"),
         F.coalesce(F.nanvl(corr, F.lit(0.0)), F.lit(0.0)).alias("heteroscedasticity_corr"),

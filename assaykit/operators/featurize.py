@@ -57,6 +57,28 @@ def one_hot(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> t
     return df.select(*rest, *indicators), [c for c in columns if c not in levels]
 
 
+def class_sizes(df: DataFrame, target: str) -> list[tuple[object, int]]:
+    """(class, rows) in the order of the classes; one grouped pass, refused beyond MAX_CLASSES."""
+    found = (
+        df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))
+        .limit(MAX_CLASSES + 1).collect()
+    )
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {target}")
+    return sorted((r[0], r[1]) for r in found)
+
+
+def encode_classes(df: DataFrame, target: str, classes: Sequence[object]) -> DataFrame:
+    """Add ``y``, the position of the row's class; rows without a class are dropped."""
+    labelled = df.filter(F.col(target).isNotNull())
+    if len(classes) <= 64:
+        values = F.array(*[F.lit(value) for value in classes]).cast(T.ArrayType(df.schema[target].dataType))
+        return labelled.withColumn("y", (F.array_position(values, F.col(target)) - 1).cast("bigint"))
+    schema = T.StructType([df.schema[target], T.StructField("y", T.LongType())])
+    codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], schema)
+    return lookup_join(labelled, codes, [target], "inner")
+
+
 def encode_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str] | None]:
     """Add ``y`` and drop rows without a usable target.
 
@@ -66,18 +88,8 @@ def encode_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, lis
         # missing fails the test as well, and NaN is larger than any number
         number = F.expr(f"try_cast(`{target}` AS DOUBLE)")
         return df.withColumn("y", number).filter(F.abs("y") < float("inf")), None
-    labelled = df.filter(F.col(target).isNotNull())
-    found = [r[0] for r in labelled.select(target).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {target}")
-    found.sort()
-    if len(found) <= 64:
-        values = F.array(*[F.lit(value) for value in found]).cast(T.ArrayType(df.schema[target].dataType))
-        code = (F.array_position(values, F.col(target)) - 1).cast("bigint")
-        return labelled.withColumn("y", code), [str(v) for v in found]
-    schema = T.StructType([df.schema[target], T.StructField("y", T.LongType())])
-    codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(found)], schema)
-    return lookup_join(labelled, codes, [target], "inner"), [str(v) for v in found]
+    classes = [value for value, _ in class_sizes(df, target)]
+    return encode_classes(df, target, classes), [str(v) for v in classes]
 
 
 def bin_number(value: Column, edges: Sequence[float], first: int = 0) -> Column:
@@ -138,7 +150,8 @@ class Binner:
 
 
 def fit_bins(
-    df: DataFrame, features: Sequence[str], bins: int = BINS, max_encoded: int = MAX_ENCODED
+    df: DataFrame, features: Sequence[str], bins: int = BINS, max_encoded: int = MAX_ENCODED,
+    n_rows: int | None = None,
 ) -> Binner:
     """Quantile bins for numbers (missing = median), levels for short text; the rest is dropped.
 
@@ -148,7 +161,7 @@ def fit_bins(
     text = [c for c in features if c not in numeric]
     probes = [0.5, *[i / bins for i in range(1, bins)]]
     cleaned = df.select(*[_clean(c).alias(c) for c in numeric]) if numeric else df
-    quantiles = exact_quantiles(cleaned, {c: probes for c in numeric})
+    quantiles = exact_quantiles(cleaned, {c: probes for c in numeric}, n_rows=n_rows)
     levels = text_levels(df, text)
     names, dropped, edges, medians, encoded = [], [], {}, {}, 0
     for c in features:

@@ -135,7 +135,7 @@ def noise_confidence(rate: Column, has_signal: bool) -> Column:
 
 
 def label_noise(flagged: DataFrame, has_signal: bool = True) -> DataFrame:
-    rate = F.col("n_flagged") / F.col("n")
+    rate = F.try_divide("n_flagged", "n")
     return flagged.agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged")).select(
         "n", "n_flagged", rate.alias("noise_rate"), noise_confidence(rate, has_signal).alias("confidence"))
 
@@ -174,7 +174,7 @@ def conflict_spread(df: DataFrame, features: Sequence[str], target: str) -> Data
     share = (F.coalesce(F.sum(F.when(F.col("size") > 1, F.col("size"))), F.lit(0)) / F.sum("size")).alias("duplicate_fraction")
     parts = groups.agg(F.sum("size").alias("n"), share, inside).withColumn("_k", F.lit(0))
     overall = df.agg(F.stddev_pop(y).alias("overall_std")).withColumn("_k", F.lit(0))
-    return parts.join(overall, "_k").drop("_k").withColumn("relative", F.col("within_std") / F.col("overall_std"))
+    return parts.join(overall, "_k").drop("_k").withColumn("relative", F.try_divide("within_std", "overall_std"))
 
 
 def duplicate_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import Context, known_metric
 from ..session import cut_lineage
-from .featurize import Binner, encode_target, fit_bins
+from .featurize import Binner, class_sizes, encode_classes, fit_bins
 from .resample import shuffle_column, stratified_kfold
 
 MAX_MODEL_CELLS = 20_000_000
@@ -49,17 +49,19 @@ def prepare(
     keep: Sequence[str] = (), slots: int | None = None,
 ) -> Prepared:
     """Encode once and write once; every later pass reads the narrow result."""
-    coded, classes = encode_target(df, target, "classification")
+    sizes = class_sizes(df, target)
+    classes = [value for value, _ in sizes]
     if len(classes) < 2:
         raise ValueError("the target needs at least two classes")
-    binner = fit_bins(coded, list(features), bins)
+    n, smallest = sum(n for _, n in sizes), min(n for _, n in sizes)
+    coded = encode_classes(df, target, classes)
+    binner = fit_bins(coded, list(features), bins, n_rows=n)
     if not binner.names:
         raise ValueError("no usable features after encoding")
-    smallest = coded.groupBy("y").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
     k = max(2, min(k, smallest))
     narrow = binner.apply(coded, ["row_id", "y", *keep])
-    folded = stratified_kfold(narrow, "y", k, seed=seed, slots=slots)
-    return Prepared(cut_lineage(folded), binner, classes, k)
+    folded = stratified_kfold(narrow, "y", k, seed=seed, slots=slots, sizes=[n for _, n in sizes])
+    return Prepared(cut_lineage(folded), binner, [str(c) for c in classes], k)
 
 
 def cell_counts(

@@ -27,14 +27,15 @@ UNITS = 1 << 17
 ROWS_PER_SLOT = 50_000
 
 
-def coarse_scores(preds: DataFrame, column: str, cells: int = SCORE_CELLS) -> DataFrame:
+def coarse_scores(preds: DataFrame, ctx: Context, cells: int = SCORE_CELLS) -> DataFrame:
     """Replace scores by rank bins when there are clearly more than ``cells`` distinct ones.
 
     Only used inside resampling. Within a bin all pairs count half, so a replica's area is off by
     at most half the sum over bins of positives x negatives, relative to all pairs.
     """
-    if preds.agg(F.approx_count_distinct(column, 0.02)).first()[0] <= cells:
+    if ctx.n_scores is not None and ctx.n_scores <= cells:
         return preds
+    column = ctx.proba
     probes = [i / cells for i in range(1, cells)]
     cuts = sorted({float(q) for q in preds.approxQuantile(column, probes, 0.25 / cells)})
     binned = Bucketizer(
@@ -80,7 +81,7 @@ def bootstrap_values(
     by = list(by)
     rank = isinstance(metric, RankMetric)
     if rank:
-        preds = coarse_scores(preds, ctx.proba)
+        preds = coarse_scores(preds, ctx)
     rows = preds.withColumn("_unit", slot(F.col(key), UNITS, f"unit{seed}"))
     cells = metric.cells(rows, [*by, "_unit"], ctx)
     keys, sums = list(metric.cell_keys(ctx)), list(metric.cell_sums(ctx))
@@ -222,15 +223,20 @@ def slots_for(df: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> int:
 
 
 def stratified_kfold(
-    df: DataFrame, label: str, k: int = 5, key: str = "row_id", seed: int = 0, slots: int | None = None
+    df: DataFrame, label: str, k: int = 5, key: str = "row_id", seed: int = 0, slots: int | None = None,
+    sizes: Sequence[int] | None = None,
 ) -> DataFrame:
     """Folds that hold each label evenly; k is lowered to the smallest class, at least two.
 
     Rows are dealt out in hash order inside (label, hash slot); slots hold about
-    ``ROWS_PER_SLOT`` rows, so a frequent label is spread over many tasks.
+    ``ROWS_PER_SLOT`` rows, so a frequent label is spread over many tasks. Known class ``sizes``
+    save the counting pass.
     """
-    sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    total, smallest = sizes.agg(F.sum("n"), F.min("n")).first()
+    if sizes is None:
+        counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+        total, smallest = counts.agg(F.sum("n"), F.min("n")).first()
+    else:
+        total, smallest = sum(sizes), min(sizes)
     k = max(2, min(k, smallest or 2))
     slots = slots or max(1, math.ceil((total or 1) / ROWS_PER_SLOT))
     tagged = df.withColumn("_slot", slot(F.col(key), slots, f"strat{seed}")).withColumn(
