@@ -23,22 +23,27 @@ def lookup_join(
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
     hot_share: float = 1.0 / MAX_HOT_KEYS,
+    row_counts: str | None = None,
 ) -> DataFrame:
     """Join many rows to a lookup table that has at most one row per key.
 
     A lookup of checked small size is broadcast. Otherwise the keys holding more than
     ``hot_share`` of the rows are found with one counting pass: there can be at most
     ``1 / hot_share`` of them, so their part of the lookup is broadcast, and only the remaining
-    keys are shuffled. Supports inner, left, left_semi and left_anti.
+    keys are shuffled. Supports inner, left, left_semi and left_anti. A lookup that already holds
+    the number of rows per key names that column in ``row_counts`` and saves the counting.
     """
     keys = list(keys)
     if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return _join(rows, F.broadcast(lookup), keys, how)
+        return _join(rows, F.broadcast(lookup.drop(row_counts) if row_counts else lookup), keys, how)
     total = rows.count()
-    hot = (
-        rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > max(1.0, total * hot_share)).select(*keys)
+    counts = (
+        rows.groupBy(*keys).agg(F.count("*").alias("_n")) if row_counts is None
+        else lookup.select(*keys, F.col(row_counts).alias("_n"))
     )
+    hot = counts.filter(F.col("_n") > max(1.0, total * hot_share)).select(*keys)
+    if row_counts is not None:
+        lookup = lookup.drop(row_counts)
     hot_keys = F.broadcast(hot)
     hot_part = _join(
         _join(rows, hot_keys, keys, "left_semi"), F.broadcast(_join(lookup, hot_keys, keys, "left_semi")),

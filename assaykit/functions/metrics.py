@@ -77,6 +77,11 @@ class Metric:
         return preds.groupBy(*by, *keys).agg(*sums)
 
 
+def context_for(metric: Metric, preds: DataFrame) -> Context:
+    """Regression metrics need nothing from the table, and its targets are not worth grouping."""
+    return Context() if metric.task == "regression" else context_of(preds)
+
+
 @dataclass(frozen=True)
 class SumMetric(Metric):
     """A formula over plain sums of per-row expressions."""

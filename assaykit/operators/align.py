@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import lookup_join
 from ..session import cut_lineage
 
 MIN_COMMON_ROWS = 50
@@ -110,8 +109,8 @@ def missed_rows(dataset: DataFrame, preds: DataFrame, positive) -> DataFrame:
 
 
 def annotate(slices: DataFrame, meanings: DataFrame) -> DataFrame:
-    """Attach the registered meaning of each feature; slices are few, meanings unique per feature."""
-    return lookup_join(slices, meanings.select("feature", "meaning"), ["feature"], "left")
+    """Attach the registered meaning of each feature (one per feature) to the few slices."""
+    return slices.join(meanings.select("feature", "meaning"), "feature", "left")
 
 
 def unknown_row_ids(preds: DataFrame, dataset: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import uniform
 from ..functions.ordering import exact_quantiles, running_fold
+from ..session import cut_lineage
 from .align import annotate
+from .resample import subsample_rows
 
 MIN_BUCKET = 10
 MAX_SLICED = 30
@@ -32,15 +33,25 @@ def is_number(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 
 
-def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
+def numeric_features(df: DataFrame, features: Sequence[str]) -> list[str]:
+    return [f.name for f in df.schema.fields if f.name in features and is_number(f)]
+
+
+def rough_distinct(columns: Sequence[str]) -> list[Column]:
+    return [F.approx_count_distinct(c, 0.02).alias(f"c{i}") for i, c in enumerate(columns)]
+
+
+def distinct_up_to(
+    df: DataFrame, columns: Sequence[str], limit: int, rough: Sequence[int] | None = None
+) -> dict[str, int]:
     """Distinct values per column, exact up to ``limit`` and ``limit + 1`` beyond.
 
-    A sketch settles the clear cases; exact counting is only done for columns near the limit,
-    whose values are few.
+    A sketch settles the clear cases (``rough``, when the caller has it already); exact counting is
+    only done for columns near the limit, whose values are few.
     """
     if not columns:
         return {}
-    rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    rough = df.agg(*rough_distinct(columns)).first() if rough is None else rough
     near = [c for i, c in enumerate(columns) if rough[i] <= 4 * limit + 20]
     out = dict.fromkeys(columns, limit + 1)
     if near:
@@ -61,8 +72,8 @@ def bucket_by_edges(column: Column, edges: Sequence[float], name: str = "q") ->
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def quartile_buckets(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
-    edges = exact_quantiles(df, {c: QUARTILES for c in columns})
+def quartile_buckets(df: DataFrame, columns: Sequence[str], n_rows: int | None = None) -> dict[str, Column]:
+    edges = exact_quantiles(df, {c: QUARTILES for c in columns}, n_rows=n_rows)
     return {
         c: bucket_by_edges(F.col(c), e) for c, e in edges.items() if e[0] is not None and len(set(e)) > 1
     }
@@ -103,20 +114,22 @@ def top_values_other(df: DataFrame, column: str, top: int = TOP_VALUES) -> DataF
     ).agg(F.sum("n").alias("n"))
 
 
-def slice_cells(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def slice_cells(
+    rows: DataFrame, features: Sequence[str], n_rows: int | None = None, rough: Sequence[int] | None = None
+) -> DataFrame:
     """(feature, bucket, n, error sum) over all sliced features.
 
     Numeric features with more than ten values are cut at their quartiles, all others are counted
     by value, and values outside the most frequent eight are merged into ``(other)`` afterwards.
     """
     features = list(features)[:MAX_SLICED]
-    numeric = [f.name for f in rows.schema.fields if f.name in features and is_number(f)]
-    many = distinct_up_to(rows, numeric, MANY_VALUES)
+    numeric = numeric_features(rows, features)
+    many = distinct_up_to(rows, numeric, MANY_VALUES, rough)
     cut = [c for c in numeric if many[c] > MANY_VALUES]
     by_value = [c for c in features if c not in cut]
     parts = []
     if cut:
-        buckets = quartile_buckets(rows, cut)
+        buckets = quartile_buckets(rows, cut, n_rows)
         pairs = F.array(*[F.struct(F.lit(c).alias("feature"), b.alias("bucket")) for c, b in buckets.items()])
         long = rows.select("error", F.explode(pairs).alias("e"))
         parts.append(long.groupBy("e.feature", "e.bucket").agg(
@@ -133,14 +146,21 @@ def slice_cells(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 def error_slices(
     rows: DataFrame, features: Sequence[str], meanings: DataFrame | None = None, top: int = 8
 ) -> DataFrame:
-    """The segments with the highest error relative to the overall error."""
-    n, overall = rows.agg(F.count("*"), F.avg("error")).first()
+    """The segments with the highest error relative to the overall error.
+
+    The sliced columns are written once: thresholds, edges and counts each read them again, and
+    ``rows`` usually is the result of a join.
+    """
+    features = list(features)[:MAX_SLICED]
+    rows = cut_lineage(rows.select("error", *features))
+    n, overall, *rough = rows.agg(
+        F.count("*"), F.avg("error"), *rough_distinct(numeric_features(rows, features))).first()
     if not n or not overall:
         overall = 0.0
     smallest = max(MIN_BUCKET, int(0.02 * n))
     rate = F.col("total") / F.col("n")
     worse = (
-        slice_cells(rows, features).filter((F.col("n") >= smallest) & (rate > F.lit(overall)))
+        slice_cells(rows, features, n, rough).filter((F.col("n") >= smallest) & (rate > F.lit(overall)))
         .filter(F.lit(overall > 0))
         .select("feature", "bucket", "n", F.round(rate, 4).alias("error"),
                 F.round(rate / F.lit(overall or 1.0), 2).alias("lift"))
@@ -215,12 +235,9 @@ def residual_stats(preds: DataFrame) -> DataFrame:
 
 def residual_sample(preds: DataFrame, rows: int = 2000, seed: int = 0) -> DataFrame:
     """At most ``rows`` points for a residual plot, the same ones every time."""
-    u = uniform(F.col("row_id"), f"residual{seed}")
-    return (
-        preds.withColumn("_u", u).orderBy("_u", "row_id").limit(rows)
-        .select("row_id", F.col("y_pred").alias("prediction"),
-                (F.col("y_true").cast("double") - F.col("y_pred").cast("double")).alias("residual"))
-    )
+    return subsample_rows(preds, rows, seed=seed, salt="residual").select(
+        "row_id", F.col("y_pred").alias("prediction"),
+        (F.col("y_true").cast("double") - F.col("y_pred").cast("double")).alias("residual"))
 
 
 def score_cells(preds: DataFrame, proba: str, positive) -> DataFrame:

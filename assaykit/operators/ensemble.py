@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Context, Metric, context_of
+from ..functions.metrics import Context, Metric, context_for
 from ..functions.ordering import exact_quantiles
 from .align import Aligned, align, label_disagreements
 from .resample import bar_of, paired_std
@@ -95,7 +95,7 @@ def ensemble_probe(
     if label_disagreements(preds, runs).limit(1).count():
         raise ValueError("the runs were scored against different true labels on shared rows")
     rows = pair.long()
-    ctx = context_of(rows)
+    ctx = context_for(metric, rows)
     maximize = metric.higher_is_better if maximize is None else maximize
     sign = 1.0 if maximize else -1.0
     everything = rows.unionByName(ensemble_rows(pair, task, ctx), allowMissingColumns=True)

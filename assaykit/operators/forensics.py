@@ -179,8 +179,8 @@ def conflict_spread(df: DataFrame, features: Sequence[str], target: str) -> Data
 
 def duplicate_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """All rows whose features occur more than once; very frequent groups are handled apart."""
-    repeated = df.groupBy(*features).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return lookup_join(df, repeated, list(features), "left_semi")
+    counts = df.groupBy(*features).agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    return lookup_join(df, cut_lineage(counts), list(features), "left_semi", row_counts="_rows")
 
 
 # --- learning curve, feature signal, leakage -----------------------------------------------------

@@ -8,6 +8,7 @@ scoring is needed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,7 +19,7 @@ from ..functions.ordering import exact_quantiles
 from ..session import cut_lineage
 from .featurize import Binner, encode_target, fit_bins
 from .forensics import SIZES, signal_summary
-from .learners import Prepared, logit, models_frame, with_models
+from .learners import MAX_MODEL_CELLS, Prepared, logit, models_frame, with_models
 from .resample import kfold, learning_sizes, shuffle_column
 
 SUMS = ("n", "s", "y", "ss", "sy", "yy")
@@ -52,6 +53,8 @@ def cell_sums(rows: DataFrame, labels: Sequence[str], by: Sequence[str]) -> Data
 
 def sums_array(table: DataFrame, shape: Sequence[int], keys: Sequence[str], values: Sequence[str]) -> np.ndarray:
     """Grouped sums as an array [*keys, value]; holds no rows."""
+    if math.prod(shape) * len(values) > MAX_MODEL_CELLS:
+        raise ValueError("too many cells for a model")
     out = np.zeros((*shape, len(values)))
     for row in table.collect():
         out[tuple(int(row[k]) for k in keys)] = [row[v] or 0.0 for v in values]

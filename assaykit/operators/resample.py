@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import poisson_cuts, poisson_weight, replica_coefficients, replica_value, slot, uniform
-from ..functions.metrics import SCORE_CELLS, Context, Metric, RankMetric, context_of
+from ..functions.metrics import SCORE_CELLS, Context, Metric, RankMetric, context_for
 from .align import Aligned, align
 
 UNITS = 1 << 17
@@ -109,7 +109,7 @@ def noise_floor(
 
     Groups with too few valid replicas are left out.
     """
-    ctx = ctx or context_of(preds)
+    ctx = ctx or context_for(metric, preds)
     values = bootstrap_values(preds, metric, ctx, by, n_boot, seed)
     ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     stats = values.groupBy(*by).agg(
@@ -161,7 +161,7 @@ def compare_aligned(
     maximize = metric.higher_is_better if maximize is None else maximize
     sign = 1.0 if maximize else -1.0
     rows = pair.long()
-    ctx = ctx or context_of(rows)
+    ctx = ctx or context_for(metric, rows)
     values = metric.finish(metric.cells(rows, ["run_id"], ctx), ["run_id"], ctx)
     pick = lambda run: F.max(F.when(F.col("run_id") == run, F.col("value")))
     points = values.agg(pick(run_a).alias("value_a"), pick(run_b).alias("value_b"))
@@ -206,12 +206,17 @@ def subsample(df: DataFrame, fraction: float, key: str = "row_id", seed: int = 0
     return df.filter(uniform(F.col(key), f"sample{seed}") < fraction)
 
 
-def subsample_rows(df: DataFrame, rows: int, key: str = "row_id", seed: int = 0) -> DataFrame:
-    """Exactly ``rows`` rows with the smallest hashes (all when there are fewer)."""
-    return (
-        df.withColumn("_u", uniform(F.col(key), f"sample{seed}"))
-        .orderBy("_u", key).limit(rows).drop("_u")
-    )
+def subsample_rows(df: DataFrame, rows: int, key: str = "row_id", seed: int = 0, salt: str = "sample") -> DataFrame:
+    """Exactly ``rows`` rows with the smallest hashes (all when there are fewer).
+
+    A hash threshold ten standard deviations above the wanted number goes first: without it every
+    task would send ``rows`` candidates to the final merge.
+    """
+    n = df.count()
+    share = (rows + 10 * math.sqrt(rows) + 10) / max(n, 1)
+    tagged = df.withColumn("_u", uniform(F.col(key), f"{salt}{seed}"))
+    near = tagged.filter(F.col("_u") < share) if share < 1 else tagged
+    return near.orderBy("_u", key).limit(rows).drop("_u")
 
 
 def kfold(df: DataFrame, k: int = 5, key: str = "row_id", seed: int = 0) -> DataFrame:

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Context, LabelMetric, Metric, SumMetric, context_of
+from ..functions.metrics import Context, LabelMetric, Metric, SumMetric, context_for, context_of
 
 
 def metric_value(
     preds: DataFrame, metric: Metric, by: Sequence[str] = (), ctx: Context | None = None
 ) -> DataFrame:
     """``by`` columns and ``value``."""
-    ctx = ctx or context_of(preds)
+    ctx = ctx or context_for(metric, preds)
     by = list(by)
     return metric.finish(metric.cells(preds, by, ctx), by, ctx)
 
@@ -26,7 +26,8 @@ def metrics_table(
 
     All plain-sum metrics share one aggregation; label metrics share the confusion cells.
     """
-    ctx = ctx or context_of(preds)
+    labelled = any(m.task == "classification" for m in metrics)
+    ctx = ctx or (context_of(preds) if labelled else Context())
     by = list(by)
     usable = [m for m in metrics if not (m.needs_proba and ctx.proba is None)]
     plain = [m for m in usable if isinstance(m, SumMetric)]

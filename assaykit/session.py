@@ -27,14 +27,16 @@ def local_session(cores: str = "8", app: str = "assaykit", memory: str = "12g")
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset in a local session
+    (tests on one machine) a temporary folder is made, once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if configured is None:
         configured = sc.getCheckpointDir()
     if configured is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         configured = tempfile.mkdtemp(prefix="assaykit-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
