@@ -12,7 +12,7 @@ from ..functions.joins import lookup_join
 from ..session import cut_lineage
 from .learners import (
     Prepared, arg_max, cell_counts, counts_array, fold_models, grouped_score, log_odds, logit, models_frame,
-    out_of_fold, probabilities, with_models,
+    on_grid, out_of_fold, predicts, with_models,
 )
 from .resample import learning_sizes, shuffle_column
 
@@ -22,10 +22,9 @@ QUICK_SIZES = (0.2, 0.2 + 0.8 / 3, 0.2 + 1.6 / 3, 1.0)
 
 
 def _outcome(logits: Sequence[Column], label: Column) -> list[Column]:
-    probs = probabilities(logits)
     if len(logits) == 1:
-        return [probs.getItem(1).alias("p"), label.alias("y")]
-    return [(arg_max(probs) == label).alias("hit")]
+        return [on_grid(1 / (1 + F.exp(-logits[0]))).alias("p"), label.alias("y")]
+    return [predicts(logits, label).alias("hit")]
 
 
 def signal_check(prep: Prepared, shuffles: int = 3, salt: str = "labels") -> DataFrame:
@@ -108,7 +107,7 @@ def margin_cuts(scored: DataFrame, wanted: np.ndarray) -> dict[tuple[int, int],
     others = F.posexplode("probs").alias("other", "po")
     long = scored.select("y", "probs", others).select(
         "y", F.col("other").cast("bigint").alias("other"),
-        F.round(F.col("po") - F.element_at("probs", (F.col("y") + 1).cast("int")), 4).alias("margin"))
+        on_grid(F.col("po") - F.element_at("probs", (F.col("y") + 1).cast("int"))).alias("margin"))
     cells = long.join(need, ["y", "other"]).groupBy("y", "other", "need", "margin").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("y", "other").orderBy(F.desc("margin")))
     cuts = cells.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < F.col("need"))
@@ -122,7 +121,7 @@ def flag_issues(scored: DataFrame, classes: int) -> DataFrame:
     given = F.element_at("probs", (F.col("y") + 1).cast("int"))
     beyond = F.lit(False)
     for (i, j), cut in cuts.items():
-        margin = F.round(F.col("probs").getItem(j) - given, 4)
+        margin = on_grid(F.col("probs").getItem(j) - given)
         beyond = beyond | ((F.col("y") == i) & (margin >= F.lit(cut)))
     return scored.withColumn("flagged", beyond & (arg_max(F.col("probs")) != F.col("y")))
 

@@ -124,15 +124,28 @@ def logit(slot: int, n_features: int, cells: str = "cells", only: Sequence[int]
     return F.aggregate(chosen, prior, lambda total, cell: total + F.get(weights, cell))
 
 
+def on_grid(value: Column, digits: int = SCORE_DIGITS) -> Column:
+    """Rounded half up in plain arithmetic; ``round`` would build a decimal object per value."""
+    scale = float(10**digits)
+    return F.floor(value * scale + 0.5) / F.lit(scale)
+
+
 def probabilities(logits: Sequence[Column]) -> Column:
     """Class probabilities (array) from logits of classes 1, 2, ... against class 0."""
     if len(logits) == 1:
-        p = F.round(1 / (1 + F.exp(-logits[0])), SCORE_DIGITS)
-        return F.array(F.round(1 - p, SCORE_DIGITS), p)
+        p = on_grid(1 / (1 + F.exp(-logits[0])))
+        return F.array(on_grid(1 - p), p)
     top = F.greatest(F.lit(0.0), *logits)
     parts = [F.exp(-top), *[F.exp(x - top) for x in logits]]
     total = sum(parts[1:], parts[0])
-    return F.array(*[F.round(x / total, SCORE_DIGITS) for x in parts])
+    return F.array(*[on_grid(x / total) for x in parts])
+
+
+def predicts(logits: Sequence[Column], label: Column) -> Column:
+    """Whether the most probable class is the label (class 0 when two are equal)."""
+    if len(logits) == 1:
+        return (on_grid(1 / (1 + F.exp(-logits[0]))) > 0.5) == (label == 1)
+    return arg_max(probabilities(logits)) == label
 
 
 def arg_max(values: Column) -> Column:
@@ -191,7 +204,7 @@ def importance(prep: Prepared, repeats: int = 3, salt: str = "perm", slots: int
     n, width = len(prep.binner.names), len(prep.classes) - 1
     scored = with_models(rows.withColumn("_one", F.lit(0).cast("bigint")), model, "_one")
     scored = scored.withColumn("_base", F.array(*[logit(c, n) for c in range(width)]))
-    hit = lambda logits: (arg_max(probabilities(logits)) == F.col("y")).cast("double")
+    hit = lambda logits: predicts(logits, F.col("y")).cast("double")
     base = [F.get("_base", F.lit(c)) for c in range(width)]
     long = scored.select(
         "y", "w", "_base", hit(base).alias("base"),
