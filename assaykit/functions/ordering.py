@@ -126,14 +126,7 @@ def exact_quantiles(
     if not direct:
         counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     if direct or sum(counts) <= direct_cells:
-        row = df.agg(
-            *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probabilities[c]]))
-              .alias(f"q{i}") for i, c in enumerate(columns)]
-        ).first()
-        return {
-            c: [None] * len(probabilities[c]) if row[i] is None else [float(v) for v in row[i]]
-            for i, c in enumerate(columns)
-        }
+        return _direct_quantiles(df, probabilities)
     ranks: dict[str, set[int]] = {}
     for i, c in enumerate(columns):
         wanted = set()
@@ -157,6 +150,24 @@ def exact_quantiles(
     return out
 
 
+def _direct_quantiles(
+    df: DataFrame, probabilities: dict[str, Sequence[float]]
+) -> dict[str, list[float | None]]:
+    """``percentile`` with one group per column, so that columns are merged by different tasks."""
+    columns = list(probabilities)
+    every = sorted({float(p) for ps in probabilities.values() for p in ps})
+    values = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = df.select(F.explode(values).alias("e")).filter("e.v is not null")
+    found = long.groupBy("e.i").agg(
+        F.percentile(F.col("e.v"), F.array(*[F.lit(p) for p in every])).alias("q")).collect()
+    by_column = {r["i"]: dict(zip(every, r["q"])) for r in found}
+    return {
+        c: [float(by_column[i][float(p)]) if i in by_column else None for p in probabilities[c]]
+        for i, c in enumerate(columns)
+    }
+
+
 def _order_statistics(
     df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], direct_cells: int
 ) -> dict[tuple[str, int], float]:
