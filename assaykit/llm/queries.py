@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, preference, sharding, simhash, vptree, warc
+from . import decontaminate, packing, preference, sharding, simhash, substring, suffix, vptree, warc
 from .common import read_table
 
 QUERIES: dict = {}
@@ -89,11 +89,53 @@ def op6_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op7_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op7_doubling_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, s, array_to_string(ws[s:s + 49], ' ') AS gram
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w WHERE len(ws) >= 50)),
+f AS (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram),
+r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM g JOIN f USING (gram) WHERE first_id < doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed, list(p) AS ps FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN ps IS NULL THEN array_to_string(ws, ' ')
+    ELSE coalesce((SELECT string_agg(u.x, ' ' ORDER BY u.i) FROM (SELECT unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i) u WHERE NOT list_contains(ps, u.i)), '') END) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id)
+"""
+
+
 @query
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op9_bucket_refinement"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT doc_id, s, md5(gram) AS k FROM (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 800) AS gram
+  FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS s FROM d WHERE n >= 400))),
+r AS (SELECT doc_id, s FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run
+      FROM (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS fresh FROM r)),
+p AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM p),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last_b,
+        string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE kept || substr(h, 2 * last_b + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 @query
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.report(read_table(spark, sf_dir, "conversations"))
