@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, preference, sharding, simhash, substring, suffix, vptree, warc
+from . import decontaminate, packing, preference, sharding, simhash, substring, suffix, toxicity, vptree, warc
 from .common import read_table
 
 QUERIES: dict = {}
@@ -56,6 +56,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+@query
+def op3_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
