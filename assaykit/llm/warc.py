@@ -39,7 +39,7 @@ PAD = "\x00"
 
 def member(data: bytes) -> bytes:
     """``data`` as a gzip member of its own, the same bytes at every run."""
-    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
