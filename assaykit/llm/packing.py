@@ -29,7 +29,8 @@ from .common import batches, texts_of
 #: Pieces of one packing partition; a bin of a partition is at most this much work.
 PART_PIECES = 8_192
 #: Distinct text chunks whose ids a Python worker remembers.
-CACHED = 300_000
+CACHED = 1_200_000
+_MARKS = frozenset(".,|;:!?")
 
 
 class WordEncoder:
@@ -51,21 +52,20 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHED:
-            self.known = {}
-        known, letters, marked, other = self.known, set(), [], []
-        for chunk in chunks:
-            if chunk.isalpha():
-                letters.add(chunk)
-            elif chunk[-1:] in ".,|;:!?" and chunk[:-1].isalpha():
-                marked.append(chunk)
-                if chunk[:-1] not in known:
-                    letters.add(chunk[:-1])
+        # ids of a word do not depend on its case; up to here in Unicode both sides agree on what lower case is
+        plain = {c: c.lower() if max(c, default="") < "\u0250" else c for c in chunks}
+        known, letters, marked, other = self.known, set(), [], set()
+        for chunk, low in plain.items():
+            stem = low[:-1] if low[-1:] in _MARKS else low
+            if stem.isalpha():
+                if stem not in known:
+                    letters.add(stem)
+                marked.append((chunk, stem, low[len(stem) :]))
             else:
-                other.append(chunk)
-        marks = {c[-1] for c in marked}
+                other.add(chunk)
+        marks = {m for _, _, m in marked if m and m not in known}
         for block in batches(letters, 4096):
-            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(block):
                 raw, at = ids.tobytes(), 0
@@ -73,13 +73,12 @@ class WordEncoder:
                     known[word] = raw[at:cut]
                     at = cut
             else:  # a character that the tokenizer does not take as a letter
-                other.extend(block)
-        other.extend(marks)
-        for block in batches(other, 1024):
+                other.update(block)
+        for block in batches(other | marks, 1024):
             for chunk, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
                 known[chunk] = np.array(e.ids, np.uint32).tobytes()
-        for chunk in marked:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+        for chunk, stem, mark in marked:
+            known[chunk] = known[stem] + known[mark] if mark else known[stem]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
