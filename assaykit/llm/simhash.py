@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -172,13 +173,15 @@ def plan(prints: DataFrame, max_distance: int) -> list[tuple[list[int], int]]:
     return min(options, key=lambda o: o[0])[1]
 
 
-def links(prints: DataFrame, max_distance: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: distinct fingerprints at most ``max_distance`` bits apart; ``prints`` has distinct fp.
+def links(prints: DataFrame, max_distance: int = 3, block: int = BLOCK, depth: int = 2) -> DataFrame:
+    """(a, b), a < b: edges that connect distinct fingerprints at most ``max_distance`` bits apart.
 
     Fingerprints meet under a key (partition, its bits); those within a partition's threshold are
     reached by flipping bits of the probe. A group of more than ``block`` fingerprints under a key is
     not paired off: its members must also agree on one of max_distance + 1 parts of the remaining
-    bits, which gives longer keys; this repeats until groups are small or no bits are left.
+    bits, which gives longer keys, ``depth`` times over. Groups that are crowded still hold near
+    copies of few texts; they are compared in blocks, and each block sends a star of every set it
+    finds connected, so the edges stay in proportion to the fingerprints. All other edges are links.
     """
     searched = plan(prints, max_distance)
     own = [F.struct(F.lit(f"{i}").alias("path"), project(F.col("fp"), bits).alias("v"), F.lit(False).alias("probe")) for i, (bits, _) in enumerate(searched)]
@@ -189,39 +192,66 @@ def links(prints: DataFrame, max_distance: int = 3, block: int = BLOCK) -> DataF
     rows = prints.select("fp", F.explode(F.array(*own, *flipped)).alias("k")).select("fp", "k.*")
     unused = {f"{i}": [b for b in range(BITS) if b not in bits] for i, (bits, _) in enumerate(searched)}
     found = []
-    while True:
+    for level in range(depth + 1):
         rows = cut_lineage(rows)
         sizes = rows.groupBy("path", "v").agg(F.count("*").alias("size"))
-        large = sizes.where(F.col("size") > block).select("path", "v")
-        paths = {r["path"] for r in large.select("path").distinct().collect()}
-        # a path without bits left holds equal fingerprints only
-        deeper = sorted(p for p in paths if len(unused[p]) > max_distance)
-        split = large.where(F.col("path").isin(deeper)) if deeper else None
-        near = rows.join(split, ["path", "v"], "left_anti") if deeper else rows
+        crowded = rows.join(sizes.where(F.col("size") > block), ["path", "v"])
+        near = rows.join(sizes.where((F.col("size") > 1) & (F.col("size") <= block)), ["path", "v"], "left_semi")
         left = near.where(~F.col("probe")).select("path", "v", F.col("fp").alias("a"))
         right = near.select("path", "v", F.col("fp").alias("b"), "probe")
         close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
         pairs = left.join(right, ["path", "v"]).where(close & F.when(F.col("probe"), F.col("a") != F.col("b")).otherwise(F.col("a") < F.col("b")))
         found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if not deeper:
+        if level == depth:
+            found.append(_connect(crowded, max_distance, block))
+            break
+        if crowded.isEmpty():
             break
-        crowded = rows.join(split, ["path", "v"], "left_semi")
         longer, branches = {}, []
-        for p in deeper:
-            rest = unused[p]
+        for p, rest in unused.items():
             for j in range(max_distance + 1):
                 part = rest[j :: max_distance + 1]
-                name = f"{p}.{j}"
-                longer[name] = [b for b in rest if b not in part]
-                branches.append(F.when(F.col("path") == p, F.struct(F.lit(name).alias("path"), F.xxhash64("v", project(F.col("fp"), part)).alias("v"))))
+                longer[f"{p}.{j}"] = [b for b in rest if b not in part]
+                branches.append(F.when(F.col("path") == p, F.struct(F.lit(f"{p}.{j}").alias("path"), F.xxhash64("v", project(F.col("fp"), part)).alias("v"))))
         rows = crowded.select("fp", "probe", F.explode(F.array(*branches)).alias("k")).where("k is not null").select("fp", "k.path", "k.v", "probe")
-        unused |= longer
+        unused = longer
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
+def connected_within(values: np.ndarray, max_distance: int) -> np.ndarray:
+    """The smallest position of each value's connected set (links: at most ``max_distance`` bits)."""
+    close = np.bitwise_count(values[:, None] ^ values[None, :]) <= max_distance
+    label = np.arange(len(values))
+    while True:
+        new = np.where(close, label[None, :], len(values)).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _connect(crowded: DataFrame, max_distance: int, block: int) -> DataFrame:
+    """Stars of the connected sets of every pair of blocks of a crowded group (path, v, size)."""
+    half = max(1, block // 2)
+    n = F.ceil(F.col("size") / half).cast("int")
+    own = F.pmod(F.xxhash64("fp"), n).cast("int")
+    rows = crowded.withColumn("own", own).withColumn("n", n)
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    rows = rows.select("path", "v", "fp", "own", other.alias("other"))
+    rows = rows.select("path", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+
+    def connect(frame: pd.DataFrame) -> pd.DataFrame:
+        values = np.unique(frame["fp"].to_numpy(np.int64))
+        label = connected_within(values.view(np.uint64), max_distance)
+        some = label != np.arange(len(values))
+        return pd.DataFrame({"a": np.minimum(values[label[some]], values[some]), "b": np.maximum(values[label[some]], values[some])})
+
+    return rows.groupBy("path", "v", "i", "j").applyInPandas(connect, "a bigint, b bigint")
+
+
 def components(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """One row per document row: doc_id, text_hash (64 bits), fp (bigint), group and component_id."""
     rows = cut_lineage(docs.select(
