@@ -30,11 +30,8 @@ def distances(points: np.ndarray, query: np.ndarray) -> np.ndarray:
 
     ``points`` (n, d) to ``query`` (d,) or, pairwise, (n, d).
     """
-    total = np.zeros(len(points))
-    for j in range(points.shape[1]):
-        step = points[:, j] - query[..., j]
-        total += step * step
-    return np.sqrt(total)
+    step = points - query
+    return np.sqrt(np.cumsum(step * step, axis=1)[:, -1])
 
 
 class Tree:
@@ -73,35 +70,31 @@ class Tree:
         self._best = [(np.empty(0, np.int64), np.empty(0)) for _ in range(n)]
         self._reach = np.full(n, np.inf)
         self._factor = factor
-        self._visited: list[set[int]] = [set() for _ in range(n)]
+        self._seen: dict[int, np.ndarray] = {}
         self._descend(self.root, np.arange(n))
         self._scan(self.root, np.arange(n))
         return self._best
 
     def _look(self, rows: np.ndarray, active: np.ndarray) -> None:
+        """Compares the active queries with a leaf; a product of matrices tells which can have a nearer row."""
+        seen = self._seen.setdefault(int(rows[0]), np.zeros(len(self._q), bool))
+        active = active[~seen[active]]
+        seen[active] = True
         points, ids = self.points[rows], self.ids[rows]
-        key = int(rows[0])
-        for i in active.tolist():
-            if key in self._visited[i]:
-                continue
-            self._visited[i].add(key)
-            d = distances(points, self._q[i])
-            use = (ids != self._qid[i]) & (d <= self._reach[i])
-            if not use.any():
-                continue
-            best_ids, best_d = np.concatenate([self._best[i][0], ids[use]]), np.concatenate([self._best[i][1], d[use]])
+        asked = self._q[active]
+        sizes = (points * points).sum(1)[None, :] + (asked * asked).sum(1)[:, None]
+        square = sizes - 2 * (asked @ points.T)
+        reach = self._reach[active][:, None]
+        near = (square <= reach * reach + 1e-9 * (sizes + 1)) & (ids[None, :] != self._qid[active][:, None])
+        for at in np.flatnonzero(near.any(axis=1)).tolist():
+            i, some = int(active[at]), near[at]
+            d = distances(points[some], self._q[i])
+            best_ids, best_d = np.concatenate([self._best[i][0], ids[some]]), np.concatenate([self._best[i][1], d])
             order = np.lexsort((best_ids, best_d))[: self._k]
             self._best[i] = best_ids[order], best_d[order]
             if len(order) == self._k:
                 self._reach[i] = best_d[order[-1]]
 
-    def _bounds(self, node, active: np.ndarray) -> np.ndarray:
-        """Lower bounds (query, side) from the triangle inequality, a rounding error below."""
-        vantage, parts = node
-        d = distances(self._q[active], self.points[vantage])
-        low = np.stack([np.maximum(np.maximum(a - d, d - b), 0) for a, b, _ in parts], axis=1)
-        return low * (1 - 1e-9) - 1e-12
-
     def _descend(self, node, active: np.ndarray) -> None:
         if isinstance(node, np.ndarray):
             self._look(node, active)
@@ -111,6 +104,13 @@ class Tree:
             if (side == s).any():
                 self._descend(child, active[side == s])
 
+    def _bounds(self, node, active: np.ndarray) -> np.ndarray:
+        """Lower bounds (query, side) from the triangle inequality, a rounding error below."""
+        vantage, parts = node
+        d = distances(self._q[active], self.points[vantage])
+        low = np.stack([np.maximum(np.maximum(a - d, d - b), 0) for a, b, _ in parts], axis=1)
+        return low * (1 - 1e-9) - 1e-12
+
     def _scan(self, node, active: np.ndarray) -> None:
         if isinstance(node, np.ndarray):
             self._look(node, active)
