@@ -37,6 +37,8 @@ class Context:
     proba: str | None = None
     weight: str | None = None
     n_scores: int | None = None
+    #: Subtracted from numeric targets before squares are added up, so that a large offset does not cancel.
+    center: float = 0.0
 
     def is_positive(self, column: str) -> Column:
         return F.col(column) == F.lit(self.positive)
@@ -70,6 +72,10 @@ class Metric:
         """One row per ``by`` group with ``value`` (null when not computable)."""
         raise NotImplementedError
 
+    def computable(self, ctx: Context) -> bool:
+        """A score of one class says nothing about three or more labels."""
+        return not (self.needs_proba and ctx.n_labels > 2)
+
     def cells(self, preds: DataFrame, by: Sequence[str], ctx: Context) -> DataFrame:
         weight = F.col(ctx.weight).cast("double") if ctx.weight else F.lit(1.0)
         keys = [c.alias(n) for n, c in self.cell_keys(ctx).items()]
@@ -78,8 +84,10 @@ class Metric:
 
 
 def context_for(metric: Metric, preds: DataFrame) -> Context:
-    """Regression metrics need nothing from the table, and its targets are not worth grouping."""
-    return Context() if metric.task == "regression" else context_of(preds)
+    """Regression metrics need a centre of the targets only, and those are not worth grouping."""
+    if metric.task != "regression":
+        return context_of(preds)
+    return Context(center=preds.agg(F.avg(F.col("y_true").cast("double"))).first()[0] or 0.0)
 
 
 @dataclass(frozen=True)
@@ -95,7 +103,7 @@ class SumMetric(Metric):
     def finish(self, cells, by, ctx):
         totals = [F.sum(n).alias(n) for n in self.sums(ctx)]
         grouped = cells.groupBy(*by).agg(*totals) if by else cells.agg(*totals)
-        value = self.formula()
+        value = self.formula() if self.computable(ctx) else F.lit(None).cast("double")
         return grouped.select(*by, F.when(~F.isnan(value), value).alias("value"))
 
 
@@ -158,7 +166,7 @@ class RankMetric(Metric):
             )
         pos, neg = F.sum("_pos"), F.sum("_neg")
         area = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
-        value = F.when((pos > 0) & (neg > 0), area / (pos * neg)).alias("value")
+        value = F.when((pos > 0) & (neg > 0) & F.lit(self.computable(ctx)), area / (pos * neg)).alias("value")
         return below.groupBy(*by).agg(value) if by else below.agg(value)
 
 
@@ -177,7 +185,8 @@ def _logloss_sums(ctx):
 
 def _square_sums(ctx):
     y, gap = F.col("y_true").cast("double"), F.col("y_true").cast("double") - F.col("y_pred").cast("double")
-    return {"_n": F.lit(1.0), "_se": gap * gap, "_ae": F.abs(gap), "_y": y, "_yy": y * y}
+    near = y - F.lit(float(ctx.center))
+    return {"_n": F.lit(1.0), "_se": gap * gap, "_ae": F.abs(gap), "_y": near, "_yy": near * near}
 
 
 def _only(sums, *names):

@@ -106,66 +106,65 @@ def running_fold(
     )
 
 
+def present(column: str) -> Column:
+    """The column as double; NaN counts as missing."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def between_ranks(low: float, high: float, part: float) -> float:
+    """Linear interpolation, from the nearer end."""
+    if low == high:
+        return low
+    return low + (high - low) * part if part < 0.5 else high - (high - low) * (1 - part)
+
+
 def exact_quantiles(
     df: DataFrame,
     probabilities: dict[str, Sequence[float]],
     direct_cells: int = DIRECT_QUANTILE_CELLS,
     n_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of several columns (missing values ignored).
+    """Exact linear-interpolated quantiles of several columns (null and NaN ignored).
 
-    ``percentile`` keeps every distinct value of a column in one buffer, so it is used only while
-    rows x columns stay below ``direct_cells``. Beyond that, each wanted rank is bracketed with a
-    mergeable sketch, only the values inside the bracket are counted, and the bracket is narrowed
-    again until it is small. A caller that knows the number of rows saves the counting pass.
+    Both ways find the same two order statistics of each quantile: up to ``direct_cells`` values a
+    column is sorted in one task; beyond that, each wanted rank is bracketed with a mergeable
+    sketch, only the values inside the bracket are counted, and the bracket is narrowed again until
+    it is small. ``n_rows`` is not needed any more and kept for callers.
     """
     columns = list(probabilities)
     if not columns:
         return {}
-    direct = n_rows is not None and n_rows * len(columns) <= direct_cells
-    if not direct:
-        counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    if direct or sum(counts) <= direct_cells:
-        return _direct_quantiles(df, probabilities)
+    df = df.select(*[present(c).alias(f"q{i}") for i, c in enumerate(columns)])
+    counts = df.agg(*[F.count(f"q{i}").alias(f"n{i}") for i in range(len(columns))]).first()
     ranks: dict[str, set[int]] = {}
     for i, c in enumerate(columns):
-        wanted = set()
-        for p in probabilities[c]:
-            at = p * (counts[i] - 1)
-            wanted |= {math.floor(at), math.ceil(at)}
-        ranks[c] = wanted if counts[i] else set()
-    found = _order_statistics(df, ranks, dict(zip(columns, counts)), direct_cells)
+        at = [p * (counts[i] - 1) for p in probabilities[c]]
+        ranks[f"q{i}"] = {r for x in at for r in (math.floor(x), math.ceil(x))} if counts[i] else set()
+    if sum(counts) <= direct_cells:
+        found = _sorted_statistics(df, ranks)
+    else:
+        found = _order_statistics(df, ranks, {f"q{i}": n for i, n in enumerate(counts)}, direct_cells)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
-        values: list[float | None] = []
-        for p in probabilities[c]:
-            if counts[i] == 0:
-                values.append(None)
-                continue
-            at = p * (counts[i] - 1)
-            low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
-            part = at - math.floor(at)
-            values.append(low if low == high else (1 - part) * low + part * high)
-        out[c] = values
+        at = [p * (counts[i] - 1) for p in probabilities[c]]
+        out[c] = [
+            between_ranks(found[f"q{i}", math.floor(x)], found[f"q{i}", math.ceil(x)], x - math.floor(x)) if counts[i] else None
+            for x in at
+        ]
     return out
 
 
-def _direct_quantiles(
-    df: DataFrame, probabilities: dict[str, Sequence[float]]
-) -> dict[str, list[float | None]]:
-    """``percentile`` with one group per column, so that columns are merged by different tasks."""
-    columns = list(probabilities)
-    every = sorted({float(p) for ps in probabilities.values() for p in ps})
-    values = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
-    long = df.select(F.explode(values).alias("e")).filter("e.v is not null")
-    found = long.groupBy("e.i").agg(
-        F.percentile(F.col("e.v"), F.array(*[F.lit(p) for p in every])).alias("q")).collect()
-    by_column = {r["i"]: dict(zip(every, r["q"])) for r in found}
-    return {
-        c: [float(by_column[i][float(p)]) if i in by_column else None for p in probabilities[c]]
-        for i, c in enumerate(columns)
-    }
+def _sorted_statistics(df: DataFrame, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+    """Values at the given 0-based ranks; every column is sorted by a task of its own."""
+    wanted = [f"{c}:{r}" for c, rs in ranks.items() for r in rs]
+    if not wanted:
+        return {}
+    values = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ranks])
+    long = df.select(F.explode(values).alias("e")).select("e.*").filter("v is not null")
+    at = F.row_number().over(Window.partitionBy("c").orderBy("v")) - 1
+    held = long.select("c", "v", at.alias("r")).filter(F.concat_ws(":", "c", "r").isin(wanted))
+    return {(x["c"], x["r"]): x["v"] for x in held.collect()}
 
 
 def _order_statistics(
@@ -198,6 +197,8 @@ def _order_statistics(
             low, high = (float(v) for v in edges[i])
             under, within, distinct = seen[3 * i : 3 * i + 3]
             if not under <= r < under + within:
+                if slack[c, r] >= 1.0:
+                    raise RuntimeError(f"rank {r} of {c} is not inside its whole bracket")
                 slack[c, r] = min(1.0, slack[c, r] * 8)
                 continue
             brackets[c, r], below[c, r], inside[c, r] = (low, high), under, within

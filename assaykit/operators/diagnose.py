@@ -15,7 +15,6 @@ from .align import annotate
 from .resample import subsample_rows
 
 MIN_BUCKET = 10
-MAX_SLICED = 30
 TOP_VALUES = 8
 MANY_VALUES = 10
 
@@ -62,7 +61,7 @@ def distinct_up_to(
 
 def bucket_by_edges(column: Column, edges: Sequence[float], name: str = "q") -> Column:
     """Right-closed buckets ``q1``, ``q2``, ... over sorted inner and outer edges; missing is ``nan``."""
-    unique = sorted(set(edges))
+    unique = sorted({e for e in edges if e is not None and e == e})
     bucket = F.when(column.isNull() | F.isnan(column.cast("double")), F.lit("nan"))
     for i, edge in enumerate(unique[1:], start=1):
         bucket = bucket.when(column <= F.lit(edge), F.lit(f"{name}{i}"))
@@ -122,7 +121,7 @@ def slice_cells(
     Numeric features with more than ten values are cut at their quartiles, all others are counted
     by value, and values outside the most frequent eight are merged into ``(other)`` afterwards.
     """
-    features = list(features)[:MAX_SLICED]
+    features = list(features)
     numeric = numeric_features(rows, features)
     many = distinct_up_to(rows, numeric, MANY_VALUES, rough)
     cut = [c for c in numeric if many[c] > MANY_VALUES]
@@ -151,7 +150,7 @@ def error_slices(
     The sliced columns are written once: thresholds, edges and counts each read them again, and
     ``rows`` usually is the result of a join.
     """
-    features = list(features)[:MAX_SLICED]
+    features = list(features)
     rows = cut_lineage(rows.select("error", *features))
     n, overall, *rough = rows.agg(
         F.count("*"), F.avg("error"), *rough_distinct(numeric_features(rows, features))).first()

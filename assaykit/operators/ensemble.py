@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Context, Metric, context_for
 from ..functions.ordering import exact_quantiles
-from .align import Aligned, align, label_disagreements
+from .align import Aligned, align
 from .resample import bar_of, paired_std
 
 ENSEMBLE = "ensemble"
@@ -26,7 +27,13 @@ def _mean(columns: list):
 def mean_proba(pair: Aligned, proba: str = "proba_1") -> DataFrame:
     """row_id, y_true and the members' mean probability."""
     members = [c.cast("double") for c in _members(pair, proba)]
-    return pair.wide.select("row_id", F.col("y_true__0").alias("y_true"), _mean(members).alias("proba_1"))
+    return pair.wide.select("row_id", *_shared(pair), _mean(members).alias("proba_1"))
+
+
+def _shared(pair: Aligned) -> list:
+    """True label and columns that belong to the row, such as a weight, from the first member."""
+    own = [c for c in pair.columns if c != "y_pred" and not c.startswith("proba_")]
+    return [F.col(f"{c}__0").alias(c) for c in own]
 
 
 def selection_threshold(pair: Aligned, mean: DataFrame, positive) -> tuple[float, float]:
@@ -52,12 +59,12 @@ def vote(pair: Aligned, ctx: Context) -> DataFrame:
         )
         most = F.array_max(F.transform(counted, lambda c: c["n"]))
         label = F.filter(counted, lambda c: c["n"] == most)[0]["v"]
-    return pair.wide.select("row_id", F.col("y_true__0").alias("y_true"), label.alias("y_pred"))
+    return pair.wide.select("row_id", *_shared(pair), label.alias("y_pred"))
 
 
 def mean_prediction(pair: Aligned) -> DataFrame:
     members = [c.cast("double") for c in _members(pair, "y_pred")]
-    return pair.wide.select("row_id", F.col("y_true__0").alias("y_true"), _mean(members).alias("y_pred"))
+    return pair.wide.select("row_id", *_shared(pair), _mean(members).alias("y_pred"))
 
 
 def ensemble_rows(pair: Aligned, task: str, ctx: Context) -> DataFrame:
@@ -81,18 +88,20 @@ def member_scores(pair: Aligned, metric: Metric, ctx: Context) -> DataFrame:
 
 def ensemble_probe(
     preds: DataFrame, runs: Sequence[str], metric: Metric, task: str = "classification",
-    maximize: bool | None = None, n_boot: int = 200, seed: int = 0,
+    maximize: bool | None = None, n_boot: int = 200, seed: int = 0, columns: Sequence[str] = (),
 ) -> DataFrame:
-    """One row: best single run, ensemble score, paired gain and verdict.
+    """One row: best single run, ensemble score, paired gain and verdict. ``columns`` names what a
+    metric of one's own reads besides labels, predictions, scores and ``weight``.
 
     Raises ``ValueError`` when the runs share too few rows, disagree on labels, or fewer than two
     can be scored.
     """
-    columns = [c for c in ("y_true", "y_pred", "proba_1") if c in preds.columns]
-    pair = align(preds, runs, columns)
+    named = [c for c in preds.columns if c in ("y_true", "y_pred", "weight") or c.startswith("proba_")]
+    pair = align(preds, runs, [*named, *[c for c in columns if c not in named]])
     if not pair.enough:
         raise ValueError(f"the runs share only {pair.n_common} rows")
-    if label_disagreements(preds, runs).limit(1).count():
+    differs = [~F.col(f"y_true__{i}").eqNullSafe(F.col("y_true__0")) for i in range(1, len(pair.runs))]
+    if not pair.wide.filter(reduce(lambda a, b: a | b, differs, F.lit(False))).isEmpty():
         raise ValueError("the runs were scored against different true labels on shared rows")
     rows = pair.long()
     ctx = context_for(metric, rows)

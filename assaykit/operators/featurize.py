@@ -14,7 +14,6 @@ from ..functions.ordering import exact_quantiles
 from .diagnose import as_text, distinct_up_to, is_number
 
 MAX_LEVELS = 15
-MAX_ENCODED = 150
 MAX_CLASSES = 10_000
 BINS = 16
 
@@ -150,10 +149,11 @@ class Binner:
 
 
 def fit_bins(
-    df: DataFrame, features: Sequence[str], bins: int = BINS, max_encoded: int = MAX_ENCODED,
+    df: DataFrame, features: Sequence[str], bins: int = BINS, max_encoded: int | None = None,
     n_rows: int | None = None,
 ) -> Binner:
-    """Quantile bins for numbers (missing = median), levels for short text; the rest is dropped.
+    """Quantile bins for numbers (missing = median), levels for short text; the rest is in ``dropped``,
+    as are features beyond ``max_encoded`` columns, if such a limit is given.
 
     Only edges, levels and medians come to the driver.
     """
@@ -167,7 +167,7 @@ def fit_bins(
     for c in features:
         width = 1 if c in numeric else len(levels.get(c, []))
         usable = (c in numeric and quantiles[c][0] is not None) or c in levels
-        if not usable or encoded >= max_encoded:
+        if not usable or (max_encoded is not None and encoded >= max_encoded):
             dropped.append(c)
             continue
         encoded += width

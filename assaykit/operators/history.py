@@ -8,7 +8,6 @@ values use ``running_fold``, everything else is a grouped aggregation with map-s
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +45,14 @@ def _rank() -> Column:
     """Orders runs by quality; the earliest wins among equals."""
     return F.when(
         is_scored() & F.col("value").isNotNull(),
-        F.struct((F.col("value") * F.col("sign")).alias("good"), (-F.col("seq")).alias("early"), F.col("value").alias("value")),
+        F.struct((F.col("value") * F.col("sign")).alias("good"), (-F.col("seq")).alias("early"), F.col("value").alias("value"), F.col("run_id").alias("run_id")),
     )
 
 
 def best_run(valued: DataFrame) -> DataFrame:
     return (
         valued.groupBy("project_id").agg(F.max(_rank()).alias("b")).filter("b is not null")
-        .select("project_id", (-F.col("b.early")).alias("run_id"), F.col("b.value").alias("value"))
+        .select("project_id", F.col("b.run_id").alias("run_id"), F.col("b.value").alias("value"))
     )
 
 
@@ -132,7 +131,7 @@ def stop_conditions(runs: DataFrame, goals: DataFrame, forensics: DataFrame) ->
 
 def undiagnosed(runs: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """The latest scored run of each project, when it has no diagnosis."""
-    last = scored(runs).groupBy("project_id").agg(F.max("run_id").alias("run_id"))
+    last = scored(runs).groupBy("project_id").agg(F.max_by("run_id", "seq").alias("run_id"))
     return last.join(diagnoses.select("run_id").distinct(), "run_id", "left_anti").select("project_id", "run_id")
 
 
@@ -182,9 +181,9 @@ def run_noise_floors(runs: DataFrame, diagnoses: DataFrame) -> DataFrame:
 
 def default_parent(runs: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add ``parent_run_id``: the given parent, else the last run of the project that is finished."""
-    done = F.when(F.col("status") == "finished", F.col("seq"))
+    done = F.when(F.col("status") == "finished", F.struct("seq", "run_id"))
     return running_fold(runs, PROJECT, "seq", {"_last": ("max", done, False)}, rows_per_chunk).withColumn(
-        "parent_run_id", F.coalesce("given_parent", "_last")).drop("_last")
+        "parent_run_id", F.coalesce("given_parent", "_last.run_id")).drop("_last")
 
 
 def _improved(delta: Column) -> Column:
@@ -209,7 +208,7 @@ def run_vs_best(valued: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> Data
     before = running_fold(valued, PROJECT, "seq", {"_b": ("max", _rank(), False)}, rows_per_chunk)
     rows = scored(before).filter("value is not null and _b is not null")
     delta = F.col("value") - F.col("_b.value")
-    return rows.select("project_id", "run_id", (-F.col("_b.early")).alias("best_run_id"), "value",
+    return rows.select("project_id", "run_id", F.col("_b.run_id").alias("best_run_id"), "value",
                        F.col("_b.value").alias("best_value"), delta.alias("delta"), _improved(delta).alias("improved"))
 
 
@@ -310,9 +309,5 @@ def protocol_audit(
     by_run = before.select("project_id", "run_id", F.explode(broken).alias("rule"))
     links = evidence_links(hypotheses, runs)
     weak = links.filter("n_unknown > 0 or n_unfinished > 0 or not tested").select(
-        "project_id", F.col("hypothesis_id").alias("run_id"), F.lit("resolution_without_evidence").alias("rule"))
+        "project_id", F.col("hypothesis_id").cast("string").alias("run_id"), F.lit("resolution_without_evidence").alias("rule"))
     return by_run.unionByName(weak)
-
-
-def union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import history as h
+from ..session import cut_lineage
 from ..streaming import events as stream
 from . import views as v
 from .catalog import query
@@ -14,7 +15,7 @@ from .views import table
 VALUED = """valued AS (SELECT r.*, (metrics->>'$.score')::DOUBLE AS value,
     CASE WHEN direction = 'maximize' THEN 1 ELSE -1 END AS sign FROM runs r JOIN goals USING (project_id)),
   scored AS (SELECT * FROM valued WHERE status = 'finished' AND kind IN ('baseline', 'experiment') AND value IS NOT NULL),
-  best AS (SELECT project_id, arg_max(run_id, row(value * sign, -seq)) AS run_id, arg_max(value, row(value * sign, -seq)) AS value
+  best AS (SELECT project_id, max(row(value * sign, -seq, seq))[3] AS seq, arg_max(run_id, row(value * sign, -seq)) AS run_id, arg_max(value, row(value * sign, -seq)) AS value
     FROM scored GROUP BY project_id)"""
 BASE = ("runs", "goals")
 
@@ -28,7 +29,7 @@ def primary_value(spark, sf):
     return _valued(spark, sf).select("project_id", "run_id", "value")
 
 
-@query("best_run", BASE, f"WITH {VALUED} SELECT * FROM best", ("value",))
+@query("best_run", BASE, f"WITH {VALUED} SELECT project_id, run_id, value FROM best", ("value",))
 def best_run(spark, sf):
     return h.best_run(_valued(spark, sf))
 
@@ -101,7 +102,7 @@ def stop_conditions(spark, sf):
     return h.stop_conditions(v.runs(spark, sf), v.goals(spark, sf), v.forensics_log(spark, sf))
 
 
-UNDIAGNOSED = """SELECT project_id, run_id FROM (SELECT project_id, max(seq) AS run_id FROM runs
+UNDIAGNOSED = """SELECT project_id, run_id FROM (SELECT project_id, arg_max(run_id, seq) AS run_id FROM runs
   WHERE status = 'finished' AND kind IN ('baseline', 'experiment') GROUP BY 1) WHERE run_id NOT IN (SELECT run_id FROM diagnoses)"""
 
 
@@ -150,7 +151,7 @@ def run_noise_floors(spark, sf):
     return h.run_noise_floors(v.runs(spark, sf), v.diagnoses(spark, sf))
 
 
-PARENTS = """parents AS (SELECT *, coalesce(given_parent, max(CASE WHEN status = 'finished' THEN seq END) OVER (
+PARENTS = """parents AS (SELECT *, coalesce(given_parent, arg_max(run_id, seq) FILTER (status = 'finished') OVER (
     PARTITION BY project_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS parent_run_id FROM runs)"""
 
 
@@ -234,11 +235,11 @@ _RULES = {
             max(coalesce(finished_at, '9999-01-01'::TIMESTAMP)) OVER w AS busy_until,
             count(*) OVER w AS started,
             coalesce(sum(CASE WHEN json_valid(meta) THEN (meta->>'$.train_seconds')::DOUBLE END) OVER w, 0) AS seconds,
-            max(CASE WHEN status = 'finished' AND kind IN ('baseline', 'experiment') THEN seq END) OVER w AS last_scored
+            arg_max(run_id, seq) FILTER (status = 'finished' AND kind IN ('baseline', 'experiment')) OVER w AS last_scored
             FROM runs r JOIN goals USING (project_id)
             WINDOW w AS (PARTITION BY project_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
           {" UNION ALL ".join(f"SELECT project_id, run_id, '{rule}' AS rule FROM a WHERE {test}" for rule, test in _RULES.items())}
-          UNION ALL SELECT project_id, hypothesis_id, 'resolution_without_evidence' FROM links
+          UNION ALL SELECT project_id, hypothesis_id::VARCHAR, 'resolution_without_evidence' FROM links
             WHERE n_unknown > 0 OR n_unfinished > 0 OR NOT tested""")
 def protocol_audit(spark, sf):
     return h.protocol_audit(v.runs(spark, sf), v.goals(spark, sf), v.hypotheses(spark, sf), v.diagnoses(spark, sf))
@@ -250,15 +251,17 @@ def protocol_audit(spark, sf):
 @query("stream_event_counts", (),
        """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_event_counts(spark, sf):
-    return stream.event_counts(spark, stream.event_files(spark, sf), "1 day")
+    return stream.event_counts(spark, stream.event_files(spark, sf), "1 day").drop("n_late")
 
 
 @query("stream_stagnation", STREAK_BASE,
        f"""WITH {VALUED}, marked AS (SELECT project_id, seq, value * sign AS good FROM scored)
           SELECT s.project_id, s.value AS best, s.run_id AS best_run_id, count(m.seq) AS streak
-          FROM best s LEFT JOIN marked m ON m.project_id = s.project_id AND m.seq > s.run_id GROUP BY ALL""", ("best",))
+          FROM best s LEFT JOIN marked m ON m.project_id = s.project_id AND m.seq > s.seq GROUP BY ALL""", ("best",))
 def stream_stagnation(spark, sf):
+    goals = cut_lineage(v.goals(spark, sf))
+
     def finished_runs(batch):
-        return h.with_primary_value(v.runs_of(batch), v.goals(spark, sf))
+        return h.with_primary_value(v.runs_of(batch), goals)
 
     return stream.stagnation(spark, stream.event_files(spark, sf), finished_runs)

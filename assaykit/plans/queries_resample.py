@@ -316,12 +316,12 @@ def ensemble_verdict(spark, sf):
 
 
 @query("ensemble_members", ("runs",),
-       """SELECT project_id, run_id, run_id IN (SELECT o_custkey FROM orders) AS has_predictions
+       f"""SELECT project_id, run_id, run_id IN (SELECT {v.run_name_sql('o_custkey')} FROM orders) AS has_predictions
           FROM runs WHERE status = 'finished' AND kind IN ('baseline', 'experiment')""")
 def ensemble_members(spark, sf):
     from ..operators.history import ensemble_members as members
 
-    with_rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"))
+    with_rows = table(spark, sf, "orders").select(v.run_name(F.col("o_custkey")).alias("run_id"))
     return members(v.runs(spark, sf), with_rows)
 
 

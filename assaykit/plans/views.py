@@ -319,6 +319,15 @@ def _k():
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
+def run_name(number):
+    """Run ids are text that does not sort like the runs' order."""
+    return F.concat(F.lit("r"), F.substring(F.md5(number.cast("string")), 1, 10))
+
+
+def run_name_sql(number: str) -> str:
+    return f"('r' || substr(md5(({number})::VARCHAR), 1, 10))"
+
+
 def runs(spark, sf_dir):
     return runs_of(table(spark, sf_dir, "events"))
 
@@ -347,29 +356,29 @@ def runs_of(events: DataFrame) -> DataFrame:
             F.lit("}")))
     )
     finished = F.when(F.col("status") != "running", F.col("ts") + F.make_dt_interval(mins=F.col("k").cast("int")))
-    parent = F.when(F.col("k") % 5 == 0, F.col("event_id") - F.col("k") - 1)
+    parent = F.when(F.col("k") % 5 == 0, run_name(F.col("event_id") - F.col("k") - 1))
     return e.select(
-        F.col("user_id").alias("project_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("run_id"),
+        F.col("user_id").alias("project_id"), F.col("event_id").alias("seq"), run_name(F.col("event_id")).alias("run_id"),
         F.col("ts").alias("created_at"), finished.alias("finished_at"), parent.alias("given_parent"),
         hyp.alias("hypothesis_id"), "kind", "status", metrics.alias("metrics"), meta.alias("meta"), "k",
     )
 
 
 SQL["runs"] = (
-    """SELECT project_id, seq, run_id, created_at,
+    f"""SELECT project_id, seq, run_id, created_at,
   CASE WHEN status <> 'running' THEN created_at + to_minutes(k) END AS finished_at,
-  CASE WHEN k % 5 = 0 THEN seq - k - 1 END AS given_parent,
+  CASE WHEN k % 5 = 0 THEN {run_name_sql('seq - k - 1')} END AS given_parent,
   (CASE WHEN kind = 'baseline' AND k % 19 = 0 THEN 0 WHEN kind = 'experiment' AND k % 11 <> 0 THEN seq % 5 END)::BIGINT AS hypothesis_id,
   kind, status,
-  CASE WHEN k % 7 <> 0 THEN '{"score": ' || value::VARCHAR || ', "train_score": ' || (value + k / 1000.0::DOUBLE)::VARCHAR || '}' END AS metrics,
-  CASE WHEN k % 13 = 0 THEN '{not json' WHEN k % 17 = 0 THEN '[1, 2]' ELSE
-    '{"model_desc": "m' || k || '"' ||
-    CASE WHEN k % 11 = 0 THEN ', "hyperparams": [1]' ELSE ', "hyperparams": {"k": ' || k || '}' END ||
+  CASE WHEN k % 7 <> 0 THEN '{{"score": ' || value::VARCHAR || ', "train_score": ' || (value + k / 1000.0::DOUBLE)::VARCHAR || '}}' END AS metrics,
+  CASE WHEN k % 13 = 0 THEN '{{not json' WHEN k % 17 = 0 THEN '[1, 2]' ELSE
+    '{{"model_desc": "m' || k || '"' ||
+    CASE WHEN k % 11 = 0 THEN ', "hyperparams": [1]' ELSE ', "hyperparams": {{"k": ' || k || '}}' END ||
     CASE WHEN k % 7 = 0 THEN '' ELSE ', "features": ["a", "b"]' END ||
     CASE WHEN k % 5 = 0 THEN ', "seed": "7"' ELSE ', "seed": ' || k END ||
     CASE WHEN k % 3 = 0 THEN '' ELSE ', "train_seconds": ' || value::VARCHAR END ||
-    CASE WHEN k % 2 = 0 THEN ', "feature_importance": {"a": 1}' ELSE '' END || '}' END AS meta, k
-  FROM (SELECT user_id AS project_id, event_id AS seq, event_id AS run_id, ts AS created_at, value,
+    CASE WHEN k % 2 = 0 THEN ', "feature_importance": {{"a": 1}}' ELSE '' END || '}}' END AS meta, k
+  FROM (SELECT user_id AS project_id, event_id AS seq, {run_name_sql('event_id')} AS run_id, ts AS created_at, value,
     (props->>'$.k')::BIGINT AS k,
     CASE event_type WHEN 'signup' THEN 'baseline' WHEN 'error' THEN 'forensics' ELSE 'experiment' END AS kind,
     CASE WHEN (props->>'$.k')::BIGINT % 33 = 1 THEN 'running' WHEN (props->>'$.k')::BIGINT % 10 = 0 THEN 'abandoned' ELSE 'finished' END AS status
@@ -415,19 +424,19 @@ def hypotheses(spark, sf_dir):
         F.when(code == 0, "open").when(code == 1, "testing").when(code == 2, "confirmed")
         .when(code == 3, "refuted").otherwise("inconclusive")
     )
-    evidence = F.when(code == 3, F.array(F.col("first_id"), F.lit(-1).cast("bigint"))).when(
-        code == 4, F.array(F.col("first_id") + 1)).otherwise(F.array("first_id", "last_id"))
+    evidence = F.when(code == 3, F.array(run_name(F.col("first_id")), F.lit("unknown"))).when(
+        code == 4, F.array(run_name(F.col("first_id") + 1))).otherwise(F.array(run_name(F.col("first_id")), run_name(F.col("last_id"))))
     return g.withColumn("status", status).select(
         "project_id", "hypothesis_id", "status",
-        F.when(code >= 2, evidence).otherwise(F.array().cast("array<bigint>")).alias("evidence_run_ids"),
+        F.when(code >= 2, evidence).otherwise(F.array().cast("array<string>")).alias("evidence_run_ids"),
         F.when(code >= 2, F.col("last_id") - 50).alias("resolved_seq"),
     )
 
 
 SQL["hypotheses"] = (
-    """SELECT project_id, hypothesis_id,
+    f"""SELECT project_id, hypothesis_id,
   CASE code WHEN 0 THEN 'open' WHEN 1 THEN 'testing' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'refuted' ELSE 'inconclusive' END AS status,
-  CASE WHEN code = 3 THEN [first_id, -1] WHEN code = 4 THEN [first_id + 1] WHEN code = 2 THEN [first_id, last_id] ELSE [] END AS evidence_run_ids,
+  CASE WHEN code = 3 THEN [{run_name_sql('first_id')}, 'unknown'] WHEN code = 4 THEN [{run_name_sql('first_id + 1')}] WHEN code = 2 THEN [{run_name_sql('first_id')}, {run_name_sql('last_id')}] ELSE [] END AS evidence_run_ids,
   CASE WHEN code >= 2 THEN last_id - 50 END AS resolved_seq
   FROM (SELECT *, (project_id + hypothesis_id) % 5 AS code FROM (
     SELECT user_id AS project_id, event_id % 5 AS hypothesis_id, min(event_id) AS first_id, max(event_id) AS last_id
@@ -445,16 +454,16 @@ def diagnoses(spark, sf_dir):
         (F.col("value") / 100 + F.col("version")).cast("string"), F.lit("}}}}"))
     empty = F.lit('{"items": {"noise_floor": {"details": {}}}}')
     return e.withColumn("version", F.explode(versions)).select(
-        F.col("user_id").alias("project_id"), F.col("event_id").alias("run_id"),
+        F.col("user_id").alias("project_id"), run_name(F.col("event_id")).alias("run_id"),
         F.col("version").cast("bigint").alias("version"),
         F.when(F.col("k") % 5 == 0, empty).otherwise(floor).alias("results"),
     )
 
 
 SQL["diagnoses"] = (
-    """SELECT user_id AS project_id, event_id AS run_id, version::BIGINT AS version,
-  CASE WHEN k % 5 = 0 THEN '{"items": {"noise_floor": {"details": {}}}}'
-       ELSE '{"items": {"noise_floor": {"details": {"min_significant_delta": ' || (value / 100 + version)::VARCHAR || '}}}}' END AS results
+    f"""SELECT user_id AS project_id, {run_name_sql('event_id')} AS run_id, version::BIGINT AS version,
+  CASE WHEN k % 5 = 0 THEN '{{"items": {{"noise_floor": {{"details": {{}}}}}}}}'
+       ELSE '{{"items": {{"noise_floor": {{"details": {{"min_significant_delta": ' || (value / 100 + version)::VARCHAR || '}}}}}}}}' END AS results
   FROM (SELECT *, unnest(CASE WHEN k % 4 = 0 THEN [1, 2] ELSE [1] END) AS version
     FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events) WHERE k % 3 <> 0)""",
     (),

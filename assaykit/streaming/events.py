@@ -1,17 +1,15 @@
 """Event counts and stagnation as streams.
 
-Results and state are written as versions per micro-batch below the shared folder. A batch that is
-run again after a failure rewrites its own version from the previous one, so the outcome is the
-same as if it had run once.
+Every micro-batch writes what it adds below the shared folder, under its own number. A batch that is
+run again after a failure rewrites its own part, so the outcome is the same as if it had run once.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.history import scored
@@ -29,9 +27,9 @@ class Source:
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> Source:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return Source(f"{sf_dir}/events*.parquet" if not os.path.isdir(path) else path, schema, {"maxFilesPerTrigger": "100"})
+    """The events table as a stream. The pattern matches that one name only, a file or a folder."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return Source(f"{sf_dir}/event[s].parquet", schema, {"maxFilesPerTrigger": "100"})
 
 
 def _read(spark: SparkSession, source: Source) -> DataFrame:
@@ -46,72 +44,65 @@ def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str,
     query.awaitTermination()
 
 
-def event_counts(spark: SparkSession, source: Source, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Events per kind and tumbling window.
-
-    Update mode: a batch writes only the windows it changed, under its batch number; the newest
-    version of a window is its count. The watermark lets finished windows leave the state.
-    """
-    root = scratch_path(spark, "event-counts")
-    counts = (
-        _read(spark, source).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
-        .withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "kind")
-        .agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
-    )
+def _write_batches(stream: DataFrame, root: str, part: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """What ``part`` makes of every micro-batch, each below its own number (written again, the same)."""
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        part(batch).write.mode("overwrite").parquet(f"{root}/batch={number}")
 
-    _run(counts, write, "update", f"{root}-state")
-    versions = spark.read.option("basePath", root).schema("start timestamp, kind string, n bigint, batch int").parquet(root)
-    newest = versions.groupBy("start", "kind").agg(F.max_by("n", "batch").alias("n"))
-    return newest.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "n")
+    spark.createDataFrame([], schema).write.parquet(f"{root}/batch=-1")
+    _run(stream, write, "append", f"{root}-state")
+    return spark.read.option("basePath", root).schema(f"{schema}, batch int").parquet(root)
 
 
-STATE = "project_id bigint, good double, sign double, best_run_id bigint, streak bigint"
+def event_counts(spark: SparkSession, source: Source, width: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Events per kind and tumbling window, and how many of them came late.
+
+    Counts add up, so every batch writes what it adds to its windows, and files may come in any
+    order: no event is lost. Events are late if an earlier batch already had one that is more than
+    ``late`` younger than the end of their window.
+    """
+    rows = _read(spark, source).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    window = F.window("ts", width)["start"].alias("start")
+    newest = F.max("ts").alias("newest")
+    parts = _write_batches(
+        rows, scratch_path(spark, "event-counts"),
+        lambda batch: batch.groupBy(window, "kind").agg(F.count("*").alias("n"), newest),
+        "start timestamp, kind string, n bigint, newest timestamp")
+    # one row per batch: the youngest event of all batches before it
+    seen = parts.where("batch >= 0").groupBy("batch").agg(F.max("newest").alias("newest"))
+    before = seen.select("batch", F.max("newest").over(
+        Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    passed = F.col("start") + F.expr(f"INTERVAL {width}") + F.expr(f"INTERVAL {late}") <= F.col("before")
+    counted = parts.join(F.broadcast(before), "batch").groupBy("start", "kind").agg(
+        F.sum("n").alias("n"), F.sum(F.when(passed, F.col("n")).otherwise(0)).alias("n_late"))
+    return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "n", "n_late")
 
 
 def summarize(valued: DataFrame) -> DataFrame:
-    """Best value and number of scored runs after it, per project, for one stretch of history."""
-    rows = scored(valued).filter("value is not null").select("project_id", "seq", "value", "sign")
+    """Best value, its run, and the number of scored runs after it, per project."""
+    rows = scored(valued).filter("value is not null").select("project_id", "seq", "run_id", "value", "sign")
     at = running_fold(rows, ["project_id"], "seq", {"_at": ("sum", F.lit(1).cast("bigint"), True)})
-    best = F.max(F.struct((F.col("value") * F.col("sign")).alias("good"), (-F.col("seq")).alias("early"), "_at")).alias("b")
-    return at.groupBy("project_id").agg(best, F.max("_at").alias("n"), F.max("sign").alias("sign")).select(
-        "project_id", F.col("b.good").alias("good"), "sign", (-F.col("b.early")).alias("best_run_id"),
-        (F.col("n") - F.col("b._at")).alias("streak"), "n")
+    best = F.max(F.struct((F.col("value") * F.col("sign")).alias("good"), (-F.col("seq")).alias("early"), "_at", "value", "run_id")).alias("b")
+    return at.groupBy("project_id").agg(best, F.max("_at").alias("n")).select(
+        "project_id", F.col("b.value").alias("best"), F.col("b.run_id").alias("best_run_id"), (F.col("n") - F.col("b._at")).alias("streak"))
 
 
-def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after a later stretch: a strictly better run resets the streak, else it grows."""
-    s, b = state.alias("s"), batch.alias("b")
-    joined = s.join(b, F.col("s.project_id") == F.col("b.project_id"), "full_outer")
-    better = F.col("s.good").isNull() | (F.col("b.good") > F.col("s.good"))
-    take = lambda c: F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}"))
-    grown = F.col("s.streak") + F.coalesce(F.col("b.n"), F.lit(0))
-    return joined.select(
-        F.coalesce("s.project_id", "b.project_id").alias("project_id"), take("good").alias("good"),
-        F.coalesce("s.sign", "b.sign").alias("sign"), take("best_run_id").alias("best_run_id"),
-        F.when(better, F.col("b.streak")).otherwise(grown).alias("streak"))
+RUNS = "project_id bigint, seq bigint, run_id string, kind string, status string, value double, sign double"
 
 
 def stagnation(
     spark: SparkSession, source: Source, finished_runs: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Best run and streak per project, kept up to date as batches of runs arrive in order.
+    """Best run and streak per project, over runs that arrive in batches of any order.
 
-    ``finished_runs`` turns a batch of events into runs with ``value`` and ``sign``.
+    ``finished_runs`` turns a batch of events into runs with ``value`` and ``sign``. A run that
+    arrives late may become the best and change which others count, so the log keeps one narrow row
+    per scored run, and the result is read from it.
     """
-    root = scratch_path(spark, "stagnation")
-    last = {"version": None}
-
-    def write(batch: DataFrame, number: int) -> None:
-        before = (
-            spark.read.schema(STATE).parquet(f"{root}/v{number - 1}") if number > 0
-            else spark.createDataFrame([], STATE)
-        )
-        merge(before, summarize(finished_runs(batch))).write.mode("overwrite").parquet(f"{root}/v{number}")
-        last["version"] = number
-
-    _run(_read(spark, source), write, "append", f"{root}-state")
-    state = spark.read.schema(STATE).parquet(f"{root}/v{last['version']}")
-    return state.select("project_id", (F.col("good") * F.col("sign")).alias("best"), "best_run_id", "streak")
+    columns = [c.split()[0] for c in RUNS.split(", ")]
+    log = _write_batches(
+        _read(spark, source), scratch_path(spark, "stagnation"),
+        lambda batch: scored(finished_runs(batch)).filter("value is not null").select(*columns), RUNS)
+    return summarize(log)
