@@ -270,7 +270,7 @@ def convert(files: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None
     """
     narrow = cut_lineage(arc_rows(files, with_records=False).drop("head", "record"))
     long_enough = narrow.where(F.col("bytes") >= min_revisit)
-    order = F.struct((F.col("page") == "").alias("none"), F.col("page").cast("bigint").alias("number"))
+    order = F.struct((F.col("page") == "").alias("none"), F.col("page").try_cast("bigint").alias("number"))
     firsts = long_enough.groupBy("digest").agg(
         F.min(F.struct(order.alias("o"), "page", "url", "date")).alias("first"), F.count("*").alias("n")
     ).where("n > 1").select("digest", F.col("first.page").alias("first_page"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"))
