@@ -304,9 +304,10 @@ def search(docs: DataFrame, find: Search, digest: Callable[[Sequence], str], res
     read = cut_lineage(rows.select(*KEY, "doc_id", _scan(F.col("text"), find, digest).alias("s")))
     found = read.select(*KEY, F.explode(F.arrays_zip(F.col("s.grams").alias("gram"), F.col("s.at").alias("at"))).alias("g")).select(*KEY, "g.gram", "g.at")
 
-    # 1: grams that occur often enough
+    # 1: grams that occur often enough. What is counted is written before it is joined: a join of two
+    # plain tables is one whose skewed keys Spark splits
     often = F.min("_ord") < F.max("_ord") if find.earlier else F.count("*") > 1
-    grams = found.groupBy("gram").agg(often.alias("often")).where("often").select("gram")
+    grams = cut_lineage(found.groupBy("gram").agg(often.alias("often")).where("often").select("gram"))
     stay = found.join(grams, "gram").groupBy(*KEY).agg(F.collect_set("at").alias("at"))
     suspects = cut_lineage(rows.select(*KEY, "text").join(stay, [*KEY]))
 
@@ -314,7 +315,8 @@ def search(docs: DataFrame, find: Search, digest: Callable[[Sequence], str], res
     runs = cut_lineage(_runs(suspects, find))
     place = F.struct(*KEY, "first", "last")
     classes = cut_lineage(runs.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min(place).alias("head"), F.min("gram").alias("gram")))
-    several = classes.groupBy("gram").agg(F.count("*").alias("n"), F.min("copies").alias("least")).where("n > 1" if find.earlier else "n > 1 and least = 1")
+    held = classes.groupBy("gram").agg(F.count("*").alias("n"), F.min("copies").alias("least"))
+    several = cut_lineage(held.where("n > 1" if find.earlier else "n > 1 and least = 1").select("gram"))
     if find.earlier:
         # copies in later documents are repeats; those in the class's first document may still be
         own = runs.join(classes.select("c1", "c2", "head"), ["c1", "c2"])
@@ -329,13 +331,12 @@ def search(docs: DataFrame, find: Search, digest: Callable[[Sequence], str], res
     # 3: single windows
     lists = open_runs.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     # rows equal in id and text have the same windows at the same places
-    held = suspects.dropDuplicates([*KEY]).join(lists, [*KEY])
-    windows = cut_lineage(_windows(held, find))
-    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("_ord").alias("least"))
+    windows = cut_lineage(_windows(suspects.dropDuplicates([*KEY]).join(lists, [*KEY]), find))
+    counted = windows.groupBy("w1", "w2").agg(often.alias("often"), F.min("_ord").alias("least"))
+    counted = cut_lineage(counted.where("often").select("w1", "w2", "least"))
+    again = windows.join(counted, ["w1", "w2"])
     if find.earlier:
-        again = windows.join(counted.select("w1", "w2", "least"), ["w1", "w2"]).where("_ord > least")
-    else:
-        again = windows.join(counted.where("n > 1"), ["w1", "w2"], "left_semi")
+        again = again.where("_ord > least")
     spans = spans.unionByName(again.select(*KEY, F.col("first").alias("a"), (F.col("first") + find.window).alias("b")))
 
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))

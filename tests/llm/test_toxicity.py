@@ -58,7 +58,7 @@ def test_decoding(model):
     assert decoder.decode("1d10t") == "idiot" and decoder.decode("w0r7hle$s") == "worthless"
     assert decoder.decode("m.o.r.o.n") == "moron" and decoder.decode("i d i o t") == "idiot"
     assert decoder.decode("idiooot") == "idiot" and decoder.decode("worthless") == "worthless"
-    assert decoder.decode("2024").strip() == "" and decoder.decode("") == ""
+    assert decoder.decode("") == "" and tx.restored_words("2024 555-1234, $!", decoder, {}) == {"2024", "555-1234", "$!"}
     words = tx.restored_words("The 1D10T, and s c u m b a g 555-1234 (people)", decoder, {})
     assert {"idiot", "scumbag", "people", "the", "and"} <= words
 
