@@ -8,8 +8,10 @@ anchor's gram does. There are few anchors, each standing for a run of neighbouri
 
 1. anchors whose gram occurs often enough stay, and with them the texts that hold them;
 2. the runs of staying anchors are collapsed into classes of equal content: where a class repeats, all
-   its windows do, however many copies there are;
-3. what is left in buckets (grams) of several classes is compared window by window.
+   its windows do, however many copies there are; what is left in buckets (grams) of several classes
+   is cut into blocks of windows, whose buckets are what all windows of a block share, and collapsed
+   in the same way;
+3. what is left then is compared window by window.
 
 Long texts are read in segments of bounded size. Every table between steps holds plain rows, and a
 gram, class or window that occurs very often is counted before it is shuffled.
@@ -196,8 +198,14 @@ class Search:
 
     @property
     def width(self) -> int:
+        """Grams in a window."""
         return self.window - self.gram + 1
 
+    @property
+    def block(self) -> int:
+        """Window starts compared together before single windows are."""
+        return max(1, self.window // 12)
+
 
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
@@ -245,11 +253,26 @@ def _scan(text: Column, find: Search, digest: Callable[[Sequence], str]) -> Colu
     return scan(text)
 
 
-RUNS = "_ord bigint, _hash bigint, first bigint, last bigint, gram bigint, c1 bigint, c2 bigint"
+RUNS = "_ord bigint, _hash bigint, first bigint, last bigint, at bigint, bucket bigint, c1 bigint, c2 bigint"
+
+
+def _batch(order, key, columns: dict) -> pa.RecordBatch:
+    """Rows of one text; unsigned columns are stored as bigint."""
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array([order.as_py()] * n, pa.int64()), pa.array([key.as_py()] * n, pa.int64())]
+    arrays += [_longs(x) if x.dtype == np.uint64 else pa.array(x, pa.int64()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=["_ord", "_hash", *columns])
+
+
+def _class(hashes: Hashes, first: np.ndarray, end: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A region [first, end) as the hashes of its two halves; ``tag`` tells regions of equal content apart."""
+    middle = (first + end) // 2
+    c1 = mix(hashes.of(first, middle) + np.uint64(3) * tag.astype(np.uint64))
+    return c1, mix(hashes.of(middle, end) + np.uint64(5) * (end - first).astype(np.uint64))
 
 
 def _runs(suspects: DataFrame, find: Search) -> DataFrame:
-    """A row for each run of window starts under a staying anchor, with its class (c1, c2)."""
+    """A row for each run of window starts under a staying anchor: bucket is its gram, (c1, c2) its class."""
 
     def emit(parts):
         for part in parts:
@@ -259,24 +282,68 @@ def _runs(suspects: DataFrame, find: Search) -> DataFrame:
                     h = hashes.grams(find.gram)
                     p, first, last = anchors(h, find.width)
                     some = np.isin(p + a, stay)
-                    if not some.any():
-                        continue
                     p, first, last = p[some], first[some], last[some]
-                    end = last + find.window
-                    middle = (first + end) // 2
-                    c1 = mix(hashes.of(first, middle) + np.uint64(3) * (p - first).astype(np.uint64))
-                    c2 = mix(hashes.of(middle, end) + np.uint64(5) * (end - first).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([order.as_py()] * len(p), pa.int64()), pa.array([key.as_py()] * len(p), pa.int64()),
-                         pa.array(first + a), pa.array(last + a), _longs(h[p]), _longs(c1), _longs(c2)],
-                        names=["_ord", "_hash", "first", "last", "gram", "c1", "c2"],
-                    )
+                    c1, c2 = _class(hashes, first, last + find.window, p - first)
+                    yield _batch(order, key, {"first": first + a, "last": last + a, "at": p + a, "bucket": h[p], "c1": c1, "c2": c2})
 
     return suspects.select("_ord", "_hash", "text", "at").mapInArrow(emit, RUNS)
 
 
+def _blocks(suspects: DataFrame, find: Search) -> DataFrame:
+    """Given runs cut into blocks of neighbouring starts, aligned to the anchor: bucket is what all
+    windows of a block have in common, (c1, c2) the class of all they cover."""
+    size = find.block
+
+    def emit(parts):
+        for part in parts:
+            for order, key, text, runs in zip(*(part.column(c) for c in ("_ord", "_hash", "text", "runs")), strict=True):
+                seq = Sequence(text.as_py(), find.kind)
+                runs = np.array(sorted({(r["first"], r["last"], r["at"], r["done"]) for r in runs.as_py()}), np.int64)
+                for a, hashes in seq.segments(find.window):
+                    own = runs[(runs[:, 0] >= a) & (runs[:, 0] < a + SEGMENT)]
+                    if not len(own):
+                        continue
+                    first, last, p = own[:, 0] - a, own[:, 1] - a, own[:, 2] - a
+                    low, high = (p - last) // size, (p - first) // size
+                    row = np.repeat(np.arange(len(own)), high - low + 1)
+                    number = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
+                    near, far = number * size, number * size + size - 1  # distances from start to anchor
+                    start, stop = np.maximum(first[row], p[row] - far), np.minimum(last[row], p[row] - near)
+                    common = mix(hashes.of(p[row] - near, p[row] - far + find.window) + number.astype(np.uint64))
+                    c1, c2 = _class(hashes, start, stop + find.window, p[row] - start)
+                    yield _batch(order, key, {"first": start + a, "last": stop + a, "at": p[row] + a, "bucket": common, "c1": c1, "c2": c2, "done": own[row, 3]})
+
+    return suspects.select("_ord", "_hash", "text", "runs").mapInArrow(emit, RUNS + ", done bigint").withColumn("done", F.col("done") == 1)
+
+
+def _refine(rows: DataFrame, find: Search) -> tuple[DataFrame, DataFrame]:
+    """(spans that repeat, rows to look at more closely) from rows with a bucket and a class.
+
+    Where a class repeats, so do all its windows. Rows of other classes can only share some of their
+    windows with rows of the same bucket; one row stands for its class there. ``done`` marks rows that
+    repeat anyway and are only there to be compared with.
+    """
+    place = F.struct(*KEY, "first", "last", "at")
+    classes = cut_lineage(rows.groupBy("c1", "c2").agg(
+        F.count("*").alias("copies"), F.max("done").alias("done"), F.min(place).alias("head"), F.min("bucket").alias("bucket")))
+    lone = (F.col("copies") == 1) & ~F.col("done")
+    held = classes.groupBy("bucket").agg(F.count("*").alias("n"), F.max(lone).alias("lone"))
+    several = cut_lineage(held.where("n > 1" if find.earlier else "n > 1 and lone").select("bucket"))
+    if find.earlier:
+        # copies in later documents are repeats; those in the class's first document may still be
+        own = rows.join(classes.select("c1", "c2", "head"), ["c1", "c2"])
+        whole = own.where("_ord > head._ord")
+        rest = own.where("_ord = head._ord").join(several, "bucket", "left_semi").select(*KEY, "first", "last", "at", "done")
+    else:
+        whole = rows.join(classes.where("copies > 1").select("c1", "c2"), ["c1", "c2"], "left_semi")
+        rest = classes.join(several, "bucket", "left_semi").select("head.*", (F.col("done") | (F.col("copies") > 1)).alias("done"))
+    spans = whole.select(*KEY, F.col("first").alias("a"), (F.col("last") + find.window).alias("b"))
+    runs = rest.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "at", "done")).alias("runs"))
+    return spans, runs
+
+
 def _windows(suspects: DataFrame, find: Search) -> DataFrame:
-    """A row for each window that starts in the given runs (column ``runs`` of first, last)."""
+    """A row for each window that starts in the given runs."""
 
     def emit(parts):
         for part in parts:
@@ -285,14 +352,10 @@ def _windows(suspects: DataFrame, find: Search) -> DataFrame:
                 runs = sorted({(r["first"], r["last"]) for r in runs.as_py()})
                 for a, hashes in seq.segments(find.window):
                     own = [np.arange(f - a, e - a + 1) for f, e in runs if a <= f < a + SEGMENT]
-                    if not own:
-                        continue
-                    starts = np.unique(np.concatenate(own))
-                    k1, k2 = find.window_keys(hashes, starts, find.window)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([order.as_py()] * len(starts), pa.int64()), pa.array([key.as_py()] * len(starts), pa.int64()), pa.array(starts + a), _longs(k1), _longs(k2)],
-                        names=["_ord", "_hash", "first", "w1", "w2"],
-                    )
+                    if own:
+                        starts = np.unique(np.concatenate(own))
+                        w1, w2 = find.window_keys(hashes, starts, find.window)
+                        yield _batch(order, key, {"first": starts + a, "w1": w1, "w2": w2})
 
     return suspects.select("_ord", "_hash", "text", "runs").mapInArrow(emit, "_ord bigint, _hash bigint, first bigint, w1 bigint, w2 bigint")
 
@@ -311,33 +374,21 @@ def search(docs: DataFrame, find: Search, digest: Callable[[Sequence], str], res
     stay = found.join(grams, "gram").groupBy(*KEY).agg(F.collect_set("at").alias("at"))
     suspects = cut_lineage(rows.select(*KEY, "text").join(stay, [*KEY]))
 
-    # 2: classes of equal runs
-    runs = cut_lineage(_runs(suspects, find))
-    place = F.struct(*KEY, "first", "last")
-    classes = cut_lineage(runs.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min(place).alias("head"), F.min("gram").alias("gram")))
-    held = classes.groupBy("gram").agg(F.count("*").alias("n"), F.min("copies").alias("least"))
-    several = cut_lineage(held.where("n > 1" if find.earlier else "n > 1 and least = 1").select("gram"))
-    if find.earlier:
-        # copies in later documents are repeats; those in the class's first document may still be
-        own = runs.join(classes.select("c1", "c2", "head"), ["c1", "c2"])
-        whole = own.where("_ord > head._ord")
-        open_runs = own.where("_ord = head._ord").join(several, "gram", "left_semi").select(*KEY, "first", "last")
-    else:
-        whole = runs.join(classes.where("copies > 1").select("c1", "c2"), ["c1", "c2"], "left_semi")
-        # one run for each class of such a bucket is enough to compare with
-        open_runs = classes.join(several, "gram", "left_semi").select("head.*")
-    spans = whole.select(*KEY, F.col("first").alias("a"), (F.col("last") + find.window).alias("b"))
+    # rows equal in id and text have the same windows at the same places
+    each = suspects.dropDuplicates([*KEY])
+
+    # 2: runs of windows under one anchor, then blocks of a run
+    spans, runs = _refine(cut_lineage(_runs(suspects, find).withColumn("done", F.lit(False))), find)
+    more, runs = _refine(cut_lineage(_blocks(each.join(runs, [*KEY]), find)), find)
 
     # 3: single windows
-    lists = open_runs.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    # rows equal in id and text have the same windows at the same places
-    windows = cut_lineage(_windows(suspects.dropDuplicates([*KEY]).join(lists, [*KEY]), find))
+    windows = cut_lineage(_windows(each.join(runs, [*KEY]), find))
     counted = windows.groupBy("w1", "w2").agg(often.alias("often"), F.min("_ord").alias("least"))
     counted = cut_lineage(counted.where("often").select("w1", "w2", "least"))
     again = windows.join(counted, ["w1", "w2"])
     if find.earlier:
         again = again.where("_ord > least")
-    spans = spans.unionByName(again.select(*KEY, F.col("first").alias("a"), (F.col("first") + find.window).alias("b")))
+    spans = spans.unionByName(more).unionByName(again.select(*KEY, F.col("first").alias("a"), (F.col("first") + find.window).alias("b")))
 
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
