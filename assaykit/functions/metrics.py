@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .ordering import ROWS_PER_CHUNK, running_fold
 
 EPSILON = 2.220446049250313e-16
-SCORE_CELLS = 4096
 
 
 def positive_proba(columns: Sequence[str]) -> str | None:
@@ -36,7 +35,6 @@ class Context:
     n_labels: int = 2
     proba: str | None = None
     weight: str | None = None
-    n_scores: int | None = None
     #: Subtracted from numeric targets before squares are added up, so that a large offset does not cancel.
     center: float = 0.0
 
@@ -45,13 +43,10 @@ class Context:
 
 
 def context_of(preds: DataFrame, weight: str | None = None) -> Context:
-    """Positive class (the largest true label), number of labels, probability column and about how
-    many distinct scores it has (per label, added up): one pass."""
-    proba = positive_proba(preds.columns)
-    scores = F.approx_count_distinct(F.col(proba), 0.02) if proba else F.lit(0)
-    labels = preds.filter("y_true is not null").groupBy("y_true").agg(scores.alias("n"))
-    row = labels.agg(F.max("y_true"), F.min("y_true"), F.count("*"), F.sum("n")).first()
-    return Context(row[0], row[1], row[2], proba, weight, row[3] if proba else None)
+    """Positive class (the largest true label), number of labels and probability column: one pass."""
+    labels = preds.filter("y_true is not null").select("y_true").distinct()
+    row = labels.agg(F.max("y_true"), F.min("y_true"), F.count("*")).first()
+    return Context(row[0], row[1], row[2], positive_proba(preds.columns), weight)
 
 
 @dataclass(frozen=True)

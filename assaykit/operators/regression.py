@@ -32,7 +32,10 @@ def prepare_regression(
     binner = fit_bins(coded, list(features), bins)
     if not binner.names:
         raise ValueError("no usable features after encoding")
-    folded = kfold(binner.apply(coded, ["row_id", "y"]), k, seed=seed)
+    # scores do not change when the targets move, and sums of squares of a large offset would cancel
+    center = coded.agg(F.avg("y")).first()[0] or 0.0
+    centered = binner.apply(coded, ["row_id", "y"]).withColumn("y", F.col("y") - F.lit(float(center)))
+    folded = kfold(centered, k, seed=seed)
     return Prepared(cut_lineage(folded), binner, None, k)
 
 

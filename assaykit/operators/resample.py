@@ -15,33 +15,27 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import poisson_cuts, poisson_weight, replica_coefficients, replica_value, slot, uniform
-from ..functions.metrics import SCORE_CELLS, Context, Metric, RankMetric, context_for
+from ..functions.metrics import Context, Metric, RankMetric, context_for
 from .align import Aligned, align
 
 UNITS = 1 << 17
+SCORE_WIDTH = 1e-4
 ROWS_PER_SLOT = 50_000
 
 
-def coarse_scores(preds: DataFrame, ctx: Context, cells: int = SCORE_CELLS) -> DataFrame:
-    """Replace scores by rank bins when there are clearly more than ``cells`` distinct ones.
+def coarse_scores(preds: DataFrame, ctx: Context, width: float | None = SCORE_WIDTH) -> DataFrame:
+    """Scores as multiples of ``width``: the same bins for every group and table size; None keeps them.
 
     Only used inside resampling. Within a bin all pairs count half, so a replica's area is off by
     at most half the sum over bins of positives x negatives, relative to all pairs.
     """
-    if ctx.n_scores is not None and ctx.n_scores <= cells:
+    if width is None:
         return preds
-    column = ctx.proba
-    probes = [i / cells for i in range(1, cells)]
-    cuts = sorted({float(q) for q in preds.approxQuantile(column, probes, 0.25 / cells)})
-    binned = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol=column, outputCol="_rank_bin", handleInvalid="keep"
-    ).transform(preds)
-    return binned.withColumn(column, F.col("_rank_bin")).drop("_rank_bin")
+    return preds.withColumn(ctx.proba, F.floor(F.col(ctx.proba).cast("double") / width + 0.5) * F.lit(width))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -76,13 +70,18 @@ def bootstrap_values(
     n_boot: int = 200,
     seed: int = 0,
     key: str = "row_id",
+    units: int = UNITS,
+    score_width: float | None = SCORE_WIDTH,
 ) -> DataFrame:
-    """Metric per replica: ``by`` columns, ``replica``, ``value`` (null values removed)."""
+    """Metric per replica: ``by`` columns, ``replica``, ``value`` (null values removed).
+
+    ``units`` is the number of resampling units, ``score_width`` the width of score bins.
+    """
     by = list(by)
     rank = isinstance(metric, RankMetric)
     if rank:
-        preds = coarse_scores(preds, ctx)
-    rows = preds.withColumn("_unit", slot(F.col(key), UNITS, f"unit{seed}"))
+        preds = coarse_scores(preds, ctx, score_width)
+    rows = preds.withColumn("_unit", slot(F.col(key), units, f"unit{seed}"))
     cells = metric.cells(rows, [*by, "_unit"], ctx)
     keys, sums = list(metric.cell_keys(ctx)), list(metric.cell_sums(ctx))
     draws = replicate(cells, sums, n_boot, seed).groupBy(*by, "replica", *keys).agg(
@@ -104,13 +103,15 @@ def noise_floor(
     n_boot: int = 200,
     seed: int = 0,
     ctx: Context | None = None,
+    units: int = UNITS,
+    score_width: float | None = SCORE_WIDTH,
 ) -> DataFrame:
     """Spread of a metric under resampling and the smallest change worth believing (two sd).
 
     Groups with too few valid replicas are left out.
     """
     ctx = ctx or context_for(metric, preds)
-    values = bootstrap_values(preds, metric, ctx, by, n_boot, seed)
+    values = bootstrap_values(preds, metric, ctx, by, n_boot, seed, units=units, score_width=score_width)
     ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     stats = values.groupBy(*by).agg(
         F.count("value").alias("n_boot"), F.avg("value").alias("mean"),
@@ -124,11 +125,12 @@ def noise_floor(
 
 
 def paired_deltas(
-    rows: DataFrame, metric: Metric, ctx: Context, run_a: str, run_b: str, n_boot: int, seed: int = 0
+    rows: DataFrame, metric: Metric, ctx: Context, run_a: str, run_b: str, n_boot: int, seed: int = 0,
+    units: int = UNITS, score_width: float | None = SCORE_WIDTH,
 ) -> DataFrame:
     """``replica``, ``delta`` = metric(b) - metric(a) on identical resamples of shared rows."""
     both = rows.filter(F.col("run_id").isin(run_a, run_b))
-    values = bootstrap_values(both, metric, ctx, ["run_id"], n_boot, seed)
+    values = bootstrap_values(both, metric, ctx, ["run_id"], n_boot, seed, units=units, score_width=score_width)
     pick = lambda run: F.max(F.when(F.col("run_id") == run, F.col("value")))
     return (
         values.groupBy("replica").agg((pick(run_b) - pick(run_a)).alias("delta"))
@@ -138,11 +140,11 @@ def paired_deltas(
 
 def paired_std(
     rows: DataFrame, metric: Metric, ctx: Context, run_a: str, run_b: str, n_boot: int, seed: int = 0,
-    needed: int | None = None,
+    needed: int | None = None, units: int = UNITS, score_width: float | None = SCORE_WIDTH,
 ) -> DataFrame:
     """One row: number of valid replicas and ``paired_std`` (null when there are too few)."""
     needed = enough_replicas(n_boot) if needed is None else needed
-    deltas = paired_deltas(rows, metric, ctx, run_a, run_b, n_boot, seed)
+    deltas = paired_deltas(rows, metric, ctx, run_a, run_b, n_boot, seed, units, score_width)
     return deltas.agg(
         F.count("delta").alias("n_boot"),
         F.when(F.count("delta") >= needed, F.stddev_samp("delta")).alias("paired_std"),
@@ -155,7 +157,7 @@ def bar_of(std: Column) -> Column:
 
 def compare_aligned(
     pair: Aligned, metric: Metric, n_boot: int, maximize: bool | None = None, seed: int = 0,
-    ctx: Context | None = None,
+    ctx: Context | None = None, units: int = UNITS, score_width: float | None = SCORE_WIDTH,
 ) -> DataFrame:
     run_a, run_b = pair.runs
     maximize = metric.higher_is_better if maximize is None else maximize
@@ -165,7 +167,7 @@ def compare_aligned(
     values = metric.finish(metric.cells(rows, ["run_id"], ctx), ["run_id"], ctx)
     pick = lambda run: F.max(F.when(F.col("run_id") == run, F.col("value")))
     points = values.agg(pick(run_a).alias("value_a"), pick(run_b).alias("value_b"))
-    spread = paired_std(rows, metric, ctx, run_a, run_b, n_boot, seed)
+    spread = paired_std(rows, metric, ctx, run_a, run_b, n_boot, seed, units=units, score_width=score_width)
     one = points.withColumn("_k", F.lit(0)).join(spread.withColumn("_k", F.lit(0)), "_k")
     improvement = sign * (F.col("value_b") - F.col("value_a"))
     return (
@@ -181,7 +183,7 @@ def compare_aligned(
 
 def compare_runs(
     preds: DataFrame, run_a: str, run_b: str, metric: Metric, n_boot: int = 150,
-    maximize: bool | None = None, seed: int = 0,
+    maximize: bool | None = None, seed: int = 0, units: int = UNITS, score_width: float | None = SCORE_WIDTH,
 ) -> DataFrame:
     """Paired, two-sided comparison of two runs on the rows both predicted.
 
@@ -192,7 +194,7 @@ def compare_runs(
         raise ValueError(
             f"{run_a} and {run_b} share {pair.n_common} rows; at least {MIN_TEXT} are needed"
         )
-    return compare_aligned(pair, metric, n_boot, maximize, seed)
+    return compare_aligned(pair, metric, n_boot, maximize, seed, None, units, score_width)
 
 
 MIN_TEXT = "50 rows and 60 % of the smaller run"

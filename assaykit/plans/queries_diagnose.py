@@ -64,6 +64,34 @@ def quartile_bucket(spark, sf):
     return d.quartile_bucket(v.feat(spark, sf), "total_price").select("row_id", "bucket")
 
 
+@query("quartile_bucket_nan", ("feat",),
+       f"""SELECT row_id, {_quartile('price', 'odd')} AS bucket FROM odd""".replace("SELECT row_id", f"""WITH odd AS (
+         SELECT row_id, CASE WHEN {v.u_sql('row_id', 'nan')} >= 0.4 THEN total_price END AS price FROM feat) SELECT row_id""", 1))
+def quartile_bucket_nan(spark, sf):
+    """Two fifths of the values are NaN: they are missing values, as null is."""
+    price = F.when(v.u("row_id", "nan") < 0.4, F.lit(float("nan"))).otherwise(F.col("total_price"))
+    return d.quartile_bucket(v.feat(spark, sf).withColumn("price", price), "price").select("row_id", "bucket")
+
+
+WIDE = tuple(f"w{i}" for i in range(36))
+_WIDE_VALUES = ", ".join(f"floor({v.u_sql('row_id', c)} * {2 + i % 9})::BIGINT AS {c}" for i, c in enumerate(WIDE[:-1]))
+_WIDE_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_by_value(c, 'rows_')} AS bucket, error FROM rows_" for c in WIDE)
+
+
+@query("error_slices_wide", ("preds_slice", "feat"),
+       f"""WITH rows_ AS (SELECT row_id, (y_true <> y_pred)::INT AS error, {_WIDE_VALUES}, priority AS w35
+            FROM preds_slice JOIN feat USING (row_id)), total AS (SELECT avg(error) AS overall, count(*) AS n_all FROM rows_)
+          SELECT feature, bucket, count(*) AS n, round(avg(error), 4) AS error, round(avg(error) / overall, 2) AS lift
+            FROM ({_WIDE_CELLS}), total GROUP BY feature, bucket, overall, n_all
+            HAVING count(*) >= greatest(10, floor(0.02 * n_all)) AND avg(error) > overall
+            ORDER BY lift DESC, n DESC, feature, bucket LIMIT 8""", ("error", "lift"))
+def error_slices_wide(spark, sf):
+    """36 features, the one that tells the errors comes last."""
+    values = {c: F.floor(v.u("row_id", c) * (2 + i % 9)) for i, c in enumerate(WIDE[:-1])}
+    rows = _rows(spark, sf)
+    return d.error_slices(rows.withColumns(values).withColumn(WIDE[-1], F.col("priority")), WIDE)
+
+
 @query("top_values_other", ("quality",),
        f"SELECT 'source' AS feature, {_by_value('source', 'quality')} AS bucket, count(*) AS n FROM quality GROUP BY 1, 2")
 def top_values_other(spark, sf):

@@ -75,6 +75,19 @@ def _floor_query(key, metric, view, reader, n_boot=200):
 
 
 _floor_query("noise_floor", "auc", "preds_cls", v.preds_cls)
+
+
+@query("noise_floor_continuous", ("preds_cls",),
+       f"""WITH rows_ AS (SELECT {unit_sql()} AS unit, y_true,
+            floor((0.6 * {v.u_sql('row_id', 'p')} + 0.1 + 0.2 * y_true) / {r.SCORE_WIDTH}::DOUBLE + 0.5) * {r.SCORE_WIDTH}::DOUBLE AS s FROM preds_cls),
+          draws AS ({draws_sql(200)})
+          SELECT 'auc' AS metric, {FLOOR} FROM ({auc_values_sql()})""", FLOOR_COLS)
+def noise_floor_continuous(spark, sf):
+    """Scores that are not rounded: binned to the documented width at every size."""
+    score = 0.6 * v.u("row_id", "p") + 0.1 + 0.2 * F.col("y_true")
+    return r.noise_floor(v.preds_cls(spark, sf).withColumn("proba_1", score), known_metric("auc"), n_boot=200)
+
+
 _floor_query("noise_floor_accuracy", "accuracy", "preds_cls", v.preds_cls)
 _floor_query("noise_floor_f1", "f1", "preds_cls", v.preds_cls)
 _floor_query("noise_floor_rmse", "rmse", "preds_reg", v.preds_reg)

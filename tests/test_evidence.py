@@ -92,7 +92,7 @@ def test_custom_metric_floor(spark):
 def test_rank_bins_keep_the_auc_floor(spark):
     d = preds(spark, 3000).withColumn("proba_1", 0.2 * F.col("y_true") + u("fine"))
     ctx = context_of(d)
-    binned = resample.coarse_scores(d, ctx, cells=64)
+    binned = resample.coarse_scores(d, ctx, 1 / 32)
     exact, rough = (metric_value(x, known_metric("auc")).first()["value"] for x in (d, binned))
     assert binned.select("proba_1").distinct().count() <= 65 and exact == pytest.approx(rough, abs=1 / 64)
 
