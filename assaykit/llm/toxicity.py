@@ -22,6 +22,7 @@ share of toxic labels, or 0 if there are none; extra columns may have any name.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import ROW, as_struct
 
 #: Labelled rows the lexicon and the regression learn from, and words a worker remembers.
-FIT_ROWS, CACHED = 20_000, 400_000
+FIT_ROWS, CACHED = 20_000, 1_000_000
 THRESHOLD = 0.7
 
 #: Letters of the model: a-z, the letters of Latin-1, any other letter; 0 is all that is no letter.
@@ -79,15 +80,31 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     Each task sends what it has counted, at most one row per trigram; the sums fit the alphabet.
     """
+    blank = np.zeros(1, np.uint8)
+
+    def blocks_of(texts, size=1 << 19):
+        """Texts, long ones in parts, in lists of about ``size`` characters."""
+        block, held = [], 0
+        for text in texts:
+            text = text.as_py() or ""
+            for at in range(0, len(text), size):
+                block.append(text[at : at + size])
+                held += len(block[-1])
+                if held >= size:
+                    yield block
+                    block, held = [], 0
+        if block:
+            yield block
 
     def count(parts):
         total = np.zeros(LETTERS**3, np.int64)
         for part in parts:
-            for text in part.column(0):
-                text = text.as_py()
-                for at in range(0, len(text or ""), 1 << 20):
-                    c = np.concatenate([[0, 0], codes(text[max(0, at - 2) : at + (1 << 20)]), [0]]).astype(np.int64)
-                    total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=len(total))
+            for block in blocks_of(part.column(0)):
+                # each text stands between two blanks and one; trigrams across texts do not count
+                c = np.concatenate([x for text in block for x in (blank, blank, codes(text), blank)]).astype(np.int64)
+                k = (c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:]
+                ends = np.cumsum([len(text) + 3 for text in block])[:-1]
+                total += np.bincount(np.delete(k, np.concatenate([ends - 2, ends - 1])), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"k": pa.array(some, pa.int64()), "n": pa.array(total[some])})
 
@@ -131,6 +148,15 @@ class Decoder:
     def decode(self, chars: str) -> str:
         """The most likely original of lower-case ``chars``; blanks where no letter stands."""
         logp = self.logp
+        twice = [i for i in range(1, len(chars)) if chars[i] == chars[i - 1]]
+        if len(twice) == 1 and chars.isalpha():
+            # two paths, which differ in these factors only
+            i = twice[0]
+            around = [0, *(self.code.get(c) or int(codes(c)[0]) for c in chars[max(0, i - 2) : i + 2]), 0]
+            a, b, c = (around[1], around[2], around[4]) if i > 1 else (0, around[1], around[3])
+            if REPEATED + logp[a, b, c] > logp[a, b, b] + logp[b, b, c]:
+                return chars[:i] + chars[i + 1 :]
+            return chars
         # paths by their last two letters: (log probability, letters so far as linked pairs)
         paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i in range(len(chars)):
@@ -187,6 +213,17 @@ def restored_words(text: str, decoder: Decoder, known: dict[str, tuple[str, ...]
     return out
 
 
+_KNOWN: dict[str, dict[str, tuple[str, ...]]] = {}
+
+
+def remembered(token: str) -> dict[str, tuple[str, ...]]:
+    """The decoded words of a model in this Python worker, kept from task to task."""
+    if token not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[token] = {}
+    return _KNOWN[token]
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings."""
     return [f"={word}", *[word[:k] for k in (4, 5, 6) if len(word) >= k]]
@@ -197,6 +234,7 @@ class Model:
     """What scoring needs: the language model, the weights of features, and the regression."""
 
     logp: np.ndarray
+    token: str = ""
     weights: dict[str, float] = field(default_factory=dict)
     mean: np.ndarray = field(default_factory=lambda: np.zeros(5))
     spread: np.ndarray = field(default_factory=lambda: np.ones(5))
@@ -261,11 +299,11 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     return rows.select("text", F.col("_toxic").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half"))
 
 
-def _read(rows: DataFrame, logp, emit, schema: str) -> DataFrame:
+def _read(rows: DataFrame, logp, token: str, emit, schema: str) -> DataFrame:
     """``emit(list of (words, toxic, half))`` for each batch of the sample."""
 
     def run(parts):
-        decoder, known = Decoder(logp.value), {}
+        decoder, known = Decoder(logp.value), remembered(token)
         for part in parts:
             texts, toxic, half = (part.column(i).to_pylist() for i in range(3))
             yield from emit([(restored_words(t or "", decoder, known), y, h) for t, y, h in zip(texts, toxic, half, strict=True)])
@@ -281,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
     sc = docs.sparkSession.sparkContext
     logp = language_model(trigram_counts(docs))
     shared = sc.broadcast(logp)
-    rows = sample(docs, labels, fit_rows)
+    rows, token = sample(docs, labels, fit_rows), uuid.uuid4().hex
 
     def seen(documents):
         counts = Counter()
@@ -295,14 +333,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
         })
 
     sizes = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
-    model = Model(logp)
+    model = Model(logp, token)
     n1, n0 = (sum(n for (y, _), n in sizes.items() if y == k) for k in (1, 0))
     if not n1 or not n0:
         share = n1 / (n1 + n0) if n1 + n0 else 0.0
         model.coefficients[-1] = np.log((share + 1e-9) / (1 - share + 1e-9))
         return model
     sums = [F.sum(F.when((F.col("y") == y) & (F.col("h") == h), F.col("n")).otherwise(0)).alias(f"c{y}{h}") for y in (0, 1) for h in (0, 1)]
-    each = _read(rows, shared, seen, "f string, y int, h int, n bigint").groupBy("f").agg(*sums)
+    each = _read(rows, shared, token, seen, "f string, y int, h int, n bigint").groupBy("f").agg(*sums)
     # features seen in several toxic documents, those that tell most first
     telling = each.where("c10 + c11 >= 2 and (c10 + c11) * {0} > 2 * (c00 + c01) * {1}".format(n0, n1))
     telling = telling.orderBy(F.desc((F.col("c10") + F.col("c11")) / (F.col("c00") + F.col("c01") + 1.0)), "f").limit(lexicon).collect()
@@ -317,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
         out = [(evidence(words, halves.value[1 - h]), y) for words, y, h in documents]
         yield pa.RecordBatch.from_pydict({"x": pa.array([x for x, _ in out], pa.list_(pa.float64())), "y": pa.array([y for _, y in out], pa.int32())})
 
-    points = _read(rows, shared, judged, "x array<double>, y int").collect()
+    points = _read(rows, shared, token, judged, "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in points]), np.array([r["y"] for r in points], float)
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-6
     model.coefficients = fit_regression((x - model.mean) / model.spread, y)
@@ -330,7 +368,7 @@ def scores(text: Column, shared) -> Column:
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        decoder, known = Decoder(model.logp), {}
+        decoder, known = Decoder(model.logp), remembered(model.token)
         for part in parts:
             rows = [evidence(restored_words(t.as_py() or "", decoder, known), model.weights) for t in part]
             x = (np.array(rows).reshape(-1, 5) - model.mean) / model.spread

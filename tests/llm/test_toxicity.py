@@ -75,7 +75,7 @@ def brute_best(decoder, chars):
     return best
 
 
-@pytest.mark.parametrize("chars", ["1d1ot", "aa*b", "m.o0n", "l33t", "ooo"])
+@pytest.mark.parametrize("chars", ["1d1ot", "aa*b", "m.o0n", "l33t", "ooo", "oo", "moon", "eerie", "tall", "aab", "peoplle"])
 def test_viterbi_is_the_best_path(model, chars):
     decoder = tx.Decoder(model.logp)
     said = decoder.decode(chars)
