@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset in a local session
-    (tests on one machine) a temporary folder is made, once per session.
+    (tests on one machine, whose executors are the driver) a temporary folder is made, once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -44,8 +47,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, removed when the driver's session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _MARKED.append(place)
+    return path
+
+
+_MARKED: list = []
+
+
+def _remove_scratch() -> None:
+    """Deletes what this driver's session has written to the shared folder."""
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    if context is None:
+        return
+    with suppress(Py4JError, OSError):  # the JVM may be gone at exit
+        conf = context._jsc.hadoopConfiguration()
+        while _MARKED:
+            place = _MARKED.pop()
+            place.getFileSystem(conf).delete(place, True)
+
+
+atexit.register(_remove_scratch)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -19,6 +19,14 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).json(path)
 
 
+def merged_events(events: DataFrame) -> DataFrame:
+    """seq and ``fields``: everything in the payload, with ts and kind beside it (these win over equal names)."""
+    payload = F.coalesce(F.from_json("payload", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    own = F.create_map(F.lit("ts"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("kind"), F.col("kind"))
+    rest = F.map_filter(payload, lambda name, _: ~name.isin("ts", "kind"))
+    return events.select("seq", F.map_concat(rest, own).alias("fields"))
+
+
 def latest_events(events: DataFrame, limit: int = 20) -> DataFrame:
     """The last ``limit`` events, oldest first (a distributed top-n, not a full sort)."""
     return events.orderBy(F.desc("seq")).limit(limit).orderBy("seq")

@@ -125,3 +125,27 @@ def test_streams_do_not_depend_on_the_order_of_files(spark, sf):
     valued = history.with_primary_value(v.runs(spark, sf), goals)
     want = {r["project_id"]: tuple(r)[1:] for r in stream.summarize(valued).collect()}
     assert got == want
+
+
+def test_payload_fields_join_time_and_kind(spark):
+    from assaykit.sources import eventlog
+
+    rows = [(1, '{"a": 1, "kind": "inner", "b": "x"}'), (2, "not json"), (3, None)]
+    log = spark.createDataFrame(rows, "seq bigint, payload string").selectExpr("seq", "timestamp'2024-01-02 03:04:05' AS ts", "'outer' AS kind", "payload")
+    got = {r["seq"]: r["fields"] for r in eventlog.merged_events(log).collect()}
+    own = {"ts": "2024-01-02T03:04:05", "kind": "outer"}
+    assert got == {1: {"a": "1", "b": "x", **own}, 2: own, 3: own}
+
+
+def test_scratch_tables_are_removed_at_the_end(spark):
+    import os
+
+    from assaykit import session
+
+    path = session.scratch_path(spark, "gone").removeprefix("file://")
+    spark.range(3).write.parquet(path)
+    kept, session._MARKED[:] = session._MARKED[:-1], session._MARKED[-1:]
+    assert os.path.isdir(path)
+    session._remove_scratch()
+    assert not os.path.exists(path)
+    session._MARKED[:] = kept
