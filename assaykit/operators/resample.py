@@ -23,11 +23,12 @@ from ..functions.metrics import Context, Metric, RankMetric, context_for
 from .align import Aligned, align
 
 UNITS = 1 << 17
+#: Bin width that suits continuous scores of very large tables; by default scores are kept.
 SCORE_WIDTH = 1e-4
 ROWS_PER_SLOT = 50_000
 
 
-def coarse_scores(preds: DataFrame, ctx: Context, width: float | None = SCORE_WIDTH) -> DataFrame:
+def coarse_scores(preds: DataFrame, ctx: Context, width: float | None) -> DataFrame:
     """Scores as multiples of ``width``: the same bins for every group and table size; None keeps them.
 
     Only used inside resampling. Within a bin all pairs count half, so a replica's area is off by
@@ -71,7 +72,7 @@ def bootstrap_values(
     seed: int = 0,
     key: str = "row_id",
     units: int = UNITS,
-    score_width: float | None = SCORE_WIDTH,
+    score_width: float | None = None,
 ) -> DataFrame:
     """Metric per replica: ``by`` columns, ``replica``, ``value`` (null values removed).
 
@@ -104,7 +105,7 @@ def noise_floor(
     seed: int = 0,
     ctx: Context | None = None,
     units: int = UNITS,
-    score_width: float | None = SCORE_WIDTH,
+    score_width: float | None = None,
 ) -> DataFrame:
     """Spread of a metric under resampling and the smallest change worth believing (two sd).
 
@@ -126,7 +127,7 @@ def noise_floor(
 
 def paired_deltas(
     rows: DataFrame, metric: Metric, ctx: Context, run_a: str, run_b: str, n_boot: int, seed: int = 0,
-    units: int = UNITS, score_width: float | None = SCORE_WIDTH,
+    units: int = UNITS, score_width: float | None = None,
 ) -> DataFrame:
     """``replica``, ``delta`` = metric(b) - metric(a) on identical resamples of shared rows."""
     both = rows.filter(F.col("run_id").isin(run_a, run_b))
@@ -140,7 +141,7 @@ def paired_deltas(
 
 def paired_std(
     rows: DataFrame, metric: Metric, ctx: Context, run_a: str, run_b: str, n_boot: int, seed: int = 0,
-    needed: int | None = None, units: int = UNITS, score_width: float | None = SCORE_WIDTH,
+    needed: int | None = None, units: int = UNITS, score_width: float | None = None,
 ) -> DataFrame:
     """One row: number of valid replicas and ``paired_std`` (null when there are too few)."""
     needed = enough_replicas(n_boot) if needed is None else needed
@@ -157,7 +158,7 @@ def bar_of(std: Column) -> Column:
 
 def compare_aligned(
     pair: Aligned, metric: Metric, n_boot: int, maximize: bool | None = None, seed: int = 0,
-    ctx: Context | None = None, units: int = UNITS, score_width: float | None = SCORE_WIDTH,
+    ctx: Context | None = None, units: int = UNITS, score_width: float | None = None,
 ) -> DataFrame:
     run_a, run_b = pair.runs
     maximize = metric.higher_is_better if maximize is None else maximize
@@ -183,7 +184,7 @@ def compare_aligned(
 
 def compare_runs(
     preds: DataFrame, run_a: str, run_b: str, metric: Metric, n_boot: int = 150,
-    maximize: bool | None = None, seed: int = 0, units: int = UNITS, score_width: float | None = SCORE_WIDTH,
+    maximize: bool | None = None, seed: int = 0, units: int = UNITS, score_width: float | None = None,
 ) -> DataFrame:
     """Paired, two-sided comparison of two runs on the rows both predicted.
 

@@ -85,7 +85,7 @@ _floor_query("noise_floor", "auc", "preds_cls", v.preds_cls)
 def noise_floor_continuous(spark, sf):
     """Scores that are not rounded: binned to the documented width at every size."""
     score = 0.6 * v.u("row_id", "p") + 0.1 + 0.2 * F.col("y_true")
-    return r.noise_floor(v.preds_cls(spark, sf).withColumn("proba_1", score), known_metric("auc"), n_boot=200)
+    return r.noise_floor(v.preds_cls(spark, sf).withColumn("proba_1", score), known_metric("auc"), n_boot=200, score_width=r.SCORE_WIDTH)
 
 
 _floor_query("noise_floor_accuracy", "accuracy", "preds_cls", v.preds_cls)
