@@ -2,8 +2,9 @@
 
 ``write_arc`` puts pages into ARC files (the legacy form, version 1 or 2 by partition), ``parse_arc``
 reads them by the version's header fields and the declared lengths, ``convert`` writes WARC/1.1 files
-with synthesised record ids, dates, types and digests, and ``read_warc`` reads those back. Archives
-hold one gzip member per record; between members a zero byte may stand, as gzip allows.
+with synthesised record ids, dates, types and digests, and ``read_warc`` reads those back. WARC files
+hold one gzip member per record, ARC files one for many records; between members a zero byte may
+stand, as gzip allows. An ARC record's offset counts uncompressed bytes.
 
 Defined cases: null html is an empty payload; a null or blank url becomes ``about:blank``, and blanks
 inside one are percent-encoded; repeated page rows are records each; of equal payloads the smallest
@@ -27,6 +28,8 @@ from ..session import cut_lineage, scratch_path
 
 #: Bytes from which equal payloads are stored once.
 MIN_REVISIT = 100
+#: Bytes of ARC records that are compressed together.
+MEMBER_BYTES = 1 << 20
 #: Fields of a URL record line, by version of the archive (fixed by the ARC format).
 ARC_FIELDS = {
     1: ("url", "ip", "date", "content_type", "length"),
@@ -216,15 +219,23 @@ def write_arc(pages: DataFrame, path: str, date: str = "20200101000000") -> None
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId()
-        version, name, offset, begun = 1 + at % 2, f"pages-{at:05d}.arc.gz", 0, False
+        version, name = 1 + at % 2, f"pages-{at:05d}.arc.gz"
+        head = arc_head(version, name, date)
+        held, size, offset, begun = [head], len(head), len(head), False
         for part in parts:
-            out = [] if begun else [member(arc_head(version, name, date))]
+            out = []
             begun = True
             for page, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 record = arc_record(version, _safe_url(url), "0.0.0.0", date, http_block(page, html), name, offset)
-                out.append(member(record))
-                offset += len(out[-1])
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+                held.append(record)
+                size, offset = size + len(record), offset + len(record)
+                if size >= MEMBER_BYTES:
+                    out.append(member(b"".join(held)))
+                    held, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+        if begun and held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([member(b"".join(held))], pa.binary())})
 
     _write_members(pages.select("page_id", "url", "html").mapInArrow(write, "value binary"), path)
 
