@@ -28,6 +28,18 @@ def texts_of(array: pa.Array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
 
 
+_CACHE: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. One owner at a time: an operator
+    that runs later in the same worker takes the memory over."""
+    if owner not in _CACHE:
+        _CACHE.clear()
+        _CACHE[owner] = {}
+    return _CACHE[owner]
+
+
 def signed(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit numbers as the bigint with the same bits."""
     return pa.array(np.ascontiguousarray(values, dtype=np.uint64).view(np.int64))

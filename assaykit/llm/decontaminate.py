@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import ROW, as_struct
+from .common import ROW, as_struct, worker_cache
 
 #: Item words held by one automaton. More items are streamed against in further passes.
 BLOCK_WORDS = 200_000
@@ -145,15 +145,12 @@ class Automaton:
         return [(a, b) for a, b in spans], longest, {self.names[n] for n in found}
 
 
-_CACHE: dict[tuple, Automaton] = {}
-
-
 def _automaton(token: str, items: list[tuple[str, str]], window: int) -> Automaton:
     """The automaton of a block, built once in each Python worker."""
-    if (token, window) not in _CACHE:
-        _CACHE.clear()
-        _CACHE[token, window] = Automaton([(name, w) for name, text in items if (w := words(text))], window)
-    return _CACHE[token, window]
+    held = worker_cache(f"decontaminate {token}")
+    if window not in held:
+        held[window] = Automaton([(name, w) for name, text in items if (w := words(text))], window)
+    return held[window]
 
 
 SCAN = "struct<n_words:bigint,longest:bigint,spans:array<struct<a:bigint,b:bigint>>,items:array<string>>"

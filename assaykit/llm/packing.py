@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import batches, texts_of
+from .common import batches, texts_of, worker_cache
 
 #: Pieces of one packing partition; a bin of a partition is at most this much work.
 PART_PIECES = 8_192
 #: Distinct text chunks whose ids a Python worker remembers.
-CACHED = 1_200_000
+CACHED = 1_000_000
 _MARKS = frozenset(".,|;:!?")
 
 
@@ -96,14 +96,12 @@ class WordEncoder:
                 yield b"".join([known[c] for c in chunks])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The encoder of a vocabulary file, loaded once in each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    held = worker_cache(f"packing {path}")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:array<int>>>"

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, as_struct
+from .common import ROW, as_struct, worker_cache
 
 #: Labelled rows the lexicon and the regression learn from, and words a worker remembers.
-FIT_ROWS, CACHED = 20_000, 1_000_000
+FIT_ROWS, CACHED = 20_000, 500_000
 THRESHOLD = 0.7
 
 #: Letters of the model: a-z, the letters of Latin-1, any other letter; 0 is all that is no letter.
@@ -213,17 +213,6 @@ def restored_words(text: str, decoder: Decoder, known: dict[str, tuple[str, ...]
     return out
 
 
-_KNOWN: dict[str, dict[str, tuple[str, ...]]] = {}
-
-
-def remembered(token: str) -> dict[str, tuple[str, ...]]:
-    """The decoded words of a model in this Python worker, kept from task to task."""
-    if token not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[token] = {}
-    return _KNOWN[token]
-
-
 def features(word: str) -> list[str]:
     """The word and its beginnings."""
     return [f"={word}", *[word[:k] for k in (4, 5, 6) if len(word) >= k]]
@@ -303,7 +292,7 @@ def _read(rows: DataFrame, logp, token: str, emit, schema: str) -> DataFrame:
     """``emit(list of (words, toxic, half))`` for each batch of the sample."""
 
     def run(parts):
-        decoder, known = Decoder(logp.value), remembered(token)
+        decoder, known = Decoder(logp.value), worker_cache(f"toxicity {token}")
         for part in parts:
             texts, toxic, half = (part.column(i).to_pylist() for i in range(3))
             yield from emit([(restored_words(t or "", decoder, known), y, h) for t, y, h in zip(texts, toxic, half, strict=True)])
@@ -368,7 +357,7 @@ def scores(text: Column, shared) -> Column:
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        decoder, known = Decoder(model.logp), remembered(model.token)
+        decoder, known = Decoder(model.logp), worker_cache(f"toxicity {model.token}")
         for part in parts:
             rows = [evidence(restored_words(t.as_py() or "", decoder, known), model.weights) for t in part]
             x = (np.array(rows).reshape(-1, 5) - model.mean) / model.spread
