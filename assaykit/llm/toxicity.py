@@ -5,7 +5,9 @@
    letters set apart by blanks - is a lattice: each character may stand for itself, a sign for one of
    the letters it resembles, a repeated letter or a separator for nothing. Viterbi decoding finds the
    most likely original under the channel's probabilities and the language model. A word of plain
-   letters without repeats has one path and is its own decoding.
+   letters without repeats has one path and is its own decoding. Any blank between words may stand
+   for nothing as well, whatever their lengths and the quotes, brackets and stops around them; what
+   that joins is added to the words as they stand.
 3. The restored words are scored: how much more often than others a word, or its beginning, occurs in
    documents labelled toxic (a lower confidence bound of the log odds). A logistic regression over a
    few sums of these per document gives the score.
@@ -22,6 +24,7 @@ share of toxic labels, or 0 if there are none; extra columns may have any name.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -145,8 +148,12 @@ class Decoder:
             out.append(("", SEPARATED))
         return out
 
-    def decode(self, chars: str) -> str:
-        """The most likely original of lower-case ``chars``; blanks where no letter stands."""
+    def decode(self, chars: str, fixed: tuple[int, int] = (0, 0), mark: str = "") -> str:
+        """The most likely original of lower-case ``chars``; blanks where no letter stands.
+
+        So many characters as ``fixed`` says at either end stand for themselves; ``mark`` is left
+        where a blank stands for nothing.
+        """
         logp = self.logp
         twice = [i for i in range(1, len(chars)) if chars[i] == chars[i - 1]]
         if len(twice) == 1 and chars.isalpha():
@@ -161,13 +168,14 @@ class Decoder:
         paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i in range(len(chars)):
             grown: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for x, cost in self.options(chars, i):
+            inside = fixed[0] <= i < len(chars) - fixed[1]
+            for x, cost in self.options(chars, i) if inside else [(chars[i], 0.0)]:
                 k = None if x == "" else 0 if x == " " else self.code.get(x)
                 if k is None and x:
                     k = int(codes(x)[0])
                 for (a, b), (p, said) in paths.items():
                     if x == "":
-                        state, new = (a, b), (p + cost, said)
+                        state, new = (a, b), (p + cost, (said, mark) if mark and chars[i] == " " else said)
                     else:
                         state, new = (b, k), (p + cost + logp[a, b, k], (said, x))
                     if state not in grown or new[0] > grown[state][0]:
@@ -186,30 +194,108 @@ _DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[\W\d_].*[^\W\d_]|.*[^\W\d_][\d@$!|
 _EDGES = " \t\r\n.,;:?\"'()[]{}<>«»„“”-_/\\&="
 
 
-def restored_words(text: str, decoder: Decoder, known: dict[str, tuple[str, ...]]) -> set[str]:
-    """The words of a text after deobfuscation; ``known`` remembers decoded words."""
+#: Left in a decoded text where a blank stands for nothing; pieces of a joined word at most.
+_JOIN, _PIECES = "\x01", 24
+_BRACKET = _EDGES.replace("(", "")
+
+
+def _form(token: str, decoder: Decoder) -> tuple:
+    """(words, last two letters, first two letters, further readings) of a token.
+
+    Letters are "" where the token has no letter at that end, and None for a token of one character
+    or of edge signs only.
+    """
+    bare = token.strip(_EDGES)
+    more: tuple[str, ...] = ()
+    if "(" in token and bare and (other := token.strip(_BRACKET)) != bare:
+        # a bracket at an end may stand for a letter
+        more = tuple(decoder.decode(other).split())
+    if len(bare) < 2:
+        return (bare,) if bare else (), None, None, more
+    if _DISGUISED.match(bare):
+        words = tuple(decoder.decode(bare).split())
+    elif all(c in LOOKALIKES or c in SEPARATORS for c in bare) and (said := decoder.decode(bare)).isalpha():
+        words, more = (said,), (*more, bare)
+    else:
+        words = (bare,)
+    if not words:
+        return words, "", "", more
+    tail, head = f" {words[-1]}"[-2:], f"{words[0]} "[:2]
+    return words, sys.intern(tail) if tail[1].isalpha() else "", sys.intern(head) if head[0].isalpha() else "", more
+
+
+def _between(tail: str, middle: str, head: str, decoder: Decoder) -> str:
+    """What stands between two words: a blank, a mark, or the restored letters ``middle`` (one character
+    and one blank in turn). A word of two letters or more leaves one state of the lattice, so this is
+    the most likely path through the whole text."""
+    left, right = f"{tail} " if tail else "", f" {head}" if head else ""
+    chars = f"{left}{middle}{right}" if middle else f"{tail} {head}"
+    said = decoder.decode(chars, (len(tail), len(head)), _JOIN)
+    said = said[len(tail) : len(said) - len(head)]
+    return f"{'' if tail else ' '}{said}{'' if head else ' '}"
+
+
+def _joined(tokens: list[str], forms: list[tuple], decoder: Decoder, known: dict) -> Iterator[str]:
+    """Words that a stretch of tokens holds if blanks stand for nothing."""
+    text, tail, middle = [""], "", []
+    for token, (words, end, head, _) in [*zip(tokens, forms, strict=True), ("", ((), "", "", ()))]:
+        if end is None:
+            middle.append(words[0] if words else token[0])
+            continue
+        key = (tail, " ".join(middle), head) if middle else (tail, head)
+        gap = known.get(key)
+        if gap is None:
+            gap = known[key] = _between(*key, decoder) if middle else _JOIN if tail and head and _JOIN in _between(tail, "", head, decoder) else ""
+        text.append(gap or " ")
+        text.append(words[0] if len(words) == 1 else f"{words[0]} {words[-1]}" if words else "")
+        tail, middle = end, []
+    for chain in "".join(text).split():
+        if _JOIN in chain:
+            # the word may begin at any piece: what stands before it may be joined wrongly
+            pieces = [x for x in chain.split(_JOIN) if x]
+            yield "".join(pieces)
+            for i in range(len(pieces) - 1):
+                yield "".join(pieces[i : i + _PIECES])
+
+
+def restored_words(text: str, decoder: Decoder, known: dict) -> set[str]:
+    """The words of a text after deobfuscation; ``known`` remembers decoded words and blanks."""
     tokens = text.lower().split()
     if len(known) > CACHED:
         known.clear()
     out: set[str] = set()
     for token in set(tokens):
-        words = known.get(token)
-        if words is None:
-            bare = token.strip(_EDGES)
-            words = tuple(decoder.decode(bare).split()) if _DISGUISED.match(bare) else (bare,) if bare else ()
-            known[token] = words
-        out.update(words)
-    single = [i for i, t in enumerate(tokens) if len(t) == 1]
-    run: list[str] = []
-    last = -2
-    for i in [*single, len(tokens) + 2]:
-        if i == last + 1:
-            run.append(tokens[i])
+        form = known.get(token)
+        if form is None:
+            form = known[token] = _form(token, decoder)
+        out.update(form[0])
+        if form[3]:
+            out.update(form[3])
+    forms = [known[t] for t in tokens]
+    tails, heads = [f[1] for f in forms], [f[2] for f in forms]
+    get = known.get
+    # blanks that stand for nothing, are next to a single character, or were not met before
+    blanks = zip(tails, heads[1:], strict=False)
+    loose = [i for i, key in enumerate(blanks) if get(key, _JOIN)]
+    begin = 0
+    for k, i in enumerate(loose, 1):
+        if k < len(loose) and loose[k] == i + 1:
+            continue
+        first, begin = loose[begin], k
+        if first == i and get((tails[i], heads[i + 1])):
+            out.add(forms[i][0][-1] + forms[i + 1][0][0])
         else:
+            out.update(_joined(tokens[first : i + 2], forms[first : i + 2], decoder, known))
+    run: list[int] = []
+    for i in [*[i for i, tail in enumerate(tails) if tail is None], len(tokens) + 2]:
+        if run and i > run[-1] + 1:
             if len(run) > 2:
-                out.update(decoder.decode(" ".join(run)).split())
-            run = [tokens[i]] if i < len(tokens) else []
-        last = i
+                chars = " ".join(forms[j][0][0] if forms[j][0] else tokens[j][0] for j in run)
+                out.update(decoder.decode(chars).split())
+                if tokens[run[0]].startswith("(") and chars[0] != "(":
+                    out.update(decoder.decode(f"({chars}").split())
+            run = []
+        run.append(i)
     return out
 
 

@@ -63,6 +63,36 @@ def test_decoding(model):
     assert {"idiot", "scumbag", "people", "the", "and"} <= words
 
 
+@pytest.mark.parametrize(("text", "word"), [
+    ('they said "i d i o t" there', "idiot"), ("people (s c u m b a g) from", "scumbag"), ("the s c u m b a g. they", "scumbag"),
+    ("their id iot would", "idiot"), ("other idi ot into", "idiot"), ("some m or on people", "moron"), ("some «m o r o n», people", "moron"),
+    ("with i. d. i. o. t. with", "idiot"), ("these 1 d 1 0 t these", "idiot"), ("time 1d 10t time", "idiot"),
+])
+def test_spacing_with_edges_and_groups(model, text, word):
+    words = tx.restored_words(text, tx.Decoder(model.logp), {})
+    assert word in words
+    assert {w for w in text.split() if w in BASE} <= words
+
+
+def test_signs_only_and_brackets_as_letters(model):
+    decoder = tx.Decoder(model.logp)
+    counts = np.zeros((tx.LETTERS,) * 3)
+    for word in ["ass", "crap", "rap", "scum"] * 50:
+        k = [0, 0, *map(int, tx.codes(word)), 0]
+        for j in range(len(k) - 2):
+            counts[k[j], k[j + 1], k[j + 2]] += 1
+    small = tx.Decoder(tx.language_model(counts))
+    for text, word in [("@$$", "ass"), ("455", "ass"), ("(rap", "crap"), ("( r a p", "crap"), ("(r a p", "crap"), ("(s c u m)", "scum"), ("s c u m.", "scum")]:
+        assert word in tx.restored_words(text, small, {}), text
+    assert "people" in tx.restored_words("(people) (from", decoder, {})
+    assert tx.restored_words("", decoder, {}) == set() and not any(len(w) > 1 for w in tx.restored_words("... -- (", decoder, {}))
+
+
+def test_long_runs_of_single_letters_take_linear_time(model):
+    words = tx.restored_words("a b " * 20_000, tx.Decoder(model.logp), {})
+    assert {"a", "b"} <= words
+
+
 def brute_best(decoder, chars):
     """Best probability over all paths."""
     best = -np.inf
