@@ -478,7 +478,11 @@ def knn_predict(spark, sf):
     return models.knn_out_of_fold(rows, k, classes).select("row_id", F.array_max("probs").alias("share"))
 
 
-def _folded(spark, sf, k=3):
+#: Folds and boosting rounds of trained models.
+FOLDS, ROUNDS = 5, 200
+
+
+def _folded(spark, sf, k=FOLDS):
     return models.folded_vectors(v.noisy(spark, sf), "y", ["x1", "x2"], k=k)
 
 
@@ -490,18 +494,18 @@ def isolation_score(spark, sf):
 @query("probe_learner_trees")
 def probe_learner_trees(spark, sf):
     rows, classes = _folded(spark, sf)
-    return models.fold_scores(models.ml_out_of_fold(rows, models.tree_learner(len(classes), 10), 3, len(classes)), len(classes))
+    return models.fold_scores(models.ml_out_of_fold(rows, models.tree_learner(len(classes), ROUNDS), FOLDS, len(classes)), len(classes))
 
 
 @query("reference_band")
 def reference_band(spark, sf):
     rows, classes = _folded(spark, sf)
-    return models.reference_band(rows, classes, 3, rounds=10)
+    return models.reference_band(rows, classes, FOLDS, rounds=ROUNDS)
 
 
 @query("stacked_features")
 def stacked_features(spark, sf):
-    rows, classes = _folded(spark, sf, 5)
+    rows, classes = _folded(spark, sf)
     stacked = models.stacked_features(rows, len(classes))
     data = v.noisy(spark, sf).join(stacked, "row_id")
     names = ["isolation_forest_score", "knn_oof_prediction"]
@@ -511,7 +515,7 @@ def stacked_features(spark, sf):
 
 @query("fe_probe")
 def fe_probe(spark, sf):
-    return combos.fe_probe(v.ratio(spark, sf), "y", list(XS), top_k=3)
+    return combos.fe_probe(v.ratio(spark, sf), "y", list(XS))
 
 
 # --- numeric targets ------------------------------------------------------------------------------
