@@ -120,7 +120,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
                 continue
             end = chunk.index(b"\n", at)
             values = chunk[at:end].decode().split(" ")
-            if version is None:
+            begins = version is None
+            if begins:
                 length = int(values[-1])
                 version = int(chunk[end + 1 : end + 1 + length].split(None, 1)[0])
             fields = ARC_FIELDS[version]
@@ -131,7 +132,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             if len(block) != int(record["length"]):
                 raise ValueError("a block is shorter than declared")
             at = end + 1 + len(block)
-            if not record["url"].startswith("filedesc:"):
+            # the version block is the first record; a later URL may be anything
+            if not begins:
                 yield record | {"block": block}
 
 

@@ -39,6 +39,12 @@ def test_broken_archives_are_refused():
         list(warc.split_members(gzip.compress(b"x" * 1000)[:-20]))
 
 
+def test_pages_with_a_filedesc_url_are_kept(spark):
+    rows = [(1, "filedesc://x", "a" * 120), (2, "filedesc:", "b"), (3, "http://x.org/", "a" * 120)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert sorted(tuple(r) for r in warc.report(pages).collect()) == sorted(expected([(i, h) for i, _, h in rows]), key=str)
+
+
 def test_members_round_trip():
     parts = [b"", b"a", b"b" * 200_000, bytes(range(256)) * 50]
     assert list(warc.split_members(b"\x00".join(map(warc.member, parts)) + b"\x00\x00", step=100)) == parts
