@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import CRC_TABLE, crc_sql
 
 #: Consecutive turn numbers ordered together, and ids hashed as one text.
 TURNS, IDS = 4096, 4096
@@ -215,17 +216,6 @@ def report(conversations: DataFrame) -> DataFrame:
     return trie(turns, members)
 
 
-#: CRC-32 (reflected, polynomial 0xEDB88320) as a table of 256 numbers, and of a text ``s``.
-CRC_TABLE = """SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
-  lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t"""
-
-
-def crc_sql(s: str) -> str:
-    """CRC-32 of the UTF-8 text expression ``s``; the table is column t."""
-    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({s})), lambda i: ('0x' || substr(hex(encode({s})), 2 * i::INTEGER + 1, 2))::BIGINT)),
-  lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295::BIGINT)"""
-
-
 ORACLE = f"""
 WITH k AS ({CRC_TABLE}),
 u AS (SELECT conv_id, turn, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL),

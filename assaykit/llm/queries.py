@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontaminate, packing, preference, sharding, simhash, substring, suffix, toxicity, vptree, warc
+from . import conversation_trie, decontaminate, packing, preference, sharding, simhash, spelling, substring, suffix, toxicity, vptree, warc
 from .common import read_table
 
 QUERIES: dict = {}
@@ -149,6 +149,14 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op10_preference_pairs"] = preference.ORACLE
 
 
+@query
+def op11_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_variable_grams"] = spelling.ORACLE
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.report(read_table(spark, sf_dir, "conversations"))
