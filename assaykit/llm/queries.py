@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontaminate, packing, preference, sharding, simhash, spelling, substring, suffix, toxicity, vptree, warc
+from . import conversation_trie, decontaminate, fingerprint, packing, preference, sharding, simhash, spelling, substring, suffix, toxicity, vptree, warc
 from .common import read_table
 
 QUERIES: dict = {}
@@ -157,6 +157,11 @@ def op11_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op11_variable_grams"] = spelling.ORACLE
 
 
+@query
+def op12_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.report(read_table(spark, sf_dir, "conversations"))
