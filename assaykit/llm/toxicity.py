@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import ROW, as_struct, worker_cache
 
 #: Labelled rows the lexicon and the regression learn from, and words a worker remembers.
-FIT_ROWS, CACHED = 20_000, 500_000
+FIT_ROWS, CACHED = 20_000, 150_000
 THRESHOLD = 0.7
 
 #: Letters of the model: a-z, the letters of Latin-1, any other letter; 0 is all that is no letter.
@@ -100,6 +101,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
             yield block
 
     def count(parts):
+        worker_cache("trigrams")  # frees what other operators keep
         total = np.zeros(LETTERS**3, np.int64)
         for part in parts:
             for block in blocks_of(part.column(0)):
@@ -199,8 +201,8 @@ _JOIN, _PIECES = "\x01", 24
 _BRACKET = _EDGES.replace("(", "")
 
 
-def _form(token: str, decoder: Decoder) -> tuple:
-    """(words, last two letters, first two letters, further readings) of a token.
+def _form(token: str, decoder: Decoder, decoded: dict[str, str]) -> tuple:
+    """(words, last two letters, first two letters, further readings) of a token; ``decoded`` remembers.
 
     Letters are "" where the token has no letter at that end, and None for a token of one character
     or of edge signs only.
@@ -213,7 +215,9 @@ def _form(token: str, decoder: Decoder) -> tuple:
     if len(bare) < 2:
         return (bare,) if bare else (), None, None, more
     if _DISGUISED.match(bare):
-        words = tuple(decoder.decode(bare).split())
+        if bare not in decoded:
+            decoded[bare] = decoder.decode(bare)
+        words = tuple(decoded[bare].split())
     elif all(c in LOOKALIKES or c in SEPARATORS for c in bare) and (said := decoder.decode(bare)).isalpha():
         words, more = (said,), (*more, bare)
     else:
@@ -235,7 +239,7 @@ def _between(tail: str, middle: str, head: str, decoder: Decoder) -> str:
     return f"{'' if tail else ' '}{said}{'' if head else ' '}"
 
 
-def _joined(tokens: list[str], forms: list[tuple], decoder: Decoder, known: dict) -> Iterator[str]:
+def _joined(forms: list[tuple], tokens: list[str], decoder: Decoder, known: dict) -> Iterator[str]:
     """Words that a stretch of tokens holds if blanks stand for nothing."""
     text, tail, middle = [""], "", []
     for token, (words, end, head, _) in [*zip(tokens, forms, strict=True), ("", ((), "", "", ()))]:
@@ -249,54 +253,284 @@ def _joined(tokens: list[str], forms: list[tuple], decoder: Decoder, known: dict
         text.append(gap or " ")
         text.append(words[0] if len(words) == 1 else f"{words[0]} {words[-1]}" if words else "")
         tail, middle = end, []
-    for chain in "".join(text).split():
-        if _JOIN in chain:
-            # the word may begin at any piece: what stands before it may be joined wrongly
-            pieces = [x for x in chain.split(_JOIN) if x]
-            yield "".join(pieces)
-            for i in range(len(pieces) - 1):
-                yield "".join(pieces[i : i + _PIECES])
+    text = "".join(text)
+    if _JOIN in text:
+        for chain in text.split():
+            if _JOIN in chain:
+                # the word may begin at any piece: what stands before it may be joined wrongly
+                pieces = [x for x in chain.split(_JOIN) if x]
+                for i in range(max(1, len(pieces) - 1)):
+                    yield "".join(pieces[i : i + _PIECES])
+
+
+class _Index(dict):
+    """Numbers of tokens; a new one is learnt when it is first looked up."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, token: str) -> int:
+        return self.learn(token)
+
+
+#: A token's end without a letter, and a token of one character.
+_NO_LETTER, _ALONE = -1, -2
+#: Words are hashed by their characters times powers of an odd number, modulo 2^64; a hash only tells
+#: which joined words are worth spelling out.
+_ODD = 0x9E3779B97F4A7C15
+_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+_SLOTS = 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_PREFIX = [pow(_ODD, k, 1 << 64) for k in range(7)]
+
+
+def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first 0 to 6 characters and of all, (words, 8), and lengths."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size) - size
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(letters * _powers(_ODD, len(letters) + 1)[:-1])])
+    ends = start[:, None] + np.minimum(np.array([0, 1, 2, 3, 4, 5, 6, 1 << 40]), size[:, None])
+    return (sums[ends] - sums[start][:, None]) * _powers(_ODD_INVERSE, len(letters) + 1)[start][:, None], size
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _SLOTS)
+
+
+class Reader:
+    """The words of texts after deobfuscation, many texts at a time.
+
+    Every token is decoded once and becomes a number; so does every word. Whether a blank between two
+    words stands for nothing depends on two letters on either side, so it is looked up, for all blanks
+    of the texts together, in a table of all four letters. With ``weights`` given, joined words are
+    first looked up by hashes of their beginnings and of themselves, for all of them together, and only
+    those that may have a weight are spelled out. What is remembered is dropped when it holds
+    ``CACHED`` tokens.
+    """
+
+    def __init__(self, decoder: Decoder, weights: dict[str, float] | None = None):
+        self.decoder, self.weights = decoder, weights
+        p = decoder.logp
+        # [ab, cd]: "ab" "cd" read as one word is likelier than with a blank that is no letter between
+        joins = np.empty((LETTERS, LETTERS, LETTERS, LETTERS), bool)
+        for a in range(LETTERS):
+            together = p[a][:, :, None] + p
+            apart = p[a, :, 0][:, None, None] + p[:, 0, :][:, :, None] + p[0][None]
+            joins[a] = SEPARATED + together > KEPT_SIGN + apart
+        self.joins = joins.reshape(LETTERS**2, LETTERS**2)
+        self.telling = np.zeros((2, 1 << _SLOTS), bool)
+        for whole in (0, 1):
+            features = [f[whole:] for f in weights or () if f.startswith("=") == whole]
+            self.telling[whole, _slot(_hashes(features)[0][:, 7])] = True
+        self._letters: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.forms, self.gaps = _Index(self._learn), [], {}
+        self.words: dict[str, int] = {}
+        self.names: list[str] = []
+        self.tail, self.head, self.word = (np.zeros(1 << 12, np.int32) for _ in range(3))
+        self.single, self.decoded = np.zeros(1 << 12, bool), {}
+        # of words: hashes, lengths and weights, for as many as are settled
+        self.hashes, self.size, self.value = np.zeros((1 << 12, 8), np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12)
+        self.settled = 0
+        self.several: dict[int, list[int]] = {}
+
+    def _ends(self, letters: str | None) -> int:
+        if not letters:
+            return _ALONE if letters is None else _NO_LETTER
+        for c in letters:
+            if c not in self._letters:
+                self._letters[c] = int(codes(c)[0])
+        return self._letters[letters[0]] * LETTERS + self._letters[letters[1]]
+
+    def _word(self, word: str) -> int:
+        number = self.words.get(word)
+        if number is None:
+            number = self.words[word] = len(self.names)
+            self.names.append(word)
+        return number
+
+    def _settle(self) -> None:
+        """Hashes and weights of words that are new."""
+        new = self.names[self.settled :]
+        if self.weights is None or not new:
+            return
+        while len(self.value) < len(self.names):
+            self.hashes, self.size, self.value = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.size, self.value))
+        here = slice(self.settled, len(self.names))
+        self.hashes[here], self.size[here] = h, _ = _hashes(new)
+        likely = self.telling[1][_slot(h[:, 7])]
+        for k in (4, 5, 6):
+            likely |= self.telling[0][_slot(h[:, k])]
+        for i in np.flatnonzero(likely).tolist():
+            self.value[self.settled + i] = weight(new[i], self.weights)
+        self.settled = len(self.names)
+
+    def _learn(self, token: str) -> int:
+        number = len(self.forms)
+        words, tail, head, more = form = _form(token, self.decoder, self.decoded)
+        if number >= len(self.tail):
+            self.tail, self.head, self.word, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.tail, self.head, self.word, self.single))
+        self.tail[number], self.head[number] = self._ends(tail), self._ends(head)
+        self.word[number] = self._word(words[0]) if words else -1
+        if len(words) > 1 or more:
+            self.several[number] = [self._word(w) for w in (*words[1:], *more)]
+        self.single[number] = len(words) == 1
+        self.forms.append(form)
+        self.index[token] = number
+        return number
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word) numbers of the distinct words of each text, in order of texts, and how many
+        distinct words each text has as they stand. With weights, joined words without one are left out."""
+        if len(self.forms) > CACHED or len(self.names) > 4 * CACHED or len(self.gaps) > CACHED:
+            self._forget()
+        tokens, sizes = [], []
+        for text in texts:
+            own = text.lower().split()
+            tokens += own
+            sizes.append(len(own))
+        ids = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        self._settle()
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        pairs = _distinct((text_of << 32) | ids)
+        at, token = pairs >> 32, pairs & 0xFFFFFFFF
+        word = self.word[token].astype(np.int64)
+        found = ((at << 32) | word)[word >= 0]
+        more: list[int] = []
+        if self.several:
+            some = np.zeros(len(self.forms), bool)
+            some[np.fromiter(self.several, np.int64)] = True
+            for i in np.flatnonzero(some[token]).tolist():
+                more += [int(at[i]) << 32 | w for w in self.several[int(token[i])]]
+        standing = _distinct(np.concatenate([found, np.array(more, np.int64)]))
+        more = [int(text_of[k]) << 32 | self._word(w) for k, w in self._joined_words(tokens, ids, text_of)]
+        self._settle()
+        pairs = _distinct(np.concatenate([standing, np.array(more, np.int64)])) if more else standing
+        return pairs >> 32, pairs & 0xFFFFFFFF, np.bincount(standing >> 32, minlength=len(texts))
+
+    def _joined_words(self, tokens: list[str], ids: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, str]]:
+        """(token, word) of words that blanks hide."""
+        alone = self.tail[ids] == _ALONE
+        loose, joined = self._loose(ids, alone, text_of)
+        first, last = _runs(loose, text_of[:-1])
+        if self.weights is not None and len(first):
+            # stretches of plain words only are looked up together
+            plain = np.concatenate([[0], np.cumsum(self.single[ids])])
+            simple = plain[last + 2] - plain[first] == last + 2 - first
+            unjoined = np.concatenate([[0], np.cumsum(~joined)])
+            simple &= unjoined[last + 1] == unjoined[first]
+            yield from self._telling(ids, first[simple], last[simple] + 1)
+            first, last = first[~simple], last[~simple]
+        for a, b in zip(first.tolist(), (last + 1).tolist(), strict=True):
+            if b == a + 1 and joined[a]:
+                yield a, self.forms[ids[a]][0][-1] + self.forms[ids[b]][0][0]
+            else:
+                for w in _joined([self.forms[k] for k in ids[a : b + 1].tolist()], tokens[a : b + 1], self.decoder, self.gaps):
+                    yield a, w
+        first, last = _runs(alone, text_of)
+        some = last - first >= 2
+        for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True):
+            for w in self._spelled(tokens[a : b + 1], [self.forms[k] for k in ids[a : b + 1].tolist()]):
+                yield a, w
+
+    def _loose(self, ids, alone, text_of) -> tuple[np.ndarray, np.ndarray]:
+        """Of the blanks after each token: which may stand for nothing, and which do between two words."""
+        left, right = self.tail[ids[:-1]], self.head[ids[1:]]
+        joined = (left >= 0) & (right >= 0) & (text_of[1:] == text_of[:-1])
+        joined[joined] = self.joins[left[joined], right[joined]]
+        return joined | ((text_of[1:] == text_of[:-1]) & (alone[:-1] | alone[1:])), joined
+
+    def _telling(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, str]]:
+        """(token, word) of the joined words that may have a weight; a word begins at each token of a
+        stretch first .. last but the last, and has ``_PIECES`` tokens at most."""
+        length = last - first
+        if not len(length):
+            return
+        # tokens of all stretches in one row
+        base = np.repeat(first - np.concatenate([[0], np.cumsum(length + 1)[:-1]]), length + 1)
+        row = ids[base + np.arange(len(base))]
+        ends = np.repeat(np.cumsum(length + 1), length + 1)
+        start = np.flatnonzero(np.arange(len(row)) < ends - 1)
+        end = np.minimum(ends[start], start + _PIECES)
+        word = self.word[row]
+        hashes, size = self.hashes[word], self.size[word]
+        offset = np.concatenate([[0], np.cumsum(size)])
+        power = _powers(_ODD, int(offset[-1]) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes[:, 7] * power[offset[:-1]])])
+        whole = (sums[end] - sums[start]) * _powers(_ODD_INVERSE, int(offset[-1]) + 1)[offset[start]]
+        likely = self.telling[1][_slot(whole)]
+        scale = np.array(_PREFIX, np.uint64)
+        for k in (4, 5, 6):
+            have = np.minimum(size[start], k)
+            h = hashes[start, have]
+            at = start + 1
+            open_ = np.flatnonzero((have < k) & (at < end))
+            while len(open_):
+                piece = at[open_]
+                take = np.minimum(size[piece], k - have[open_])
+                h[open_] += scale[have[open_]] * hashes[piece, take]
+                have[open_] += take
+                at[open_] += 1
+                open_ = open_[(have[open_] < k) & (at[open_] < end[open_])]
+            likely |= self.telling[0][_slot(h)]
+        for a, b in zip(start[likely].tolist(), end[likely].tolist(), strict=True):
+            said = "".join([self.names[k] for k in word[a:b].tolist()])
+            if weight(said, self.weights):
+                yield int(base[a]) + a, said
+
+    def _spelled(self, tokens: list[str], forms: list[tuple]) -> Iterator[str]:
+        """Words of a run of single characters."""
+        chars = " ".join(f[0][0] if f[0] else t[0] for t, f in zip(tokens, forms, strict=True))
+        yield from self.decoder.decode(chars).split()
+        if tokens[0].startswith("(") and chars[0] != "(":
+            yield from self.decoder.decode(f"({chars}").split()
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])] if len(numbers) else numbers
+
+
+def _runs(mask: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of consecutive marked places of one text."""
+    places = np.flatnonzero(mask)
+    if not len(places):
+        return places, places
+    cut = np.flatnonzero((np.diff(places) > 1) | (np.diff(text_of[places]) != 0)) + 1
+    return places[np.concatenate([[0], cut])], places[np.concatenate([cut - 1, [len(places) - 1]])]
 
 
 def restored_words(text: str, decoder: Decoder, known: dict) -> set[str]:
-    """The words of a text after deobfuscation; ``known`` remembers decoded words and blanks."""
-    tokens = text.lower().split()
-    if len(known) > CACHED:
-        known.clear()
-    out: set[str] = set()
-    for token in set(tokens):
-        form = known.get(token)
-        if form is None:
-            form = known[token] = _form(token, decoder)
-        out.update(form[0])
-        if form[3]:
-            out.update(form[3])
-    forms = [known[t] for t in tokens]
-    tails, heads = [f[1] for f in forms], [f[2] for f in forms]
-    get = known.get
-    # blanks that stand for nothing, are next to a single character, or were not met before
-    blanks = zip(tails, heads[1:], strict=False)
-    loose = [i for i, key in enumerate(blanks) if get(key, _JOIN)]
-    begin = 0
-    for k, i in enumerate(loose, 1):
-        if k < len(loose) and loose[k] == i + 1:
-            continue
-        first, begin = loose[begin], k
-        if first == i and get((tails[i], heads[i + 1])):
-            out.add(forms[i][0][-1] + forms[i + 1][0][0])
-        else:
-            out.update(_joined(tokens[first : i + 2], forms[first : i + 2], decoder, known))
-    run: list[int] = []
-    for i in [*[i for i, tail in enumerate(tails) if tail is None], len(tokens) + 2]:
-        if run and i > run[-1] + 1:
-            if len(run) > 2:
-                chars = " ".join(forms[j][0][0] if forms[j][0] else tokens[j][0] for j in run)
-                out.update(decoder.decode(chars).split())
-                if tokens[run[0]].startswith("(") and chars[0] != "(":
-                    out.update(decoder.decode(f"({chars}").split())
-            run = []
-        run.append(i)
-    return out
+    """The words of one text after deobfuscation; ``known`` keeps what is learnt between calls."""
+    if "reader" not in known:
+        known["reader"] = Reader(decoder)
+    reader = known["reader"]
+    return {reader.names[w] for w in reader.read([text])[1].tolist()}
+
+
+def _blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+    """Whole texts in lists of about ``size`` characters."""
+    block, held = [], 0
+    for text in texts:
+        text = text.as_py() or ""
+        block.append(text)
+        held += len(text)
+        if held >= size:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
 
 
 def features(word: str) -> list[str]:
@@ -328,17 +562,27 @@ def log_odds(counts: dict[str, tuple[int, int]], n0: int, n1: int, least: int =
     return out
 
 
-def evidence(words: set[str], weights: dict[str, float]) -> list[float]:
-    """A document's five numbers: the three largest word weights, their sum over 1, and its size."""
-    found = []
+def weight(word: str, weights: dict[str, float]) -> float:
+    """The largest weight of a word and its beginnings."""
     get = weights.get
-    for w in words:
-        best = max(get(f"={w}", 0.0), get(w[:4], 0.0), get(w[:5], 0.0), get(w[:6], 0.0)) if len(w) > 3 else get(f"={w}", 0.0)
-        if best:
-            found.append(best)
-    found.sort(reverse=True)
-    top = [*found[:3], 0.0, 0.0, 0.0][:3]
-    return [*top, float(np.log1p(sum(max(0.0, x - 1) for x in found))), float(np.log1p(len(words)))]
+    return max(get(f"={word}", 0.0), get(word[:4], 0.0), get(word[:5], 0.0), get(word[:6], 0.0)) if len(word) > 3 else get(f"={word}", 0.0)
+
+
+def evidence(text_of: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Five numbers for each text, from the weights of its distinct words: the three largest weights,
+    the logarithm of their sum over 1, and that of the number of words as they stand (``sizes``)."""
+    n = len(sizes)
+    out = np.zeros((n, 5))
+    out[:, 4] = np.log1p(sizes)
+    some = values > 0
+    text_of, values = text_of[some], values[some]
+    out[:, 3] = np.log1p(np.bincount(text_of, np.maximum(0.0, values - 1), minlength=n))
+    order = np.lexsort((-values, text_of))
+    text_of, values = text_of[order], values[order]
+    rank = np.arange(len(text_of)) - np.searchsorted(text_of, text_of)
+    for k in range(3):
+        out[text_of[rank == k], k] = values[rank == k]
+    return out
 
 
 def fit_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -374,16 +618,31 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     return rows.select("text", F.col("_toxic").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half"))
 
 
-def _read(rows: DataFrame, logp, token: str, emit, schema: str) -> DataFrame:
-    """``emit(list of (words, toxic, half))`` for each batch of the sample."""
+def _reader(token: str, logp: np.ndarray, weights: dict[str, float] | None = None) -> Reader:
+    """The reader of a model, kept by a Python worker."""
+    held = worker_cache(f"toxicity {token}")
+    if "reader" not in held:
+        held["reader"] = Reader(Decoder(logp), weights)
+    return held["reader"]
+
+
+def _restored(rows: DataFrame, logp) -> DataFrame:
+    """(toxic, half, words, size) of the sample."""
+    token = uuid.uuid4().hex
 
     def run(parts):
-        decoder, known = Decoder(logp.value), worker_cache(f"toxicity {token}")
+        reader = _reader(token, logp.value)
         for part in parts:
-            texts, toxic, half = (part.column(i).to_pylist() for i in range(3))
-            yield from emit([(restored_words(t or "", decoder, known), y, h) for t, y, h in zip(texts, toxic, half, strict=True)])
+            begin = 0
+            for block in _blocks(part.column(0)):
+                text_of, words, sizes = reader.read(block)
+                ends = np.searchsorted(text_of, np.arange(len(block) + 1))
+                names = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([reader.names[w] for w in words.tolist()], pa.string()))
+                given = [part.column(k).slice(begin, len(block)) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*given, names, pa.array(sizes, pa.int64())], names=["toxic", "half", "words", "size"])
+                begin += len(block)
 
-    return rows.mapInArrow(run, schema)
+    return cut_lineage(rows.mapInArrow(run, "toxic int, half int, words array<string>, size bigint"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: int = 100_000) -> Model:
@@ -393,32 +652,33 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
     """
     sc = docs.sparkSession.sparkContext
     logp = language_model(trigram_counts(docs))
-    shared = sc.broadcast(logp)
-    rows, token = sample(docs, labels, fit_rows), uuid.uuid4().hex
-
-    def seen(documents):
-        counts = Counter()
-        for words, y, h in documents:
-            for f in {f for w in words for f in features(w)}:
-                counts[f, y, h] += 1
-        keys = list(counts)
-        yield pa.RecordBatch.from_pydict({
-            "f": pa.array([k[0] for k in keys], pa.string()), "y": pa.array([k[1] for k in keys], pa.int32()),
-            "h": pa.array([k[2] for k in keys], pa.int32()), "n": pa.array([counts[k] for k in keys], pa.int64()),
-        })
+    rows = _restored(sample(docs, labels, fit_rows), sc.broadcast(logp))
+
+    def seen(parts):
+        for part in parts:
+            counts: dict[tuple[int, int], Counter] = {}
+            for y, h, words in zip(*(part.column(k) for k in range(3)), strict=True):
+                counts.setdefault((y.as_py(), h.as_py()), Counter()).update({f for w in words.as_py() for f in features(w)})
+            for (y, h), own in counts.items():
+                yield pa.RecordBatch.from_pydict({
+                    "f": pa.array(own.keys(), pa.string()), "y": pa.array([y] * len(own), pa.int32()),
+                    "h": pa.array([h] * len(own), pa.int32()), "n": pa.array(own.values(), pa.int64())})
 
     sizes = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
-    model = Model(logp, token)
+    model = Model(logp, uuid.uuid4().hex)
     n1, n0 = (sum(n for (y, _), n in sizes.items() if y == k) for k in (1, 0))
     if not n1 or not n0:
         share = n1 / (n1 + n0) if n1 + n0 else 0.0
         model.coefficients[-1] = np.log((share + 1e-9) / (1 - share + 1e-9))
         return model
     sums = [F.sum(F.when((F.col("y") == y) & (F.col("h") == h), F.col("n")).otherwise(0)).alias(f"c{y}{h}") for y in (0, 1) for h in (0, 1)]
-    each = _read(rows, shared, token, seen, "f string, y int, h int, n bigint").groupBy("f").agg(*sums)
-    # features seen in several toxic documents, those that tell most first
+    each = rows.mapInArrow(seen, "f string, y int, h int, n bigint").groupBy("f").agg(*sums)
+    # features seen in several toxic documents, those that tell most by the weight they get first
+    c0, c1 = F.col("c00") + F.col("c01") + 0.5, F.col("c10") + F.col("c11") + 0.5
+    no0, no1 = (n0 + 1) - c0, (n1 + 1) - c1
+    bound = F.log(c1 / no1) - F.log(c0 / no0) - 1.5 * F.sqrt(1 / c1 + 1 / c0 + 1 / no1 + 1 / no0)
     telling = each.where("c10 + c11 >= 2 and (c10 + c11) * {0} > 2 * (c00 + c01) * {1}".format(n0, n1))
-    telling = telling.orderBy(F.desc((F.col("c10") + F.col("c11")) / (F.col("c00") + F.col("c01") + 1.0)), "f").limit(lexicon).collect()
+    telling = telling.orderBy(F.round(bound, 9).desc(), "f").limit(lexicon).collect()
     by_half = []
     for h in (0, 1):
         counts = {r["f"]: (r[f"c0{h}"], r[f"c1{h}"]) for r in telling}
@@ -426,11 +686,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: i
     model.weights = log_odds({r["f"]: (r["c00"] + r["c01"], r["c10"] + r["c11"]) for r in telling}, n0, n1)
     halves = sc.broadcast(by_half)
 
-    def judged(documents):
-        out = [(evidence(words, halves.value[1 - h]), y) for words, y, h in documents]
-        yield pa.RecordBatch.from_pydict({"x": pa.array([x for x, _ in out], pa.list_(pa.float64())), "y": pa.array([y for _, y in out], pa.int32())})
+    def judged(parts):
+        for part in parts:
+            y, h = part.column(0), part.column(1).to_pylist()
+            words = part.column(2).to_pylist()
+            values = np.array([weight(w, halves.value[1 - k]) for k, own in zip(h, words, strict=True) for w in own], float)
+            x = evidence(np.repeat(np.arange(len(words)), [len(w) for w in words]), values, part.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), y], names=["x", "y"])
 
-    points = _read(rows, shared, token, judged, "x array<double>, y int").collect()
+    points = rows.mapInArrow(judged, "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in points]), np.array([r["y"] for r in points], float)
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-6
     model.coefficients = fit_regression((x - model.mean) / model.spread, y)
@@ -443,12 +707,15 @@ def scores(text: Column, shared) -> Column:
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        decoder, known = Decoder(model.logp), worker_cache(f"toxicity {model.token}")
+        reader = _reader(model.token, model.logp, model.weights)
         for part in parts:
-            rows = [evidence(restored_words(t.as_py() or "", decoder, known), model.weights) for t in part]
-            x = (np.array(rows).reshape(-1, 5) - model.mean) / model.spread
-            z = x @ model.coefficients[:-1] + model.coefficients[-1]
-            yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
+            out = []
+            for block in _blocks(part):
+                text_of, words, sizes = reader.read(block)
+                x = (evidence(text_of, reader.value[words], sizes) - model.mean) / model.spread
+                z = x @ model.coefficients[:-1] + model.coefficients[-1]
+                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
     return score(text)
 
