@@ -24,7 +24,6 @@ share of toxic labels, or 0 if there are none; extra columns may have any name.
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ from ..session import cut_lineage
 from .common import ROW, as_struct, worker_cache
 
 #: Labelled rows the lexicon and the regression learn from, and words a worker remembers.
-FIT_ROWS, CACHED = 20_000, 150_000
+FIT_ROWS, CACHED = 20_000, 300_000
 THRESHOLD = 0.7
 
 #: Letters of the model: a-z, the letters of Latin-1, any other letter; 0 is all that is no letter.
@@ -129,6 +128,9 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three)
 
 
+_TWICE, _THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+
+
 class Decoder:
     """Viterbi decoding of words under the channel and the language model."""
 
@@ -150,6 +152,28 @@ class Decoder:
             out.append(("", SEPARATED))
         return out
 
+    def single_letters(self, word: str) -> str:
+        """The most likely original of letters none of which stands three times in a row.
+
+        A letter that stands twice has two paths, which differ in the factors around it only, and
+        those do not depend on what becomes of other letters.
+        """
+        out, kept = "", 0
+        for m in _TWICE.finditer(word):
+            i = m.end()
+            a, c = (self.letter(word[i - 3]) if i > 2 else 0), (self.letter(word[i]) if i < len(word) else 0)
+            b = self.letter(word[i - 1])
+            if REPEATED + self.logp[a, b, c] > self.logp[a, b, b] + self.logp[b, b, c]:
+                out += word[kept : i - 1]
+                kept = i
+        return out + word[kept:] if kept else word
+
+    def letter(self, c: str) -> int:
+        k = self.code.get(c)
+        if k is None:
+            k = self.code[c] = int(codes(c)[0])
+        return k
+
     def decode(self, chars: str, fixed: tuple[int, int] = (0, 0), mark: str = "") -> str:
         """The most likely original of lower-case ``chars``; blanks where no letter stands.
 
@@ -157,24 +181,15 @@ class Decoder:
         where a blank stands for nothing.
         """
         logp = self.logp
-        twice = [i for i in range(1, len(chars)) if chars[i] == chars[i - 1]]
-        if len(twice) == 1 and chars.isalpha():
-            # two paths, which differ in these factors only
-            i = twice[0]
-            around = [0, *(self.code.get(c) or int(codes(c)[0]) for c in chars[max(0, i - 2) : i + 2]), 0]
-            a, b, c = (around[1], around[2], around[4]) if i > 1 else (0, around[1], around[3])
-            if REPEATED + logp[a, b, c] > logp[a, b, b] + logp[b, b, c]:
-                return chars[:i] + chars[i + 1 :]
-            return chars
+        if chars.isalpha() and not _THRICE.search(chars):
+            return self.single_letters(chars)
         # paths by their last two letters: (log probability, letters so far as linked pairs)
         paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i in range(len(chars)):
             grown: dict[tuple[int, int], tuple[float, tuple]] = {}
             inside = fixed[0] <= i < len(chars) - fixed[1]
             for x, cost in self.options(chars, i) if inside else [(chars[i], 0.0)]:
-                k = None if x == "" else 0 if x == " " else self.code.get(x)
-                if k is None and x:
-                    k = int(codes(x)[0])
+                k = None if x == "" else 0 if x == " " else self.letter(x)
                 for (a, b), (p, said) in paths.items():
                     if x == "":
                         state, new = (a, b), (p + cost, (said, mark) if mark and chars[i] == " " else said)
@@ -192,10 +207,15 @@ class Decoder:
 
 
 #: A word whose lattice has more than one path: a sign or figure beside a letter, or a letter twice.
-_DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[\W\d_].*[^\W\d_]|.*[^\W\d_][\d@$!|+*#%€£(]|.*([^\W\d_])\1)", re.DOTALL)
+_MIXED = re.compile(r"(?=.*[^\W\d_])(?:.*[\W\d_].*[^\W\d_]|.*[^\W\d_][\d@$!|+*#%€£(]|.*([^\W\d_])\1)", re.DOTALL)
+_SIGNS_LAST = re.compile(r"([^\W\d_]{2,})([\W\d_]+)")
 _EDGES = " \t\r\n.,;:?\"'()[]{}<>«»„“”-_/\\&="
 
 
+#: A line that holds, between edge signs, letters none of which is doubled: a lattice of one path.
+_SIGNS = re.escape(_EDGES.replace("(", "").strip())
+_ONE_READING = re.compile(rf"^[{_SIGNS}]*((?:([^\W\d_])(?!\2)){{2,}})[{_SIGNS}]*$|^.*$", re.MULTILINE)
+
 #: Left in a decoded text where a blank stands for nothing; pieces of a joined word at most.
 _JOIN, _PIECES = "\x01", 24
 _BRACKET = _EDGES.replace("(", "")
@@ -214,18 +234,22 @@ def _form(token: str, decoder: Decoder, decoded: dict[str, str]) -> tuple:
         more = tuple(decoder.decode(other).split())
     if len(bare) < 2:
         return (bare,) if bare else (), None, None, more
-    if _DISGUISED.match(bare):
-        if bare not in decoded:
-            decoded[bare] = decoder.decode(bare)
-        words = tuple(decoded[bare].split())
-    elif all(c in LOOKALIKES or c in SEPARATORS for c in bare) and (said := decoder.decode(bare)).isalpha():
-        words, more = (said,), (*more, bare)
-    else:
+    if not bare.isalpha() and not _MIXED.match(bare) or bare.isalpha() and not _TWICE.search(bare):
         words = (bare,)
+        if not bare.isalpha() and all(c in LOOKALIKES or c in SEPARATORS for c in bare) and (said := decoder.decode(bare)).isalpha():
+            words, more = (said,), (*more, bare)
+    elif (m := _SIGNS_LAST.fullmatch(bare)) and not _TWICE.search(m[1]):
+        # letters with one path: what the signs stand for depends on the last two of them
+        key = m[1][-2:] + m[2]
+        if key not in decoded:
+            decoded[key] = decoder.decode(key, (2, 0))
+        words = tuple((m[1][:-2] + decoded[key]).split())
+    else:
+        words = tuple(decoder.decode(bare).split())
     if not words:
         return words, "", "", more
     tail, head = f" {words[-1]}"[-2:], f"{words[0]} "[:2]
-    return words, sys.intern(tail) if tail[1].isalpha() else "", sys.intern(head) if head[0].isalpha() else "", more
+    return words, tail if tail[1].isalpha() else "", head if head[0].isalpha() else "", more
 
 
 def _between(tail: str, middle: str, head: str, decoder: Decoder) -> str:
@@ -263,17 +287,6 @@ def _joined(forms: list[tuple], tokens: list[str], decoder: Decoder, known: dict
                     yield "".join(pieces[i : i + _PIECES])
 
 
-class _Index(dict):
-    """Numbers of tokens; a new one is learnt when it is first looked up."""
-
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, token: str) -> int:
-        return self.learn(token)
-
-
 #: A token's end without a letter, and a token of one character.
 _NO_LETTER, _ALONE = -1, -2
 #: Words are hashed by their characters times powers of an odd number, modulo 2^64; a hash only tells
@@ -331,11 +344,13 @@ class Reader:
         for whole in (0, 1):
             features = [f[whole:] for f in weights or () if f.startswith("=") == whole]
             self.telling[whole, _slot(_hashes(features)[0][:, 7])] = True
-        self._letters: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.index, self.forms, self.gaps = _Index(self._learn), [], {}
+        self.index: dict[str, int] = {}
+        # forms of tokens that are not one plain word
+        self.special: dict[int, tuple] = {}
+        self.gaps: dict[tuple, str] = {}
         self.words: dict[str, int] = {}
         self.names: list[str] = []
         self.tail, self.head, self.word = (np.zeros(1 << 12, np.int32) for _ in range(3))
@@ -348,10 +363,7 @@ class Reader:
     def _ends(self, letters: str | None) -> int:
         if not letters:
             return _ALONE if letters is None else _NO_LETTER
-        for c in letters:
-            if c not in self._letters:
-                self._letters[c] = int(codes(c)[0])
-        return self._letters[letters[0]] * LETTERS + self._letters[letters[1]]
+        return self.decoder.letter(letters[0]) * LETTERS + self.decoder.letter(letters[1])
 
     def _word(self, word: str) -> int:
         number = self.words.get(word)
@@ -376,30 +388,64 @@ class Reader:
             self.value[self.settled + i] = weight(new[i], self.weights)
         self.settled = len(self.names)
 
-    def _learn(self, token: str) -> int:
-        number = len(self.forms)
-        words, tail, head, more = form = _form(token, self.decoder, self.decoded)
-        if number >= len(self.tail):
+    def _learn(self, tokens: set[str]) -> None:
+        """Decodes tokens that are new; those of one reading, all together."""
+        if not tokens:
+            return
+        tokens = list(tokens)
+        words = [m[0] for m in _ONE_READING.findall("\n".join(tokens))]
+        plain = [w for w in words if w]
+        begin, middle = len(self.index), len(self.index) + len(plain)
+        others = [t for t, w in zip(tokens, words, strict=True) if not w]
+        self.index.update(zip([t for t, w in zip(tokens, words, strict=True) if w], range(begin, middle), strict=True))
+        self.index.update(zip(others, range(middle, middle + len(others)), strict=True))
+        while len(self.tail) < len(self.index):
             self.tail, self.head, self.word, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.tail, self.head, self.word, self.single))
-        self.tail[number], self.head[number] = self._ends(tail), self._ends(head)
-        self.word[number] = self._word(words[0]) if words else -1
-        if len(words) > 1 or more:
-            self.several[number] = [self._word(w) for w in (*words[1:], *more)]
-        self.single[number] = len(words) == 1
-        self.forms.append(form)
-        self.index[token] = number
-        return number
+        here = slice(begin, middle)
+        new = set(plain).difference(self.words)
+        self.words.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
+        self.names += new
+        self.word[here] = np.fromiter(map(self.words.__getitem__, plain), np.int32, len(plain))
+        end = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        letters = codes("".join(plain)).astype(np.int32)
+        first = np.concatenate([[0], end[:-1]]) if plain else end
+        self.tail[here] = letters[end - 2] * LETTERS + letters[end - 1]
+        self.head[here] = letters[first] * LETTERS + letters[first + 1]
+        self.single[here] = True
+        forms = [_form(token, self.decoder, self.decoded) for token in others]
+        here = slice(middle, len(self.index))
+        self.tail[here] = [self._ends(f[1]) for f in forms]
+        self.head[here] = [self._ends(f[2]) for f in forms]
+        self.word[here] = [self._word(f[0][0]) if f[0] else -1 for f in forms]
+        self.single[here] = [len(f[0]) == 1 for f in forms]
+        for k, form in enumerate(forms, middle):
+            words, tail, _, more = form
+            if len(words) != 1 or more or tail is None:
+                self.special[k] = form
+                if len(words) > 1 or more:
+                    self.several[k] = [self._word(w) for w in (*words[1:], *more)]
+
+    def _forms(self, ids: np.ndarray) -> list[tuple]:
+        out = []
+        for k in ids.tolist():
+            form = self.special.get(k)
+            if form is None:
+                word = self.names[self.word[k]]
+                form = (word,), f" {word}"[-2:] if self.tail[k] >= 0 else "", f"{word} "[:2] if self.head[k] >= 0 else "", ()
+            out.append(form)
+        return out
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word) numbers of the distinct words of each text, in order of texts, and how many
         distinct words each text has as they stand. With weights, joined words without one are left out."""
-        if len(self.forms) > CACHED or len(self.names) > 4 * CACHED or len(self.gaps) > CACHED:
+        if len(self.index) > CACHED or len(self.names) > 3 * CACHED or len(self.gaps) > CACHED:
             self._forget()
         tokens, sizes = [], []
         for text in texts:
             own = text.lower().split()
             tokens += own
             sizes.append(len(own))
+        self._learn(set(tokens).difference(self.index))
         ids = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
         self._settle()
         text_of = np.repeat(np.arange(len(texts)), sizes)
@@ -409,7 +455,7 @@ class Reader:
         found = ((at << 32) | word)[word >= 0]
         more: list[int] = []
         if self.several:
-            some = np.zeros(len(self.forms), bool)
+            some = np.zeros(len(self.index), bool)
             some[np.fromiter(self.several, np.int64)] = True
             for i in np.flatnonzero(some[token]).tolist():
                 more += [int(at[i]) << 32 | w for w in self.several[int(token[i])]]
@@ -434,14 +480,15 @@ class Reader:
             first, last = first[~simple], last[~simple]
         for a, b in zip(first.tolist(), (last + 1).tolist(), strict=True):
             if b == a + 1 and joined[a]:
-                yield a, self.forms[ids[a]][0][-1] + self.forms[ids[b]][0][0]
+                (left, *_), (right, *_) = self._forms(ids[a : b + 1])
+                yield a, left[-1] + right[0]
             else:
-                for w in _joined([self.forms[k] for k in ids[a : b + 1].tolist()], tokens[a : b + 1], self.decoder, self.gaps):
+                for w in _joined(self._forms(ids[a : b + 1]), tokens[a : b + 1], self.decoder, self.gaps):
                     yield a, w
         first, last = _runs(alone, text_of)
         some = last - first >= 2
         for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True):
-            for w in self._spelled(tokens[a : b + 1], [self.forms[k] for k in ids[a : b + 1].tolist()]):
+            for w in self._spelled(tokens[a : b + 1], self._forms(ids[a : b + 1])):
                 yield a, w
 
     def _loose(self, ids, alone, text_of) -> tuple[np.ndarray, np.ndarray]:
