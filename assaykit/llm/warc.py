@@ -3,8 +3,8 @@
 ``write_arc`` puts pages into ARC files (the legacy form, version 1 or 2 by partition), ``parse_arc``
 reads them by the version's header fields and the declared lengths, ``convert`` writes WARC/1.1 files
 with synthesised record ids, dates, types and digests, and ``read_warc`` reads those back. WARC files
-hold one gzip member per record, ARC files one for many records; between members a zero byte may
-stand, as gzip allows. An ARC record's offset counts uncompressed bytes.
+hold one gzip member per record, ARC files one for many records; files are plain concatenations of
+members, and zero bytes between members are passed over when reading. An ARC record's offset counts uncompressed bytes.
 
 Defined cases: null html is an empty payload; a null or blank url becomes ``about:blank``, and blanks
 inside one are percent-encoded; repeated page rows are records each; of equal payloads the smallest
@@ -206,8 +206,16 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _write_members(rows: DataFrame, path: str) -> None:
-    """Gzip members (column ``value``, binary) to files, one for each partition, byte for byte."""
-    rows.select(F.col("value").cast("string")).write.option("lineSep", PAD).text(path)
+    """Gzip members (column ``value``, binary) to files, one for each partition: the files are the plain
+    concatenation of their members.
+
+    A member ends with the size of its content, lowest byte first, so that its last byte is zero below
+    16 MiB: the text writer gets members without this byte and puts it back as the line separator. A
+    larger member is followed by an empty one, which ends with zero.
+    """
+    whole = F.when(F.substring("value", -1, 1) == F.lit(b"\x00"), F.col("value")).otherwise(F.concat("value", F.lit(member(b""))))
+    cut = F.substring(whole, F.lit(1), F.octet_length(whole) - 1)
+    rows.select(cut.cast("string").alias("value")).write.option("lineSep", PAD).text(path)
 
 
 def _read_files(spark: SparkSession, path: str) -> DataFrame:

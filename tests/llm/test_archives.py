@@ -82,3 +82,17 @@ def test_pages_come_back(spark):
     pages = spark.createDataFrame([(i, urls[n % 4], h, "x", "y") for n, (i, h) in enumerate(rows)], "page_id bigint, url string, html string, digest string, record string").repartition(3)
     assert sorted([tuple(r) for r in warc.report(pages).collect()], key=str) == expected(rows)
     assert warc.report(pages.limit(0)).collect() == []
+
+
+def test_files_are_plain_concatenations_of_members(spark, tmp_path):
+    import os
+    import subprocess
+
+    contents = [b"first", b"", b"\x00\xff" * 999, os.urandom(1000), b"x" * ((1 << 24) + 5), b"last"]
+    rows = spark.createDataFrame([(bytearray(warc.member(c)),) for c in contents], "value binary").coalesce(1)
+    warc._write_members(rows, str(tmp_path / "members"))
+    (path,) = (tmp_path / "members").glob("part-*")
+    assert subprocess.run(["gzip", "-dc"], stdin=path.open("rb"), capture_output=True, check=True).stdout == b"".join(contents)
+    expected = [x for c in contents for x in ([c, b""] if len(c) >= 1 << 24 else [c])]
+    assert path.read_bytes() == b"".join(map(warc.member, expected))
+    assert list(warc.split_members(path.read_bytes())) == expected
