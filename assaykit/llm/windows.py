@@ -33,21 +33,34 @@ from ..session import cut_lineage
 
 #: Window starts of one segment of a long text; bytes hashed together.
 SEGMENT = 1 << 18
-BASE = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20_11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS = np.ones(1, np.uint64)
+_RANDOM = np.random.default_rng(20_11)
+_BYTE = _RANDOM.integers(0, 1 << 62, 256, dtype=np.uint64)
+#: A random number for each byte at each of the first places of a word.
+_PLACES = 64
+_PLACED = _RANDOM.integers(0, 1 << 64, (_PLACES, 256), dtype=np.uint64, endpoint=False).reshape(-1)
+#: Two primes below 2^31, so that products fit 62 bits, and the points at which polynomials are taken.
+PRIMES = (2_147_483_647, 2_147_483_629)
+_POINTS = tuple(int(x) for x in _RANDOM.integers(1 << 29, 1 << 31, 2))
+
+
+def _powers(point: int, prime: int, n: int) -> np.ndarray:
+    """At least ``n`` powers of ``point`` modulo ``prime``."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(point, len(out), prime)) % np.uint64(prime)])
+    return out
+
+
+_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(n: int) -> np.ndarray:
-    """At least ``n`` powers of BASE modulo 2^64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(2 * n, BASE, np.uint64)
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
-    return _POWERS
+def power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime, at least ``n`` powers of its point and of the point's inverse."""
+    if not _TABLES or len(_TABLES[0][0]) < n:
+        _TABLES[:] = [(_powers(x, p, n), _powers(pow(x, -1, p), p, n)) for x, p in zip(_POINTS, PRIMES, strict=True)]
+    return _TABLES
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,35 +71,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any ranges of a segment of units, from running sums."""
+    """Hashes of any ranges of a segment of units, from running sums.
+
+    A range is a polynomial in its units, modulo each of two primes. Ranges of equal length that differ
+    agree at a random point with a chance of at most (length / 2^31)^2; modulo a power of two,
+    regular patterns would agree at every point.
+    """
 
     def __init__(self, units: np.ndarray):
         self.n = len(units)
-        self.power = powers(SEGMENT + 4096)
-        if len(self.power) < self.n + 1:
-            self.power = powers(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(units * self.power[: self.n], out=self.sums[1:])
+        self.tables = power_tables(max(SEGMENT + 4096, self.n + 1))
+        self.sums = []
+        for prime, (power, _) in zip(PRIMES, self.tables, strict=True):
+            sums = np.zeros(self.n + 1, np.uint64)
+            # terms are below 2^31, so their sums fit
+            np.cumsum(units % np.uint64(prime) * power[: self.n] % np.uint64(prime), out=sums[1:])
+            self.sums.append(sums)
+
+    def _mixed(self, low, high, place) -> np.ndarray:
+        one, two = (
+            (sums[high] - sums[low]) % np.uint64(prime) * inverse[place] % np.uint64(prime)
+            for prime, (_, inverse), sums in zip(PRIMES, self.tables, self.sums, strict=True)
+        )
+        return mix(one << np.uint64(31) | two)
 
     def of(self, a, b) -> np.ndarray:
         """Hashes of the ranges [a, b), the same wherever a range stands."""
-        top = len(self.power) - 1
-        return mix((self.sums[b] - self.sums[a]) * self.power[top - np.asarray(a)] * np.uint64(_unscale(top)))
+        return self._mixed(a, b, a)
 
     def grams(self, size: int) -> np.ndarray:
         """Hashes of all ranges of ``size`` units."""
-        top, m = len(self.power) - 1, self.n - size + 1
-        return mix((self.sums[size:] - self.sums[:m]) * self.power[top - m + 1 : top + 1][::-1] * np.uint64(_unscale(top)))
-
-
-_INVERSE: dict[int, int] = {}
-
-
-def _unscale(top: int) -> int:
-    """BASE to the power -top, so that hashes don't depend on the length of the table of powers."""
-    if top not in _INVERSE:
-        _INVERSE[top] = pow(pow(int(BASE), -1, 1 << 64), top, 1 << 64)
-    return _INVERSE[top]
+        m = self.n - size + 1
+        return self._mixed(slice(0, m), slice(size, None), slice(0, m))
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,18 +114,20 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word: the sum of random numbers for its bytes and their places, or, of a word
+    of more than ``_PLACES`` bytes, its XXH64."""
     out, at = np.empty(len(starts), np.uint64), 0
+    size = ends - starts
     while at < len(starts):
-        stop = int(np.searchsorted(ends, starts[at] + SEGMENT, "right"))
-        if stop == at:  # one word longer than a segment
-            out[at] = xxhash.xxh64_intdigest(raw[starts[at] : ends[at]].tobytes())
-            at += 1
-            continue
-        low = starts[at]
-        h = Hashes(_BYTE[raw[low : ends[stop - 1]]])
-        out[at:stop] = h.of(starts[at:stop] - low, ends[at:stop] - low)
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT, "right")))
+        some = np.minimum(size[at:stop], _PLACES)
+        first = np.cumsum(some) - some
+        place = np.arange(int(some.sum())) - np.repeat(first, some)
+        byte = raw[np.repeat(starts[at:stop], some) + place]
+        out[at:stop] = np.add.reduceat(_PLACED[place * 256 + byte], first)
         at = stop
+    for i in np.flatnonzero(size > _PLACES).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes())
     return out
 
 

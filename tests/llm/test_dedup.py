@@ -191,3 +191,29 @@ def test_one_document_of_a_group_stays(documents, prose):
     out = simhash.keep_first(docs)
     assert out.columns == docs.columns
     assert sorted(str((r["doc_id"], r["text"])) for r in out.collect()) == sorted(str(x) for x in [(1, "same text here"), (2, prose(1, 30)), (None, "alone in this"), (5, None)])
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_regular_patterns_are_told_apart(spark, documents):
+    # equal modulo 2^64 as polynomials at any odd point
+    one, other = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    same = " ".join(f"word{i}" for i in range(49))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {other}"), (3, f"{same} {one}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.report(documents(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    words = [thue_morse(2048, "x ", "y ").split(), thue_morse(2048, "y ", "x ").split()]
+    units = [windows.Sequence(" ".join(w), "word").units(0, 2048) for w in words]
+    assert windows.Hashes(units[0]).of(0, 2048) != windows.Hashes(units[1]).of(0, 2048)
+    data = [windows.Sequence(x, "byte").units(0, 1024) for x in (one, other)]
+    assert windows.Hashes(data[0]).of(0, 1024) != windows.Hashes(data[1]).of(0, 1024)
+
+
+def test_hashes_do_not_depend_on_place():
+    units = windows._RANDOM.integers(0, 1 << 62, 500, dtype="uint64")
+    units[300:340] = units[20:60]
+    h = windows.Hashes(units)
+    assert h.of(20, 60) == h.of(300, 340) == windows.Hashes(units[20:60]).of(0, 40)
+    assert (h.grams(40)[[20, 300]] == h.of(20, 60)).all() and len(set(h.grams(3).tolist())) == 498 - 38
