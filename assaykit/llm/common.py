@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,7 +15,17 @@ from ..session import cut_lineage
 ROW = "_whole_row"
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker; both sides hold several at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows of long texts go to Python in batches of bounded size, whatever their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +47,8 @@ def worker_cache(owner: str) -> dict:
     that runs later in the same worker takes the memory over."""
     if owner not in _CACHE:
         _CACHE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _CACHE[owner] = {}
     return _CACHE[owner]
 

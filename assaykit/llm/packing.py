@@ -28,8 +28,8 @@ from .common import batches, texts_of, worker_cache
 
 #: Pieces of one packing partition; a bin of a partition is at most this much work.
 PART_PIECES = 8_192
-#: Distinct text chunks whose ids a Python worker remembers.
-CACHED = 1_000_000
+#: Distinct text chunks whose ids a Python worker remembers, in each of two generations.
+CACHED = 200_000
 _MARKS = frozenset(".,|;:!?")
 
 
@@ -50,6 +50,18 @@ class WordEncoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _remember(self, chunks: set[str]) -> None:
+        """Makes ``chunks`` known. When too many are, they become the older generation, and what is met
+        again is taken over from there."""
+        new = {c for c in chunks if c not in self.known}
+        if len(self.known) + 2 * len(new) > CACHED:
+            self.older, self.known = self.known, {}
+            new = chunks
+        again = {c: self.older[c] for c in new if c in self.older}
+        self.known.update(again)
+        self._learn(new - again.keys())
 
     def _learn(self, chunks: set[str]) -> None:
         # ids of a word do not depend on its case; up to here in Unicode both sides agree on what lower case is
@@ -84,14 +96,8 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         for block in batches(texts, 64):
             split = [t.replace("\n", " ").split(" ") for t in block]
+            self._remember({c for chunks in split for c in chunks})
             known = self.known
-            new = {c for chunks in split for c in chunks if c not in known}
-            if new:
-                if len(known) + 2 * len(new) > CACHED:
-                    self.known = known = {}
-                    new = {c for chunks in split for c in chunks}
-                self._learn(new)
-                known = self.known
             for chunks in split:
                 yield b"".join([known[c] for c in chunks])
 
