@@ -38,7 +38,7 @@ from ..session import cut_lineage
 from .common import ROW, as_struct, worker_cache
 
 #: Labelled rows the lexicon and the regression learn from, and words a worker remembers.
-FIT_ROWS, CACHED = 20_000, 300_000
+FIT_ROWS, CACHED = 20_000, 120_000
 THRESHOLD = 0.7
 
 #: Letters of the model: a-z, the letters of Latin-1, any other letter; 0 is all that is no letter.
@@ -327,7 +327,7 @@ class Reader:
     of the texts together, in a table of all four letters. With ``weights`` given, joined words are
     first looked up by hashes of their beginnings and of themselves, for all of them together, and only
     those that may have a weight are spelled out. What is remembered is dropped when it holds
-    ``CACHED`` tokens.
+    ``CACHED`` tokens or twice as many words.
     """
 
     def __init__(self, decoder: Decoder, weights: dict[str, float] | None = None):
@@ -438,7 +438,7 @@ class Reader:
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word) numbers of the distinct words of each text, in order of texts, and how many
         distinct words each text has as they stand. With weights, joined words without one are left out."""
-        if len(self.index) > CACHED or len(self.names) > 3 * CACHED or len(self.gaps) > CACHED:
+        if len(self.index) > CACHED or len(self.names) > 2 * CACHED or len(self.gaps) > CACHED // 4:
             self._forget()
         tokens, sizes = [], []
         for text in texts:
