@@ -13,7 +13,7 @@ from assaykit.session import cut_lineage
 from .test_dedup import slow_components, slow_fingerprint, slow_repeats
 
 
-@pytest.mark.parametrize("key", sorted(set(ORACLE_SQL) - {"op9_bucket_refinement"}))
+@pytest.mark.parametrize("key", sorted(ORACLE_SQL))
 def test_oracle(spark, sf, key):
     note = check_oracles.compare(spark, check_oracles.connect(sf), Entry(QUERIES[key], ORACLE_SQL[key]), sf)
     assert note.startswith("ok"), note
