@@ -503,6 +503,16 @@ def reference_band(spark, sf):
     return models.reference_band(rows, classes, FOLDS, rounds=ROUNDS)
 
 
+@query("reference_facts", ("noisy",),
+       f"""WITH folds AS ({strat_sql('noisy', 'y')}),
+          per AS (SELECT fold, count(*) AS n_rows, count(*) FILTER (y = 1) AS n_last FROM folds GROUP BY fold),
+          truth AS (SELECT corr(y0, y) > 0.2 AS better, greatest(3, least(15, count(*) // 20)) AS near FROM noisy)
+          SELECT unnest(['linear', 'knn_' || near, 'trees']) AS model, fold, n_rows, n_last, true AS sound, better FROM per, truth""")
+def reference_facts(spark, sf):
+    rows, classes = _folded(spark, sf)
+    return models.reference_facts(rows, classes, FOLDS, rounds=ROUNDS)
+
+
 @query("stacked_features")
 def stacked_features(spark, sf):
     rows, classes = _folded(spark, sf)
