@@ -11,13 +11,17 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 4096
-DIRECT_QUANTILE_CELLS = 4_000_000
+#: Counts that one task of ``exact_quantiles`` holds, and the bits that its passes look at.
+MAX_COUNTERS = 4_000_000
+_DIGITS = (16, 11, 11, 11, 11, 4)
 
 
 def with_chunk(
@@ -120,100 +124,107 @@ def between_ranks(low: float, high: float, part: float) -> float:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    probabilities: dict[str, Sequence[float]],
-    direct_cells: int = DIRECT_QUANTILE_CELLS,
-    n_rows: int | None = None,
+    df: DataFrame, probabilities: dict[str, Sequence[float]], direct_cells: int = MAX_COUNTERS, n_rows: int | None = None
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several columns (null and NaN ignored).
 
-    Both ways find the same two order statistics of each quantile: up to ``direct_cells`` values a
-    column is sorted in one task; beyond that, each wanted rank is bracketed with a mergeable
-    sketch, only the values inside the bracket are counted, and the bracket is narrowed again until
-    it is small. ``n_rows`` is not needed any more and kept for callers.
+    The two order statistics of each quantile are found by their digits: numbers are read as 64 ordered
+    bits, all columns are counted by their first bits in one pass, then only the cells that hold a
+    wanted rank by their next bits, until a cell holds one value. Every task sends counts, at most
+    ``direct_cells`` of them; no value is sorted or collected, and two or three passes are usual (six at
+    most). More columns than that allows are taken in groups. ``n_rows`` is not needed any more and
+    kept for callers.
     """
     columns = list(probabilities)
-    if not columns:
-        return {}
-    df = df.select(*[present(c).alias(f"q{i}") for i, c in enumerate(columns)])
-    counts = df.agg(*[F.count(f"q{i}").alias(f"n{i}") for i in range(len(columns))]).first()
-    ranks: dict[str, set[int]] = {}
-    for i, c in enumerate(columns):
-        at = [p * (counts[i] - 1) for p in probabilities[c]]
-        ranks[f"q{i}"] = {r for x in at for r in (math.floor(x), math.ceil(x))} if counts[i] else set()
-    if sum(counts) <= direct_cells:
-        found = _sorted_statistics(df, ranks)
-    else:
-        found = _order_statistics(df, ranks, {f"q{i}": n for i, n in enumerate(counts)}, direct_cells)
+    wanted = max((2 * len(set(p)) for p in probabilities.values()), default=0)
+    size = max(1, direct_cells // max(1 << _DIGITS[0], wanted << _DIGITS[1]))
     out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(columns):
-        at = [p * (counts[i] - 1) for p in probabilities[c]]
-        out[c] = [
-            between_ranks(found[f"q{i}", math.floor(x)], found[f"q{i}", math.ceil(x)], x - math.floor(x)) if counts[i] else None
-            for x in at
-        ]
+    for at in range(0, len(columns), size):
+        group = {c: probabilities[c] for c in columns[at : at + size]}
+        out |= _digit_select(df.select(*[present(c).alias(f"q{i}") for i, c in enumerate(group)]), group)
     return out
 
 
-def _sorted_statistics(df: DataFrame, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
-    """Values at the given 0-based ranks; every column is sorted by a task of its own."""
-    wanted = [f"{c}:{r}" for c, rs in ranks.items() for r in rs]
-    if not wanted:
-        return {}
-    values = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ranks])
-    long = df.select(F.explode(values).alias("e")).select("e.*").filter("v is not null")
-    at = F.row_number().over(Window.partitionBy("c").orderBy("v")) - 1
-    held = long.select("c", "v", at.alias("r")).filter(F.concat_ws(":", "c", "r").isin(wanted))
-    return {(x["c"], x["r"]): x["v"] for x in held.collect()}
-
-
-def _order_statistics(
-    df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], direct_cells: int
-) -> dict[tuple[str, int], float]:
-    """Values at the given 0-based ranks; every round shrinks each bracket about 500-fold."""
-    found: dict[tuple[str, int], float] = {}
-    brackets = {(c, r): (-math.inf, math.inf) for c, rs in ranks.items() for r in rs}
-    below = dict.fromkeys(brackets, 0)
-    inside = {(c, r): counts[c] for c, r in brackets}
-    slack = dict.fromkeys(brackets, 1e-3)
-    while brackets:
-        order = list(brackets)
-        sketches = []
-        for c, r in order:
-            low, high = brackets[c, r]
-            value = F.col(c).cast("double")
-            share = (r - below[c, r] + 0.5) / inside[c, r]
-            probes = [max(0.0, share - slack[c, r]), min(1.0, share + slack[c, r])]
-            sketches.append(F.percentile_approx(F.when(value.between(low, high), value), probes, 10_000))
-        edges = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first()
-        checks = []
-        for i, (c, _) in enumerate(order):
-            low, high = (float(v) for v in edges[i])
-            value = F.col(c).cast("double")
-            held = F.when(value.between(low, high), value)
-            checks += [F.count_if(value < low), F.count(held), F.approx_count_distinct(held)]
-        seen = df.agg(*[k.alias(f"k{i}") for i, k in enumerate(checks)]).first()
-        for i, (c, r) in enumerate(order):
-            low, high = (float(v) for v in edges[i])
-            under, within, distinct = seen[3 * i : 3 * i + 3]
-            if not under <= r < under + within:
-                if slack[c, r] >= 1.0:
-                    raise RuntimeError(f"rank {r} of {c} is not inside its whole bracket")
-                slack[c, r] = min(1.0, slack[c, r] * 8)
-                continue
-            brackets[c, r], below[c, r], inside[c, r] = (low, high), under, within
-            if low == high:
-                found[c, r] = low
-            elif distinct <= direct_cells:
-                found[c, r] = _value_at(df, c, low, high, r - under)
-            if (c, r) in found:
-                del brackets[c, r]
-    return found
-
-
-def _value_at(df: DataFrame, column: str, low: float, high: float, offset: int) -> float:
-    """Value at ``offset`` among the bounded number of distinct values in [low, high]."""
-    value = F.col(column).cast("double")
-    cells = df.filter(value.between(low, high)).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v"))
-    return cells.select("v", upto.alias("upto")).filter(F.col("upto") > offset).agg(F.min("v")).first()[0]
+def _digit_select(df: DataFrame, probabilities: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Quantiles of the columns of ``df``, which stand in the order of ``probabilities``."""
+    found: dict[tuple[int, int], float] = {}
+    at: list[list[float]] = []
+    # of each column: bits known of the cells looked into, and the ranks inside with those below the cell
+    cells = [{0: None} for _ in probabilities]
+    known = 0
+    for bits in _DIGITS:
+        counted = _digit_counts(df, [sorted(c) for c in cells], known, bits)
+        if known == 0:
+            totals = [sum(n for n, _, _ in counted.get((i, 0), {}).values()) for i in range(len(cells))]
+            at = [[p * (n - 1) for p in ps] if n else [] for n, ps in zip(totals, probabilities.values(), strict=True)]
+            cells = [{0: [(r, r) for r in sorted({r for x in own for r in (math.floor(x), math.ceil(x))})]} for own in at]
+        grown: list[dict[int, list]] = [{} for _ in cells]
+        for i, own in enumerate(cells):
+            for prefix, ranks in own.items():
+                digits = sorted(counted.get((i, prefix), {}).items())
+                below = 0
+                todo = list(ranks)
+                for digit, (n, low, high) in digits:
+                    while todo and todo[0][1] < below + n:
+                        rank, inside = todo.pop(0)
+                        if low == high:
+                            found[i, rank] = low
+                        else:
+                            grown[i].setdefault(prefix << bits | digit, []).append((rank, inside - below))
+                    below += n
+        cells, known = grown, known + bits
+        if not any(cells):
+            break
+    return {
+        c: [between_ranks(found[i, math.floor(x)], found[i, math.ceil(x)], x - math.floor(x)) for x in at[i]]
+        if at[i] else [None] * len(ps)
+        for i, (c, ps) in enumerate(probabilities.items())
+    }
+
+
+def _ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; both zeros are one."""
+    raw = (values + 0.0).view(np.uint64)
+    return np.where(raw >> np.uint64(63), ~raw, raw | np.uint64(1 << 63))
+
+
+def _digit_counts(
+    df: DataFrame, prefixes: list[list[int]], known: int, bits: int
+) -> dict[tuple[int, int], dict[int, tuple[int, float, float]]]:
+    """(column, prefix) -> digit -> (count, smallest, largest value): the values whose first ``known`` bits
+    are a prefix of their column, by their next ``bits``."""
+    starts = [np.array(p, np.uint64) for p in prefixes]
+    size, shift = 1 << bits, np.uint64(64 - known - bits)
+
+    def count(parts):
+        held = [(np.zeros(len(p) * size, np.int64), np.full(len(p) * size, np.inf), np.full(len(p) * size, -np.inf)) for p in starts]
+        for part in parts:
+            for i, own in enumerate(starts):
+                values = part.column(i).to_numpy(zero_copy_only=False)
+                values = values[~np.isnan(values)] + 0.0
+                if not len(own) or not len(values):
+                    continue
+                key = _ordered_bits(values)
+                digit = (key >> shift) & np.uint64(size - 1)
+                if known:
+                    top = key >> np.uint64(64 - known)
+                    place = np.minimum(np.searchsorted(own, top), len(own) - 1)
+                    hit = own[place] == top
+                    values, digit = values[hit], digit[hit] + (place[hit] * size).astype(np.uint64)
+                digit = digit.astype(np.int64)
+                n, low, high = held[i]
+                n += np.bincount(digit, minlength=len(n))
+                np.minimum.at(low, digit, values)
+                np.maximum.at(high, digit, values)
+        for i, (n, low, high) in enumerate(held):
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({
+                "c": pa.array(np.full(len(some), i), pa.int32()), "p": pa.array(some // size, pa.int32()), "d": pa.array(some % size, pa.int32()),
+                "n": pa.array(n[some]), "low": pa.array(low[some]), "high": pa.array(high[some])})
+
+    cells = df.mapInArrow(count, "c int, p int, d int, n bigint, low double, high double").groupBy("c", "p", "d").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[tuple[int, int], dict[int, tuple[int, float, float]]] = {}
+    for c, p, d, n, low, high in zip(*[x.to_pylist() for x in cells.toArrow().columns], strict=True):
+        out.setdefault((c, prefixes[c][p]), {})[d] = (n, low, high)
+    return out

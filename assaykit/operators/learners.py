@@ -49,6 +49,9 @@ def prepare(
     keep: Sequence[str] = (), slots: int | None = None,
 ) -> Prepared:
     """Encode once and write once; every later pass reads the narrow result."""
+    # classes, levels and every pass of the quantiles read these columns: what makes them runs once
+    wanted = {"row_id", target, *features, *keep}
+    df = cut_lineage(df.select(*[F.col(f"`{c}`") for c in df.columns if c in wanted]))
     sizes = class_sizes(df, target)
     classes = [value for value, _ in sizes]
     if len(classes) < 2:
