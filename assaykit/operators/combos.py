@@ -129,6 +129,11 @@ def information(prep: Prepared) -> dict[str, float]:
     return {n: mutual_information(counts[:, s : s + z]) for n, s, z in zip(b.names, b.starts, b.sizes)}
 
 
+def best_combos(info: dict[str, float], names: Sequence[str], most: int = TOP_COMBOS) -> list[str]:
+    """The most informative names; equal to nine decimals means equal, then by name."""
+    return sorted(names, key=lambda n: (-round(info.get(n, 0.0), 9), n))[:most]
+
+
 def fe_probe(
     df: DataFrame, target: str, features: Sequence[str], top_k: int = 5, k: int = 5, seed: int = 0,
     stacked: DataFrame | None = None,
@@ -153,7 +158,7 @@ def fe_probe(
     sets = {"combined": names} if names else {}
     sets |= {e: [e] for e in extra}
     info = information(aug)
-    best = sorted(names, key=lambda n: (-info.get(n, 0.0), n))[:TOP_COMBOS]
+    best = best_combos(info, names)
     # all of them in one pass; single combinations are only reported when the combined set helps
     gains = paired_gain(fold_gains(aug, list(features), sets | {n: [n] for n in best}))
     helps = [r for r in gains.filter("candidate = 'combined'").collect() if r["significant"] or r["gain"] > MIN_GAIN]

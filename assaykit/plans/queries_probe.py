@@ -364,16 +364,22 @@ def usable_numeric(spark, sf):
     return spark.createDataFrame([(c,) for c in found], "feature string")
 
 
+def _combo_sql(kind: str, a: str, b: str) -> str:
+    if kind != "ratio":
+        return f"{a} {'-' if kind == 'diff' else '*'} {b}"
+    return f"CASE WHEN abs({b}) > 1e-12 THEN {a} / {b} ELSE (SELECT quantile_cont({a} / {b}, 0.5) FROM ratio WHERE abs({b}) > 1e-12) END"
+
+
 COMBO_SQL = {
-    "diff(x1,x2)": "x1 - x2", "product(x1,x2)": "x1 * x2",
-    "ratio(x1,x2)": "CASE WHEN abs(x2) > 1e-12 THEN x1 / x2 ELSE (SELECT quantile_cont(x1 / x2, 0.5) FROM ratio WHERE abs(x2) > 1e-12) END",
+    f"{kind}({a},{b})": _combo_sql(kind, a, b)
+    for i, a in enumerate(XS) for b in XS[i + 1 :] for kind in ("diff", "product", "ratio")
 }
 
 
 @query("arith_combos", ("ratio",), "SELECT row_id, " + ", ".join(f'{s} AS "{n}"' for n, s in COMBO_SQL.items()) + " FROM ratio",
        tuple(f'"{n}"' for n in COMBO_SQL))
 def arith_combos(spark, sf):
-    wide, made = combos.arithmetic_combos(v.ratio(spark, sf), ["x1", "x2"])
+    wide, made = combos.arithmetic_combos(v.ratio(spark, sf), XS)
     return wide.select("row_id", *[f"`{c.name}`" for c in made])
 
 
@@ -407,8 +413,15 @@ def importance_fallback(spark, sf):
 
 
 _WIDE = "(SELECT *, " + ", ".join(f"{s} AS c{i}" for i, s in enumerate(COMBO_SQL.values())) + " FROM ratio)"
+_CS = tuple(f"c{i}" for i in range(len(COMBO_SQL)))
+_NAMES = _list([f"'{n}'" for n in COMBO_SQL])
+_NAME = f"{_NAMES}[substr(feature, 2)::INT + 1]"
+_BEST = f"""best AS MATERIALIZED (SELECT feature AS f, {_NAME} AS candidate, mutual_info FROM mi WHERE feature LIKE 'c%'
+    ORDER BY round(mutual_info, 9) DESC, candidate LIMIT {combos.TOP_COMBOS})"""
 _AUG = long_sql(_WIDE, (*XS, "c0", "c1", "c2"))
-_SETS = {"combined": "'c0', 'c1', 'c2'", **{n: f"'c{i}'" for i, n in enumerate(COMBO_SQL)}}
+#: Combinations whose gains are priced: those of the first two columns.
+_PRICED = list(COMBO_SQL)[:3]
+_SETS = {"combined": "'c0', 'c1', 'c2'", **{n: f"'c{i}'" for i, n in enumerate(_PRICED)}}
 GAINS = f"""{_AUG}, {PLAIN}, {WEIGHTS},
   cell AS MATERIALIZED (SELECT row_id, l.fold, y, l.f, wt, prior FROM long_ l JOIN w ON w.fold = l.fold AND w.f = l.f AND w.b = l.b),
   scored AS ({" UNION ALL ".join(
@@ -432,14 +445,12 @@ def paired_gain(spark, sf):
     return _gains(spark, sf)
 
 
-@query("combo_candidates", ("ratio",),
-       f"""WITH {long_sql(_WIDE, ('c0', 'c1', 'c2'))}, {MI} SELECT {_list([f"'{n}'" for n in COMBO_SQL])}[right(feature, 1)::INT + 1] AS candidate, mutual_info
-          FROM mi ORDER BY mutual_info DESC, feature LIMIT 6""", ("mutual_info",))
+@query("combo_candidates", ("ratio",), f"WITH {long_sql(_WIDE, _CS)}, {MI}, {_BEST} SELECT candidate, mutual_info FROM best", ("mutual_info",))
 def combo_candidates(spark, sf):
-    wide, made = combos.arithmetic_combos(v.ratio(spark, sf), ["x1", "x2"])
-    info = combos.information(learners.prepare(wide, "y", [c.name for c in made]))
-    top = sorted(info, key=lambda n: (-info[n], n))[: combos.TOP_COMBOS]
-    return spark.createDataFrame([(n, info[n]) for n in top], "candidate string, mutual_info double")
+    wide, made = combos.arithmetic_combos(v.ratio(spark, sf), XS)
+    names = [c.name for c in made]
+    info = combos.information(learners.prepare(wide, "y", names))
+    return spark.createDataFrame([(n, info[n]) for n in combos.best_combos(info, names)], "candidate string, mutual_info double")
 
 
 @query("fe_verdict", ("ratio",),
