@@ -6,9 +6,11 @@ the same for any partitioning and when a task is retried after an executor is lo
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +76,15 @@ def poisson_weight(value: Column) -> Column:
     for k, cut in enumerate(cuts[1:], start=1):
         weight = weight.when(value < cut, F.lit(float(k)))
     return weight.otherwise(F.lit(float(len(cuts))))
+
+
+def poisson_matrix(keys: np.ndarray, n_boot: int, salt: str) -> np.ndarray:
+    """``poisson_weight(replica_value(replica_coefficients(key, salt), replica))`` of integer keys (rows) and
+    replicas 1 to ``n_boot`` (columns), for use inside a task."""
+    texts = b"".join(hashlib.md5(f"{key}|{salt}".encode()).digest() for key in keys.tolist())
+    terms = np.frombuffer(texts, ">u4").reshape(-1, 4).astype(np.int64) % REPLICA_PRIME
+    replica = np.arange(1, n_boot + 1, dtype=np.int64)
+    value = np.zeros((len(keys), n_boot), np.int64)
+    for i in (3, 2, 1, 0):
+        value = (value * replica + terms[:, i : i + 1]) % REPLICA_PRIME
+    return np.searchsorted(np.array(poisson_cuts()), value, "right").astype(np.uint8)

@@ -3,8 +3,8 @@
 The bootstrap gives every resampling unit a Poisson(1) weight per replica. A unit is a random
 group of rows (``UNITS`` hash slots of the row key): with fewer rows than slots that is nearly the
 plain row bootstrap, with more it is the random-groups bootstrap, which has the same expected
-variance because groups are assigned independently of the data. Rows are first added up per unit,
-so the replicas multiply at most ``UNITS`` x cells partial sums, whatever the table size.
+variance because groups are assigned independently of the data. Rows are first added up per unit;
+replicas are vectors over those sums (``functions.replicas``), no row is multiplied by their number.
 
 Weights depend on the row key only. Two runs on the same rows therefore see identical resamples,
 which is what makes a paired comparison paired.
@@ -18,8 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import poisson_cuts, poisson_weight, replica_coefficients, replica_value, slot, uniform
+from ..functions.hashing import slot, uniform
 from ..functions.metrics import Context, Metric, RankMetric, context_for
+from ..functions.replicas import replica_areas, replica_sums
 from .align import Aligned, align
 
 UNITS = 1 << 17
@@ -39,28 +40,9 @@ def coarse_scores(preds: DataFrame, ctx: Context, width: float | None) -> DataFr
     return preds.withColumn(ctx.proba, F.floor(F.col(ctx.proba).cast("double") / width + 0.5) * F.lit(width))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table out over all cores before its rows are multiplied.
-
-    An explicit partition number is kept by adaptive execution, which would otherwise pack a small
-    table into one task.
-    """
+def tasks_of(df: DataFrame) -> int:
     spark = df.sparkSession
-    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(wanted)
-
-
-def replicate(cells: DataFrame, sums: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Every cell once per replica, sums multiplied with the unit's weight; zero weights dropped."""
-    keep = [c for c in cells.columns if c not in sums]
-    return (
-        spread(cells.withColumn("_coef", replica_coefficients(F.col("_unit"), f"boot{seed}")))
-        .withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("_v", replica_value(F.col("_coef"), F.col("replica").cast("bigint")))
-        .filter(F.col("_v") >= poisson_cuts()[0])
-        .withColumn("_draw", poisson_weight(F.col("_v")))
-        .select(*keep, "replica", *[(F.col(s) * F.col("_draw")).alias(s) for s in sums])
-    )
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bootstrap_values(
@@ -85,14 +67,19 @@ def bootstrap_values(
     rows = preds.withColumn("_unit", slot(F.col(key), units, f"unit{seed}"))
     cells = metric.cells(rows, [*by, "_unit"], ctx)
     keys, sums = list(metric.cell_keys(ctx)), list(metric.cell_sums(ctx))
-    draws = replicate(cells, sums, n_boot, seed).groupBy(*by, "replica", *keys).agg(
-        *[F.sum(s).alias(s) for s in sums]
-    )
-    group = [*by, "replica"]
-    values = metric.finish(draws, group, ctx, bounded=True) if rank else metric.finish(draws, group, ctx)
+    if not rank:
+        values = metric.finish(replica_sums(cells, [*by, *keys], sums, n_boot, f"boot{seed}"), [*by, "replica"], ctx)
+    elif metric.computable(ctx):
+        values = replica_areas(cells, by, *keys, *sums, n_boot, f"boot{seed}", tasks_of(cells))
+    else:
+        return no_values(cells, by)
     return values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def no_values(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    return cells.select(*by, F.lit(0).alias("replica"), F.lit(None).cast("double").alias("value")).limit(0)
+
+
 def enough_replicas(n_boot: int) -> int:
     return max(20, n_boot // 4)
 
