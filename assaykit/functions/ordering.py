@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 4096
+#: Rows that one task ranks where the order is a hash.
+ROWS_PER_TASK = 50_000
 #: Counts that one task of ``exact_quantiles`` holds, and the bits that its passes look at.
 MAX_COUNTERS = 4_000_000
 _DIGITS = (16, 11, 11, 11, 11, 4)
@@ -110,6 +112,56 @@ def running_fold(
     )
 
 
+def hash_chunk(share: str, n_rows: int, rows_per_chunk: int) -> tuple[Column, int]:
+    """Chunks of about ``rows_per_chunk`` rows by a column that is uniform in [0, 1), in its order."""
+    chunks = min(MAX_CHUNKS, max(1, math.ceil(n_rows / rows_per_chunk)))
+    return F.floor(F.col(share) * chunks).cast("int").alias("_chunk"), chunks
+
+
+def rank_by_hash(
+    df: DataFrame, by: Sequence[str], share: str, key: str, out: str, n_rows: int, rows_per_chunk: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Adds ``out``: the row's place, from 0, in its group's order by (``share``, ``key``).
+
+    ``share`` is a hash, uniform in [0, 1): it is cut into ranges, the rows of each are counted, and places
+    are numbered inside a range from what came before. Ranges only divide the work, so the result is the
+    same for any number of them, and a group may hold any share of the rows.
+    """
+    chunk, chunks = hash_chunk(share, n_rows, rows_per_chunk)
+    tagged = df.select("*", chunk)
+    inside = tagged.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(share, key)).cast("bigint") - 1)
+    if chunks == 1:
+        return inside.drop("_chunk")
+    # at most one row per (group, chunk)
+    before = Window.partitionBy(*by).orderBy("_chunk") if by else Window.partitionBy(F.lit(0)).orderBy("_chunk")
+    carries = tagged.groupBy(*by, "_chunk").agg(F.count("*").alias("_n")).select(
+        *by, "_chunk", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*by, "_chunk"]])
+    return inside.alias("r").join(carries.alias("c"), same).select(
+        *[F.col(f"r.{c}") for c in df.columns], (F.col(f"r.{out}") + F.col("c._before")).alias(out))
+
+
+def next_by_hash(
+    df: DataFrame, column: str, share: str, key: str, out: str, n_rows: int, rows_per_chunk: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Adds ``out``: ``column`` of the next row in the order by (``share``, ``key``), the last row taking the
+    first's. As in ``rank_by_hash``, ranges of the hash only divide the work; a range sends its first value."""
+    chunk, chunks = hash_chunk(share, n_rows, rows_per_chunk)
+    tagged = df.select("*", chunk)
+    order = Window.partitionBy("_chunk").orderBy(share, key)
+    last = F.lead(F.lit(True)).over(order).isNull()
+    if chunks == 1:
+        return tagged.withColumn(out, F.when(last, F.first(column).over(order)).otherwise(F.lead(column).over(order))).drop("_chunk")
+    inside = tagged.select("*", F.lead(column).over(order).alias(out), last.alias("_last"))
+    # one row per chunk, at most MAX_CHUNKS
+    firsts = tagged.groupBy("_chunk").agg(F.min_by(F.struct(column), F.struct(share, key)).alias("_first"))
+    ring = Window.partitionBy(F.lit(0)).orderBy("_chunk")
+    start = F.first("_first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = firsts.select("_chunk", F.coalesce(F.lead("_first").over(ring), start).alias("_after"))
+    value = F.when(F.col("_last"), F.col(f"_after.{column}")).otherwise(F.col(out))
+    return inside.join(F.broadcast(after), "_chunk").select(*df.columns, value.alias(out))
+
+
 def present(column: str) -> Column:
     """The column as double; NaN counts as missing."""
     value = F.col(column).cast("double")

@@ -46,7 +46,7 @@ class Prepared:
 
 def prepare(
     df: DataFrame, target: str, features: Sequence[str], k: int = 5, seed: int = 0, bins: int = 16,
-    keep: Sequence[str] = (), slots: int | None = None,
+    keep: Sequence[str] = (),
 ) -> Prepared:
     """Encode once and write once; every later pass reads the narrow result."""
     # classes, levels and every pass of the quantiles read these columns: what makes them runs once
@@ -63,7 +63,7 @@ def prepare(
         raise ValueError("no usable features after encoding")
     k = max(2, min(k, smallest))
     narrow = binner.apply(coded, ["row_id", "y", *keep])
-    folded = stratified_kfold(narrow, "y", k, seed=seed, slots=slots, sizes=[n for _, n in sizes])
+    folded = stratified_kfold(narrow, "y", k, seed=seed, sizes=[n for _, n in sizes])
     return Prepared(cut_lineage(folded), binner, [str(c) for c in classes], k)
 
 
@@ -192,7 +192,7 @@ def grouped_score(rows: DataFrame, by: Sequence[str], binary: bool) -> DataFrame
     return auc.finish(auc.cells(named, by, ctx), list(by), ctx, bounded=True)
 
 
-def importance(prep: Prepared, repeats: int = 3, salt: str = "perm", slots: int | None = None) -> DataFrame:
+def importance(prep: Prepared, repeats: int = 3, salt: str = "perm") -> DataFrame:
     """(feature, importance): loss of accuracy when a feature is permuted, for the model on all rows.
 
     One random cyclic order per repeat moves whole cell arrays; a feature's permuted score only
@@ -203,7 +203,7 @@ def importance(prep: Prepared, repeats: int = 3, salt: str = "perm", slots: int
     weights, priors = log_odds(counts, prep.binner)
     model = models_frame(spark, weights[None], priors[None])
     salts = {f"_moved{r}": f"{salt}{r}" for r in range(repeats)}
-    rows = shuffle_column(prep.rows, "cells", salts, slots=slots)
+    rows = shuffle_column(prep.rows, "cells", salts)
     n, width = len(prep.binner.names), len(prep.classes) - 1
     scored = with_models(rows.withColumn("_one", F.lit(0).cast("bigint")), model, "_one")
     scored = scored.withColumn("_base", F.array(*[logit(c, n) for c in range(width)]))

@@ -15,18 +15,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import slot, uniform
 from ..functions.metrics import Context, Metric, RankMetric, context_for
+from ..functions.ordering import ROWS_PER_TASK, next_by_hash, rank_by_hash
 from ..functions.replicas import replica_areas, replica_sums
 from .align import Aligned, align
 
 UNITS = 1 << 17
 #: Bin width that suits continuous scores of very large tables; by default scores are kept.
 SCORE_WIDTH = 1e-4
-ROWS_PER_SLOT = 50_000
 
 
 def coarse_scores(preds: DataFrame, ctx: Context, width: float | None) -> DataFrame:
@@ -213,52 +213,39 @@ def kfold(df: DataFrame, k: int = 5, key: str = "row_id", seed: int = 0) -> Data
     return df.withColumn("fold", F.floor(uniform(F.col(key), f"fold{seed}") * k).cast("bigint"))
 
 
-def slots_for(df: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> int:
-    return max(1, math.ceil(df.count() / rows_per_slot))
-
-
 def stratified_kfold(
-    df: DataFrame, label: str, k: int = 5, key: str = "row_id", seed: int = 0, slots: int | None = None,
-    sizes: Sequence[int] | None = None,
+    df: DataFrame, label: str, k: int = 5, key: str = "row_id", seed: int = 0,
+    sizes: Sequence[int] | None = None, rows_per_chunk: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Folds that hold each label evenly; k is lowered to the smallest class, at least two.
+    """Folds that hold each label evenly, to one row; k is lowered to the smallest class, at least two.
 
-    Rows are dealt out in hash order inside (label, hash slot); slots hold about
-    ``ROWS_PER_SLOT`` rows, so a frequent label is spread over many tasks. Known class ``sizes``
-    save the counting pass.
+    The rows of a label are dealt out in hash order. Folds of a label depend on its own rows only, not on
+    the size of the table, other labels or the partitioning. Known class ``sizes`` save the counting pass.
     """
     if sizes is None:
-        counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-        total, smallest = counts.agg(F.sum("n"), F.min("n")).first()
+        counts = df.groupBy(label).agg(F.count("*").alias("n"))
+        known = F.when(F.col(label).isNotNull(), F.col("n"))
+        total, smallest = counts.agg(F.sum("n"), F.min(known)).first()
     else:
         total, smallest = sum(sizes), min(sizes)
     k = max(2, min(k, smallest or 2))
-    slots = slots or max(1, math.ceil((total or 1) / ROWS_PER_SLOT))
-    tagged = df.withColumn("_slot", slot(F.col(key), slots, f"strat{seed}")).withColumn(
-        "_u", uniform(F.col(key), f"fold{seed}")
-    )
-    deal = Window.partitionBy(label, "_slot").orderBy("_u", key)
-    turn = F.row_number().over(deal) - 1 + F.col("_slot")
-    return tagged.withColumn("fold", F.pmod(turn, F.lit(k)).cast("bigint")).drop("_slot", "_u")
+    tagged = df.withColumn("_u", uniform(F.col(key), f"fold{seed}"))
+    ranked = rank_by_hash(tagged, [label], "_u", key, "_place", total or 0, rows_per_chunk)
+    return ranked.withColumn("fold", F.pmod("_place", F.lit(k)).cast("bigint")).drop("_place", "_u")
 
 
 def shuffle_column(
-    df: DataFrame, column: str, salts: dict[str, str], key: str = "row_id", slots: int | None = None
+    df: DataFrame, column: str, salts: dict[str, str], key: str = "row_id", rows_per_chunk: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Permuted copies of a column: each row takes the value of its successor in a random cycle.
 
-    ``salts`` maps each output column to the salt of its order. Orders are cut into hash slots of
-    bounded size: counts of values are kept exactly, no task sorts more than one slot, and all
-    copies share one shuffle.
+    ``salts`` maps each output column to the salt of its order, one cycle through the whole table.
+    Counts of values are kept exactly.
     """
-    slots = slots or slots_for(df)
-    out = df.withColumn("_slot", slot(F.col(key), slots, "ring"))
+    n = df.count()
     for name, salt in salts.items():
-        out = out.withColumn("_u", uniform(F.col(key), salt))
-        ring = Window.partitionBy("_slot").orderBy("_u", key)
-        last = F.lead(F.lit(True)).over(ring).isNull()
-        out = out.withColumn(name, F.when(last, F.first(column).over(ring)).otherwise(F.lead(column).over(ring)))
-    return out.drop("_slot", "_u")
+        df = next_by_hash(df.withColumn("_u", uniform(F.col(key), salt)), column, "_u", key, name, n, rows_per_chunk).drop("_u")
+    return df
 
 
 def learning_sizes(df: DataFrame, sizes: Sequence[float], key: str = "row_id", seed: int = 0) -> DataFrame:

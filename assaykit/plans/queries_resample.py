@@ -173,14 +173,10 @@ def kfold(spark, sf):
     return r.kfold(v.noisy(spark, sf).select("row_id"), 5)
 
 
-def slots_sql(view: str, rows: int = r.ROWS_PER_SLOT) -> str:
-    return f"(SELECT greatest(1, ceil(count(*) / {rows}.0::DOUBLE))::BIGINT FROM {view})"
-
-
 def strat_sql(view: str, label: str, k: int = 5, seed: int = 0) -> str:
     """Folds for inputs without missing labels whose smallest class has at least ``k`` rows."""
-    return f"""SELECT *, ((row_number() OVER (PARTITION BY {label}, _slot ORDER BY _u, row_id) - 1 + _slot) % {k})::BIGINT AS fold
-      FROM (SELECT *, {v.h_sql('row_id', f'strat{seed}')} % {slots_sql(view)} AS _slot, {v.u_sql('row_id', f'fold{seed}')} AS _u FROM {view})"""
+    return f"""SELECT * EXCLUDE (_u), ((row_number() OVER (PARTITION BY {label} ORDER BY _u, row_id) - 1) % {k})::BIGINT AS fold
+      FROM (SELECT *, {v.u_sql('row_id', f'fold{seed}')} AS _u FROM {view})"""
 
 
 @query("stratified_kfold", ("quality",), f"SELECT row_id, quality, fold FROM ({strat_sql('quality', 'quality')})")
@@ -194,10 +190,9 @@ def ring_sql(view: str, column: str, salts: dict[str, str]) -> str:
     us = ", ".join(f"{v.u_sql('row_id', salt)} AS _u{i}" for i, salt in enumerate(salts.values()))
     outs = ", ".join(
         f"coalesce(lead({column}) OVER w{i}, first_value({column}) OVER w{i}) AS {out}" for i, out in enumerate(salts))
-    wins = ", ".join(f"w{i} AS (PARTITION BY _slot ORDER BY _u{i}, row_id)" for i in range(len(salts)))
-    drop = ", ".join(["_slot", *[f"_u{i}" for i in range(len(salts))]])
-    return f"""SELECT * EXCLUDE ({drop}), {outs} FROM (
-      SELECT *, {v.h_sql('row_id', 'ring')} % {slots_sql(view)} AS _slot, {us} FROM {view}) WINDOW {wins}"""
+    wins = ", ".join(f"w{i} AS (ORDER BY _u{i}, row_id)" for i in range(len(salts)))
+    drop = ", ".join(f"_u{i}" for i in range(len(salts)))
+    return f"""SELECT * EXCLUDE ({drop}), {outs} FROM (SELECT *, {us} FROM {view}) WINDOW {wins}"""
 
 
 @query("shuffle_labels", ("noisy",),

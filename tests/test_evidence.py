@@ -271,14 +271,35 @@ def test_leakage_and_signal_ranking(spark):
 
 def test_stratified_folds_are_even_and_shuffles_keep_counts(spark):
     d = base(spark, 3000).withColumn("y", (u("y") < 0.1).cast("bigint"))
-    folds = resample.stratified_kfold(d, "y", 5, slots=7).groupBy("y", "fold").count().collect()
+    folds = resample.stratified_kfold(d, "y", 5, rows_per_chunk=400).groupBy("y", "fold").count().collect()
     for label in (0, 1):
         sizes = [r["count"] for r in folds if r["y"] == label]
-        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 7
-    moved = resample.shuffle_column(d, "y", {"z": "s1"}, slots=7)
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+    moved = resample.shuffle_column(d, "y", {"z": "s1"}, rows_per_chunk=400)
     assert moved.agg(F.sum("y") == F.sum("z"), F.abs(F.corr("y", "z")) < 0.08).first()[:] == (True, True)
 
 
+def test_folds_and_cycles_do_not_depend_on_chunks_or_other_labels(spark):
+    d = base(spark, 1000).withColumn("y", F.when(u("y") < 0.1, "rare").when(u("y") < 0.9, "often"))
+    folds = lambda df, rows: {r["row_id"]: (r["y"], r["fold"]) for r in resample.stratified_kfold(df, "y", rows_per_chunk=rows).collect()}
+    one = folds(d, 10**6)
+    assert one == folds(d.repartition(7), 90) and len(one) == 1000
+    rare = {row: fold for row, (y, fold) in one.items() if y == "rare"}
+    more = d.unionByName(d.select((F.col("row_id") + 5000).alias("row_id"), *[c for c in d.columns if c not in ("row_id", "y")], F.lit("often").alias("y")))
+    grown = folds(more, 90)
+    assert rare == {row: grown[row][1] for row in rare}
+    cycle = lambda rows: {r["row_id"]: (r["a"], r["b"]) for r in resample.shuffle_column(
+        d, "row_id", {"a": "s1", "b": "s2"}, rows_per_chunk=rows).collect()}
+    small = cycle(30)
+    assert small == cycle(10**6)
+    # one cycle through the whole table
+    at, seen = 0, set()
+    while at not in seen:
+        seen.add(at)
+        at = small[at][0]
+    assert len(seen) == 1000
+
+
 def test_few_rows_lower_the_number_of_folds(spark):
     d = base(spark, 60).withColumn("x1", u("a")).withColumn("y", (F.col("row_id") < 3).cast("bigint"))
     assert learners.prepare(d, "y", ["x1"]).k == 3
