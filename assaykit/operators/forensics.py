@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform
 from ..functions.joins import lookup_join
+from ..functions.ordering import rank_by_hash
 from ..session import cut_lineage
 from .learners import (
     Prepared, arg_max, cell_counts, counts_array, fold_models, grouped_score, log_odds, logit, models_frame,
@@ -77,53 +79,72 @@ def likely_label(thresholds: Sequence[float]) -> Column:
     return F.when(best >= 0, (F.array_position(sure, best) - 1).cast("bigint"))
 
 
-def prune_numbers(scored: DataFrame, thresholds: Sequence[float], classes: int) -> np.ndarray:
-    """How many rows labelled i look like class j, scaled so that row i sums to its label count."""
-    joint = np.zeros((classes, classes))
-    cells = scored.groupBy("y", likely_label(thresholds).alias("likely")).agg(F.count("*").alias("n"))
-    sizes = np.zeros(classes)
-    for r in cells.collect():
-        sizes[r["y"]] += r["n"]
-        if r["likely"] is not None:
-            joint[r["y"], r["likely"]] += r["n"]
-    total = joint.sum(1, keepdims=True)
-    scaled = np.divide(joint * sizes[:, None], total, out=np.zeros_like(joint), where=total > 0)
-    return np.floor(scaled + 0.5)
+#: Entries (label, other class) of a table of labels that is broadcast.
+MAX_PAIRS = 4_000_000
 
 
-def margin_cuts(scored: DataFrame, wanted: np.ndarray) -> dict[tuple[int, int], float]:
-    """Margin p_j - p_i of the last row to prune, per pair of given and other class.
+def prune_numbers(scored: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """(y, other, need): how many rows labelled y look like another class, scaled so that the numbers of a
+    label, its own included, sum to its rows."""
+    cells = scored.groupBy("y", likely_label(thresholds).alias("other")).agg(F.count("*").alias("n"))
+    # at most one row per class
+    own = Window.partitionBy("y")
+    size, known = F.sum("n").over(own), F.sum(F.when(F.col("other").isNotNull(), F.col("n"))).over(own)
+    need = F.floor(F.col("n") * size.cast("double") / known + 0.5).cast("bigint")
+    return cells.select("y", "other", need.alias("need")).filter("other is not null and other <> y and need > 0")
 
-    Margins have four decimals, so counting them gives at most 20,001 cells per pair and the
-    ranking never sees rows.
+
+def _with_pairs(rows: DataFrame, pairs: DataFrame, classes: int, how: str) -> DataFrame:
+    """``rows`` with ``_pairs``, the entries of ``pairs`` for their label: one row per label is looked up."""
+    entry = F.struct(*[c for c in pairs.columns if c != "y"])
+    by_label = pairs.groupBy("y").agg(F.collect_list(entry).alias("_pairs"))
+    return lookup_join(rows, by_label, ["y"], how, broadcast_rows=max(1, MAX_PAIRS // classes))
+
+
+def _margin(other: Column) -> Column:
+    return on_grid(F.get("probs", other.cast("int")) - F.element_at("probs", (F.col("y") + 1).cast("int")))
+
+
+def margin_cuts(scored: DataFrame, needs: DataFrame, classes: int) -> DataFrame:
+    """(y, other, cut, rest, ties): margin p_other - p_y of the last row to prune, how many rows of that
+    margin are to go, and how many have it.
+
+    Margins have four decimals, so counting them gives at most 20,001 cells per pair and the search for
+    the cut never sees rows.
     """
-    classes = wanted.shape[0]
-    pairs = [(i, j) for i in range(classes) for j in range(classes) if i != j and wanted[i, j] > 0]
-    if not pairs:
-        return {}
-    spark = scored.sparkSession
-    need = F.broadcast(spark.createDataFrame(
-        [(i, j, int(wanted[i, j])) for i, j in pairs], "y bigint, other bigint, need bigint"))
-    others = F.posexplode("probs").alias("other", "po")
-    long = scored.select("y", "probs", others).select(
-        "y", F.col("other").cast("bigint").alias("other"),
-        on_grid(F.col("po") - F.element_at("probs", (F.col("y") + 1).cast("int"))).alias("margin"))
-    cells = long.join(need, ["y", "other"]).groupBy("y", "other", "need", "margin").agg(F.count("*").alias("n"))
+    rows = _with_pairs(scored.select("y", "probs"), needs, classes, "inner")
+    long = rows.select("y", "probs", F.explode("_pairs").alias("e")).select(
+        "y", "e.other", "e.need", _margin(F.col("e.other")).alias("margin"))
+    cells = long.groupBy("y", "other", "need", "margin").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("y", "other").orderBy(F.desc("margin")))
-    cuts = cells.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < F.col("need"))
-    return {(r["y"], r["other"]): r["cut"] for r in cuts.groupBy("y", "other").agg(F.min("margin").alias("cut")).collect()}
-
-
-def flag_issues(scored: DataFrame, classes: int) -> DataFrame:
-    """Add ``flagged`` to out-of-fold rows (y, probs)."""
-    thresholds = class_thresholds(scored, classes)
-    cuts = margin_cuts(scored, prune_numbers(scored, thresholds, classes))
-    given = F.element_at("probs", (F.col("y") + 1).cast("int"))
-    beyond = F.lit(False)
-    for (i, j), cut in cuts.items():
-        margin = on_grid(F.col("probs").getItem(j) - given)
-        beyond = beyond | ((F.col("y") == i) & (margin >= F.lit(cut)))
-    return scored.withColumn("flagged", beyond & (arg_max(F.col("probs")) != F.col("y")))
+    rest = F.col("need") - (F.col("upto") - F.col("n"))
+    reached = cells.withColumn("upto", upto).select("*", rest.alias("rest")).filter("rest > 0")
+    return reached.groupBy("y", "other").agg(
+        F.min("margin").alias("cut"), F.min_by("rest", "margin").alias("rest"), F.min_by("n", "margin").alias("ties"))
+
+
+def flag_issues(scored: DataFrame, classes: int, key: str = "row_id") -> DataFrame:
+    """Add ``flagged`` to out-of-fold rows (key, y, probs).
+
+    Per pair of classes exactly the wanted number of rows with the largest margins is taken; of rows with
+    the margin at the cut, those first in a hash order of the key. Of these, rows whose most probable
+    class is not their label are flagged.
+    """
+    scored = cut_lineage(scored)
+    cuts = cut_lineage(margin_cuts(scored, prune_numbers(scored, class_thresholds(scored, classes)), classes))
+    tagged = _with_pairs(scored, cuts, classes, "left")
+    whole = lambda c: (_margin(c["other"]) > c["cut"]) | ((_margin(c["other"]) == c["cut"]) & (c["rest"] >= c["ties"]))
+    beyond = F.coalesce(F.exists("_pairs", whole), F.lit(False))
+    n_ties = cuts.filter("rest < ties").agg(F.sum("ties")).first()[0]
+    if n_ties:
+        cut_through = lambda c: (_margin(c["other"]) == c["cut"]) & (c["rest"] < c["ties"])
+        ties = tagged.select(key, "y", F.explode(F.filter("_pairs", cut_through)).alias("e")).select(
+            key, "y", "e.other", "e.rest", uniform(F.col(key), "prune").alias("_u"))
+        ranked = rank_by_hash(ties, ["y", "other"], "_u", key, "_place", n_ties)
+        taken = ranked.filter("_place < rest").select(key).distinct().withColumn("_taken", F.lit(True))
+        tagged = tagged.join(taken, key, "left")
+        beyond = beyond | F.col("_taken").isNotNull()
+    return tagged.select(*scored.columns, (beyond & (arg_max(F.col("probs")) != F.col("y"))).alias("flagged"))
 
 
 def noise_confidence(rate: Column, has_signal: bool) -> Column:

@@ -163,12 +163,10 @@ FLAGS = f"""{NOISY}, {PLAIN}, {WEIGHTS}, {OOF},
   th AS (SELECT avg(p0) FILTER (y = 0) AS t0, avg(p1) FILTER (y = 1) AS t1 FROM pr),
   lk AS (SELECT y, CASE WHEN p0 >= t0 AND p1 >= t1 THEN (p1 > p0)::INT WHEN p0 >= t0 THEN 0 WHEN p1 >= t1 THEN 1 END AS likely FROM pr, th),
   need AS (SELECT y, floor(count(*) FILTER (likely = 1 - y) * count(*)::DOUBLE / count(likely) + 0.5) AS m FROM lk GROUP BY y),
-  mg AS (SELECT y, round(CASE WHEN y = 1 THEN p0 - p1 ELSE p1 - p0 END, 4) AS margin, count(*) AS n FROM pr GROUP BY ALL),
-  cum AS (SELECT y, margin, sum(n) OVER (PARTITION BY y ORDER BY margin DESC) - n AS before FROM mg),
-  cuts AS (SELECT y, min(margin) AS cut FROM cum JOIN need USING (y) WHERE before < m GROUP BY y),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY round(CASE WHEN y = 1 THEN p0 - p1 ELSE p1 - p0 END, 4) DESC,
+      {v.u_sql('row_id', 'prune')}, row_id) AS place FROM pr),
   fl AS (SELECT row_id, y, p0, p1, CASE WHEN y = 1 THEN p1 ELSE p0 END AS quality,
-      coalesce(round(CASE WHEN y = 1 THEN p0 - p1 ELSE p1 - p0 END, 4) >= cut, false) AND (p1 > p0)::INT <> y AS flagged
-    FROM pr LEFT JOIN cuts USING (y))"""
+      coalesce(place <= m, false) AND (p1 > p0)::INT <> y AS flagged FROM placed LEFT JOIN need USING (y))"""
 
 
 NOISE = f"""WITH {FLAGS}, r AS (SELECT count(*) AS n, count(*) FILTER (flagged) AS n_flagged FROM fl)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit.functions import hashing, ordering
 from assaykit.functions.hashing import uniform
 from assaykit.functions.metrics import (
     REGISTRY, approximate_median_significance, context_of, known_metric, positive_proba, resolve_metric,
@@ -253,6 +254,60 @@ def test_confident_learning_matches_brute_force_with_three_classes(spark):
     assert got == want and got
 
 
+def places(spark, n):
+    rows = spark.range(n).select(F.col("id"), hashing.uniform(F.col("id"), "prune").alias("u")).collect()
+    return {r["id"]: (r["u"], r["id"]) for r in rows}
+
+
+def flags_by_hand(y, p, order):
+    """Per pair of classes the wanted number of largest margins, ties in hash order; also those numbers."""
+    n, k = p.shape
+    t = [p[y == c, c].mean() if (y == c).any() else 1.0 for c in range(k)]
+    joint = np.zeros((k, k))
+    for i in range(n):
+        sure = [c for c in range(k) if p[i, c] >= t[c]]
+        if sure:
+            joint[y[i], max(sure, key=lambda c: (p[i, c], -c))] += 1
+    taken, cut_through = set(), 0
+    for i, j in zip(*np.nonzero(joint), strict=True):
+        m = int(joint[i, j] * (y == i).sum() / joint[i].sum() + 0.5)
+        if i != j and m:
+            ranked = sorted((-round(p[r, j] - p[r, i], 4), *order[r]) for r in range(n) if y[r] == i)
+            taken |= {x[2] for x in ranked[:m]}
+            cut_through += m < len(ranked) and ranked[m][0] == ranked[m - 1][0]
+    return {r for r in taken if p[r].argmax() != y[r]}, cut_through
+
+
+def test_exactly_the_wanted_rows_are_flagged_where_margins_tie(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n, k = 600, 3
+    y = rng.integers(0, k, n)
+    weight = rng.integers(1, 4, (n, k)) + 2 * np.eye(k, dtype=int)[(y + (rng.random(n) < 0.3)) % k]
+    p = np.round(weight / weight.sum(1, keepdims=True), 1)
+    d = spark.createDataFrame([(i, int(y[i]), p[i].tolist()) for i in range(n)], "row_id bigint, y bigint, probs array<double>")
+    want, cut_through = flags_by_hand(y, p, places(spark, n))
+    assert cut_through > 0
+    one = {r["row_id"] for r in forensics.flag_issues(d, k).filter("flagged").collect()}
+    # ties ranked in many chunks, lookups shuffled instead of broadcast
+    monkeypatch.setattr(forensics, "rank_by_hash", lambda *a: ordering.rank_by_hash(*a, rows_per_chunk=10))
+    monkeypatch.setattr(forensics, "MAX_PAIRS", 1)
+    many = {r["row_id"] for r in forensics.flag_issues(d.repartition(5), k).filter("flagged").collect()}
+    assert one == want == many
+
+
+def test_two_hundred_classes_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    n, k = 1200, 200
+    y = np.arange(n) % k
+    looks = np.where(rng.random(n) < 0.1, (y + 1 + rng.integers(0, k - 1, n)) % k, y)
+    p = np.full((n, k), 0.001)
+    p[np.arange(n), looks] = np.round(0.5 + 0.3 * rng.random(n), 4)
+    d = spark.createDataFrame([(i, int(y[i]), p[i].tolist()) for i in range(n)], "row_id bigint, y bigint, probs array<double>")
+    want, _ = flags_by_hand(y, p, places(spark, n))
+    got = {r["row_id"] for r in forensics.flag_issues(d, k).filter("flagged").collect()}
+    assert got == want and len(got) > 50
+
+
 def test_conflicts_with_missing_labels(spark):
     rows = [("a", 1), ("a", 1), ("a", 0), ("a", None), ("b", None), ("b", None), ("c", 1), (None, 0), (None, 1)]
     d = spark.createDataFrame(rows, "f string, y int")
