@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,30 +197,54 @@ def importance(prep: Prepared, repeats: int = 3, salt: str = "perm") -> DataFram
     """(feature, importance): loss of accuracy when a feature is permuted, for the model on all rows.
 
     One random cyclic order per repeat moves whole cell arrays; a feature's permuted score only
-    swaps that feature's weight, so all features are rescored from the same pass.
+    swaps that feature's weight, so all features are rescored from the same pass. A task adds up the hits
+    of all features as arrays and sends one row per feature.
     """
-    spark = prep.rows.sparkSession
     counts = counts_array(cell_counts(prep.rows, ["y"], []), (1, len(prep.classes), prep.binner.n_cells), [])
     weights, priors = log_odds(counts, prep.binner)
-    model = models_frame(spark, weights[None], priors[None])
     salts = {f"_moved{r}": f"{salt}{r}" for r in range(repeats)}
-    rows = shuffle_column(prep.rows, "cells", salts)
-    n, width = len(prep.binner.names), len(prep.classes) - 1
-    scored = with_models(rows.withColumn("_one", F.lit(0).cast("bigint")), model, "_one")
-    scored = scored.withColumn("_base", F.array(*[logit(c, n) for c in range(width)]))
-    hit = lambda logits: predicts(logits, F.col("y")).cast("double")
-    base = [F.get("_base", F.lit(c)) for c in range(width)]
-    long = scored.select(
-        "y", "w", "_base", hit(base).alias("base"),
-        F.posexplode(F.arrays_zip("cells", *salts)).alias("f", "z"))
-    swapped = F.lit(0.0)
-    for moved in salts:
-        swapped = swapped + hit([
-            base[c] - F.get(F.col("w").getItem(c), F.col("z.cells")) + F.get(F.col("w").getItem(c), F.col(f"z.{moved}"))
-            for c in range(width)])
-    loss = long.groupBy("f").agg((F.avg("base") - F.avg(swapped / repeats)).alias("importance"))
+    rows = shuffle_column(prep.rows, "cells", salts).filter("y is not null").select("y", "cells", *salts)
+    n = len(prep.binner.names)
+    hits = rows.mapInArrow(_swapped_hits(weights[0], priors[0], n), "f int, n bigint, base double, swapped double")
+    total = hits.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", "base", "swapped")])
+    loss = F.col("base") / F.col("n") - F.col("swapped") / (F.col("n") * repeats)
     names = F.array(*[F.lit(name) for name in prep.binner.names])
-    return loss.select(F.get(names, F.col("f")).alias("feature"), "importance")
+    return total.filter("n > 0").select(F.get(names, F.col("f")).alias("feature"), loss.alias("importance"))
+
+
+def _swapped_hits(weights: np.ndarray, prior: np.ndarray, n_features: int):
+    """A task's rows (y, cells, permuted cells, ...) to (f, n, base, swapped): its rows, those whose label
+    the model finds, and those it still finds with feature f permuted, added up over the permutations."""
+
+    def hits(logits, y):
+        grid = lambda x: np.floor(x * 10**SCORE_DIGITS + 0.5) / 10**SCORE_DIGITS
+        if len(logits) == 1:
+            return (grid(1 / (1 + np.exp(-logits[0]))) > 0.5) == (y == 1)
+        top = np.maximum(logits.max(axis=0), 0.0)
+        parts = [np.exp(-top), *np.exp(logits - top)]
+        total = sum(parts[1:], parts[0])
+        return np.argmax([grid(x / total) for x in parts], axis=0) == y
+
+    def emit(parts):
+        n, base, swapped = 0, 0, np.zeros(n_features)
+        for part in parts:
+            if not part.num_rows:
+                continue
+            y = part.column(0).to_numpy()
+            cells, *moved = (c.flatten().to_numpy().reshape(-1, n_features) for c in part.columns[1:])
+            logits = np.repeat(prior[:, None], len(y), axis=1)
+            for f in range(n_features):
+                logits = logits + weights[:, cells[:, f]]
+            n += len(y)
+            base += int(hits(logits, y).sum())
+            for f in range(n_features):
+                without = logits - weights[:, cells[:, f]]
+                swapped[f] += sum(int(hits(without + weights[:, m[:, f]], y).sum()) for m in moved)
+        yield pa.RecordBatch.from_pydict({
+            "f": pa.array(range(n_features), pa.int32()), "n": pa.array([n] * n_features, pa.int64()),
+            "base": pa.array([float(base)] * n_features), "swapped": pa.array(swapped)})
+
+    return emit
 
 
 def contributions(prep: Prepared, members: DataFrame, top: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ from assaykit.functions.metrics import (
     REGISTRY, approximate_median_significance, context_of, known_metric, positive_proba, resolve_metric,
 )
 from assaykit.operators import align, combos, diagnose, ensemble, featurize, forensics, learners, models, profile, regression, resample
+from assaykit.operators import scoring
 from assaykit.operators.scoring import metric_value, metrics_table
 
 
@@ -308,6 +309,50 @@ def test_two_hundred_classes_are_pruned(spark):
     assert got == want and len(got) > 50
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_importance_equals_rows_rescored_one_by_one(spark, classes):
+    d = base(spark, 900).withColumn("x1", u("a")).withColumn("x2", u("b")).withColumn("x3", u("c"))
+    d = d.withColumn("y", F.floor(F.least(F.col("x1") * 0.8 + F.col("x2") * 0.3, F.lit(0.99)) * classes).cast("bigint"))
+    prep = learners.prepare(d, "y", ["x1", "x2", "x3"])
+    got = {r["feature"]: r["importance"] for r in learners.importance(prep, repeats=2).collect()}
+    counts = learners.counts_array(learners.cell_counts(prep.rows, ["y"], []), (1, classes, prep.binner.n_cells), [])
+    weights, prior = (x[0] for x in learners.log_odds(counts, prep.binner))
+    rows = resample.shuffle_column(prep.rows, "cells", {"m0": "perm0", "m1": "perm1"}).collect()
+
+    def hit(cells, y):
+        logits = [prior[c] + sum(weights[c][x] for x in cells) for c in range(classes - 1)]
+        raw = np.exp([0.0, *logits])
+        grid = np.floor(raw / raw.sum() * 1e4 + 0.5) / 1e4
+        return (grid[1] > 0.5) == (y == 1) if classes == 2 else grid.argmax() == y
+
+    before = np.mean([hit(r["cells"], r["y"]) for r in rows])
+    for f, name in enumerate(prep.binner.names):
+        swap = lambda r, m: [*r["cells"][:f], r[m][f], *r["cells"][f + 1:]]
+        after = np.mean([hit(swap(r, m), r["y"]) for r in rows for m in ("m0", "m1")])
+        assert got[name] == pytest.approx(before - after)
+    assert got["x1"] > got["x3"]
+
+
+def test_importance_of_five_hundred_features(spark):
+    wide = base(spark, 300).select("row_id", (u("c0") > 0.5).cast("bigint").alias("y"), *[u(f"c{i}").alias(f"c{i}") for i in range(500)])
+    found = learners.importance(learners.prepare(wide, "y", [f"c{i}" for i in range(500)], bins=4), repeats=1).collect()
+    assert len(found) == 500 and max(found, key=lambda r: r["importance"])["feature"] == "c0"
+
+
+def test_metrics_table_reads_the_predictions_once(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(f"r{i % 2}", i, i % 2, (i // 2) % 2, i % 5 / 5) for i in range(80)],
+                              "run_id string, row_id int, y_true int, y_pred int, proba_1 double")
+    written = []
+    monkeypatch.setattr(scoring, "cut_lineage", lambda df: written.append(df) or df.cache())
+    wanted = [m for m in REGISTRY if m.task == "classification"]
+    ctx = context_of(d)
+    table = {r["run_id"]: r for r in metrics_table(d, wanted, ["run_id"], ctx).collect()}
+    assert len(written) == 1
+    for m in wanted:
+        for r in metric_value(d, m, ["run_id"], ctx).collect():
+            assert table[r["run_id"]][m.name] == pytest.approx(r["value"])
+
+
 def test_conflicts_with_missing_labels(spark):
     rows = [("a", 1), ("a", 1), ("a", 0), ("a", None), ("b", None), ("b", None), ("c", 1), (None, 0), (None, 1)]
     d = spark.createDataFrame(rows, "f string, y int")
