@@ -355,11 +355,13 @@ def as_item_text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def long_items(parts: dict[str, DataFrame]) -> DataFrame:
-    """One-row results stacked as (item, key, value)."""
+def long_items(parts: dict[str, DataFrame], item_column: str | None = None) -> DataFrame:
+    """Results stacked as (item, key, value). A part is one row, or has its items in ``item_column``."""
     out = None
     for item, df in parts.items():
-        pairs = F.array(*[F.struct(F.lit(c).alias("key"), as_item_text(df, c).alias("value")) for c in df.columns])
-        rows = df.select(F.lit(item).alias("item"), F.explode(pairs).alias("e")).select("item", "e.key", "e.value")
+        pairs = F.array(*[
+            F.struct(F.lit(c).alias("key"), as_item_text(df, c).alias("value")) for c in df.columns if c != item_column])
+        name = F.col(item_column) if item_column else F.lit(item)
+        rows = df.select(name.alias("item"), F.explode(pairs).alias("e")).select("item", "e.key", "e.value")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align
+from ..operators import align, reports
 from ..operators import diagnose as d
 from . import views as v
 from .catalog import query
+from .queries_resample import floor_sql
 
 
 def _rows(spark, sf):
@@ -198,3 +199,75 @@ def overfit_gap(spark, sf):
     return d.overfit_gap(runs, "score", True)
 
 
+
+
+# --- whole reports ------------------------------------------------------------------------------
+
+
+def items_sql(item: str, source: str, doubles: tuple[str, ...] = (), others: tuple[str, ...] = ()) -> str:
+    """(item, key, value) of the columns of a one-row ``source``; ``item`` is an expression."""
+    keys = ", ".join(f"'{c}'" for c in (*doubles, *others))
+    values = ", ".join([f"printf('%.6f', round({c}::DOUBLE, 6) + 0.0)" for c in doubles] + [f"{c}::VARCHAR" for c in others])
+    return f"SELECT {item} AS item, unnest([{keys}]) AS key, unnest([{values}]) AS value FROM ({source})"
+
+
+def _report_sql(preds: str, error: str, error_name: str, requested: str, metric: str, fallback: str, parts: list[str]) -> str:
+    floor = floor_sql(metric, 200)
+    floor_preds = "preds_cls" if metric in ("auc", "accuracy") else "preds_reg"
+    floor = floor.replace(f"FROM {floor_preds}", f"FROM {preds}")
+    rows = f"rows_all AS (SELECT *, {error} AS error FROM {preds} JOIN feat USING (row_id))"
+    # the buckets read rows_, a name that the floor's SQL uses for itself
+    cells = CELLS.replace("rows_", "rows_all")
+    slices = f"""SELECT *, row_number() OVER (ORDER BY lift DESC, n DESC, feature, bucket) AS place FROM (
+        SELECT feature, bucket, count(*) AS n, round(avg(error), 4) AS error, round(avg(error) / overall, 2) AS lift
+        FROM ({cells}), (SELECT avg(error) AS overall, count(*) AS n_all FROM rows_all) GROUP BY feature, bucket, overall, n_all
+        HAVING count(*) >= greatest(10, floor(0.02 * n_all)) AND avg(error) > overall ORDER BY lift DESC, n DESC, feature, bucket LIMIT 8)"""
+    own = [
+        items_sql("'overall'", f"SELECT count(*) AS n, '{error_name}' AS error_name, avg(error) AS error FROM rows_all", ("error",), ("n", "error_name")),
+        items_sql("'noise_floor'", f"SELECT *, '{requested}' AS requested, {fallback} AS fallback, 'ok' AS status FROM ({floor})",
+                  ("mean", "std", "ci_low", "ci_high", "min_significant_delta"), ("n_boot", "requested", "metric", "fallback", "status")),
+        items_sql("'error_slice_' || place", slices, ("error", "lift"), ("feature", "bucket", "n")),
+    ]
+    return f"WITH {rows} " + " UNION ALL ".join(f"({x})" for x in [*own, *parts])
+
+
+@query("run_diagnosis_reg", ("preds_reg", "feat"), _report_sql(
+    "preds_reg", "abs(y_true - y_pred)", "absolute error", "mape", "rmse", "true", [items_sql(
+        "'residuals'",
+        """SELECT n, bias, residual_std, c AS heteroscedasticity_corr, abs(bias) > 0.05 * (sd + 1e-12) AS biased, abs(c) > 0.3 AS heteroscedastic
+           FROM (SELECT count(*) AS n, avg(y_true - y_pred) AS bias, stddev_pop(y_true - y_pred) AS residual_std,
+             corr(y_pred, abs(y_true - y_pred)) AS c, stddev_pop(y_true) AS sd FROM preds_reg)""",
+        ("bias", "residual_std", "heteroscedasticity_corr"), ("n", "biased", "heteroscedastic"))]))
+def run_diagnosis_reg(spark, sf):
+    """A numeric target whose goal names a metric that is not known: the floor is that of the fallback."""
+    return reports.run_diagnosis(v.preds_reg(spark, sf), v.feat(spark, sf), "target", v.FEATURES, "regression", "mape", False)
+
+
+_ROC = """SELECT sum(pos) OVER w / (SELECT sum(y_true) FROM preds_slice) AS tpr, sum(neg) OVER w / (SELECT sum(1 - y_true) FROM preds_slice) AS fpr
+  FROM (SELECT proba_1 AS s, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM preds_slice GROUP BY 1) WINDOW w AS (ORDER BY s DESC)"""
+_POINTS_SQL = ", ".join(
+    [f"round(coalesce(max(tpr) FILTER (fpr <= {x}), 0), 3) AS recall_at_{round(x * 100)}pct_overkill" for x in d.OVERKILL_LEVELS]
+    + [f"round(min(fpr) FILTER (tpr >= {x}), 3) AS overkill_for_{round(x * 100)}pct_recall" for x in d.RECALL_LEVELS])
+
+
+@query("run_diagnosis", ("preds_slice", "feat"), _report_sql(
+    "preds_slice", "(y_true <> y_pred)::INT", "error rate", "roc_auc", "auc", "false", [
+        items_sql("'confusion'", "SELECT y_true, y_pred, count(*) AS n FROM preds_slice WHERE y_true <> y_pred GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1",
+                  (), ("y_true", "y_pred", "n")),
+        items_sql("'class_balance'", """SELECT n_classes, r AS imbalance_ratio,
+              CASE WHEN r < 2 THEN 'balanced' WHEN r < 10 THEN 'imbalanced' ELSE 'severely imbalanced' END AS level
+            FROM (SELECT count(*) AS n_classes, max(n)::DOUBLE / min(n) AS r FROM (SELECT count(*) AS n FROM preds_slice GROUP BY y_true))""",
+                  ("imbalance_ratio",), ("n_classes", "level")),
+        items_sql("'missed_positives'", """SELECT count(*) FILTER (y_pred <> 1) AS n_missed, count(*) FILTER (y_pred = 1) AS n_caught
+            FROM preds_slice WHERE y_true = 1""", (), ("n_missed", "n_caught")),
+        items_sql("'calibration'", """SELECT e AS ece, CASE WHEN e < 0.05 THEN 'well calibrated' WHEN e < 0.15 THEN 'moderately miscalibrated'
+              ELSE 'badly miscalibrated' END AS quality
+            FROM (SELECT sum(abs(o - c) * n) / sum(n) AS e FROM (SELECT avg(y_true) AS o, avg(proba_1) AS c, count(*) AS n
+              FROM preds_slice GROUP BY least(floor(proba_1 * 10), 9)))""", ("ece",), ("quality",)),
+        items_sql("'scores'", """SELECT least(count(DISTINCT proba_1), 3) AS n_distinct, count(DISTINCT proba_1) < 3 AS degenerate FROM preds_slice""",
+                  (), ("n_distinct", "degenerate")),
+        items_sql("'operating_curve'", f"SELECT {_POINTS_SQL} FROM ({_ROC})", reports.POINTS),
+    ]))
+def run_diagnosis(spark, sf):
+    """Two labels with probabilities, in the goal's metric under its other name."""
+    return reports.run_diagnosis(v.preds_slice(spark, sf), v.feat(spark, sf), "target", v.FEATURES, "classification", "roc_auc")

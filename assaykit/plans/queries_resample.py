@@ -55,7 +55,7 @@ _SIMPLE = {
 }
 
 
-def _floor_sql(metric: str, n_boot: int) -> str:
+def floor_sql(metric: str, n_boot: int) -> str:
     if metric == "auc":
         return f"""WITH rows_ AS (SELECT {unit_sql()} AS unit, y_true, proba_1 AS s FROM preds_cls),
           draws AS ({draws_sql(n_boot)})
@@ -67,7 +67,7 @@ def _floor_sql(metric: str, n_boot: int) -> str:
 
 
 def _floor_query(key, metric, view, reader, n_boot=200):
-    @query(key, (view,), _floor_sql(metric, n_boot), FLOOR_COLS)
+    @query(key, (view,), floor_sql(metric, n_boot), FLOOR_COLS)
     def run(spark, sf):
         return r.noise_floor(reader(spark, sf), known_metric(metric), n_boot=n_boot)
 
