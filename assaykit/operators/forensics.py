@@ -331,6 +331,13 @@ def verdict(
 
 def forensics_table(prep: Prepared, dataset: DataFrame, features: Sequence[str], target: str, quick: bool = False) -> DataFrame:
     """The whole battery as (item, key, value) rows of text."""
+    return long_items(forensics_parts(prep, dataset, features, target, quick))
+
+
+def forensics_parts(
+    prep: Prepared, dataset: DataFrame, features: Sequence[str], target: str, quick: bool = False
+) -> dict[str, DataFrame]:
+    """The battery for labels: results of one row by item."""
     counts = label_counts(prep)
     signal = signal_check(prep, 2 if quick else 3)
     signal = prep.rows.sparkSession.createDataFrame([signal.first()], signal.schema)
@@ -345,13 +352,14 @@ def forensics_table(prep: Prepared, dataset: DataFrame, features: Sequence[str],
         leak = leakage_check(prep, counts=counts).orderBy(F.desc("single_feature_auc"), "feature").limit(1)
         parts["leakage"] = leak
     parts["verdict"] = verdict(signal, noise, conflicts, curve)
-    return long_items(parts)
+    return parts
 
 
 def as_item_text(df: DataFrame, column: str) -> Column:
     """Numbers with six decimals, so that text results compare."""
     if dict(df.dtypes)[column] in ("double", "float"):
-        return F.format_string("%.6f", F.round(F.col(column).cast("double"), 6) + 0.0)
+        value = F.round(F.col(column).cast("double"), 6) + 0.0
+        return F.when(value.isNotNull(), F.format_string("%.6f", value))
     return F.col(column).cast("string")
 
 

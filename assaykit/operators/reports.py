@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, context_for, resolve_metric
 from ..session import cut_lineage
-from . import align
+from . import align, forensics, learners, models, regression
 from . import diagnose as d
 from .forensics import long_items
 from .resample import noise_floor
@@ -84,6 +84,48 @@ def run_diagnosis(
     return out.unionByName(long_items({"": ranked}, "_item"))
 
 
+def run_forensics(
+    df: DataFrame, target: str, features: Sequence[str], task: str, quick: bool = False, reference: bool = False,
+) -> DataFrame:
+    """What limits models of this dataset: the battery for labels or for a numeric target.
+
+    ``input`` has the rows used, the features kept and the columns dropped. Labels also get the estimated
+    label noise and the number of suspects listed, two labels the leakage check. A numeric target has no
+    lower bound of the error from duplicates, so its verdict is signal and curve. ``reference`` adds the
+    scores of trained models. ``quick`` uses fewer shuffles, sizes and folds.
+    """
+    df = cut_lineage(df.select("row_id", target, *features))
+    k = 3 if quick else 5
+    if task == "classification":
+        prep = learners.prepare(df, target, features, k=k)
+        parts = forensics.forensics_parts(prep, df, features, target, quick)
+        flagged = forensics.flag_issues(learners.out_of_fold(prep), len(prep.classes))
+        parts["label_suspects"] = forensics.label_suspects(flagged, prep.classes).agg(
+            F.count("*").alias("n_listed"), F.min("quality").alias("lowest_quality"))
+    else:
+        prep = regression.prepare_regression(df, target, features, k=k)
+        signal = regression.signal_check(prep, 2 if quick else 3)
+        conflicts = forensics.conflict_spread(df, features, target)
+        curve = forensics.curve_verdict(regression.learning_curve(prep, forensics.QUICK_SIZES if quick else forensics.SIZES))
+        binned = learners.prepare(regression.target_classes(df, target), "target_bin", features)
+        parts = {
+            "signal_check": signal, "conflict_rate": conflicts, "learning_curve": curve,
+            "feature_signal": forensics.feature_signal(binned, 1).select("feature", "mutual_info"),
+            "verdict": forensics.verdict(signal, None, conflicts.withColumn("_bound", F.lit(0.0)), curve, "_bound"),
+        }
+    dropped = ",".join(c for c in features if c not in prep.binner.names)
+    parts["input"] = prep.rows.agg(
+        F.count("*").alias("n_rows"), F.lit(len(prep.binner.names)).alias("n_features"), F.lit(dropped).alias("dropped"),
+        F.lit(prep.scoring).alias("scoring"))
+    out = long_items(parts)
+    if reference:
+        rows, classes = models.folded_vectors(df, target, features, task, k)
+        band = models.reference_band(rows, classes, k, rounds=60 if quick else 200)
+        out = out.unionByName(long_items(
+            {"": band.withColumn("_item", F.concat(F.lit("reference_"), F.col(band.columns[0]).cast("string")))}, "_item"))
+    return out
+
+
 POINTS = tuple(
     [f"recall_at_{round(x * 100)}pct_overkill" for x in d.OVERKILL_LEVELS]
     + [f"overkill_for_{round(x * 100)}pct_recall" for x in d.RECALL_LEVELS])

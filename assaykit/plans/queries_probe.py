@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import known_metric
-from ..operators import align, combos, featurize, forensics, learners, models, regression
+from ..operators import align, combos, featurize, forensics, learners, models, regression, reports
 from ..operators import diagnose as d
 from ..operators.resample import noise_floor
 from ..session import cut_lineage
 from . import views as v
 from .catalog import query
+from .queries_diagnose import items_sql
 from .queries_resample import ring_sql, strat_sql
 
 # --- oracle side of the additive learner ----------------------------------------------------------
@@ -564,13 +565,42 @@ REG_LONG = f"""folds AS MATERIALIZED {_KFOLDS},
     stddev_pop(s) FILTER (rep > 0) AS score_shuffled_std FROM means)"""
 
 
-@query("signal_check_reg", ("number_target",),
-       f"""WITH {REG_LONG} SELECT *, score_real - score_shuffled_mean AS gap, true AS has_signal, 'high' AS confidence FROM one""", _SIGNAL)
+SIGNAL_REG = f"""WITH {REG_LONG} SELECT *, gap > greatest(3 * score_shuffled_std, 0.02) AS has_signal,
+    CASE WHEN (CASE WHEN gap > greatest(3 * score_shuffled_std, 0.02) THEN gap > 0.1 ELSE gap < score_shuffled_std END) THEN 'high' ELSE 'medium' END AS confidence
+  FROM (SELECT *, score_real - score_shuffled_mean AS gap FROM one)"""
+
+
+@query("signal_check_reg", ("number_target",), SIGNAL_REG, _SIGNAL)
 def signal_check_reg(spark, sf):
     return regression.signal_check(regression.prepare_regression(v.number_target(spark, sf), "y", ["x1", "x2"]))
 
 
-@query("learning_curve_reg")
+# every model (size, fold) is trained on the rows of its size outside the fold, and a line is fitted on them
+CURVE_REG = f"""{REG_LONG[:REG_LONG.index("shuffled AS")]}
+  sz AS MATERIALIZED (SELECT row_id, fold, y, (SELECT count(*) FROM (SELECT unnest([{', '.join(str(s) for s in forensics.SIZES[:-1])}]) AS s) WHERE u >= s) AS size_index
+    FROM (SELECT row_id, fold, y, {v.u_sql('row_id', 'size0')} AS u FROM folds)),
+  ss AS (SELECT unnest(range(0, {len(forensics.SIZES)})) AS rep), fs AS (SELECT DISTINCT fold FROM folds),
+  own AS (SELECT rep, z.fold, f, b, count(*) AS n, sum(y) AS s FROM sz z JOIN ss ON size_index <= rep JOIN long_ l ON l.row_id = z.row_id GROUP BY ALL),
+  tot AS (SELECT rep, f, b, sum(n) AS n, sum(s) AS s FROM own GROUP BY ALL),
+  mean_ AS (SELECT rep, fs.fold, avg(y) FILTER (z.fold <> fs.fold) AS m, count(*) FILTER (z.fold <> fs.fold) AS n_train
+    FROM sz z JOIN ss ON size_index <= rep, fs GROUP BY ALL),
+  grid AS (SELECT DISTINCT f, b FROM long_),
+  w AS MATERIALIZED (SELECT m.rep, m.fold, grid.f, grid.b, m.m AS prior,
+      (coalesce(tot.s, 0) - coalesce(own.s, 0) - (coalesce(tot.n, 0) - coalesce(own.n, 0)) * m.m) / (coalesce(tot.n, 0) - coalesce(own.n, 0) + 1) AS wt
+    FROM mean_ m CROSS JOIN grid LEFT JOIN tot ON tot.rep = m.rep AND tot.f = grid.f AND tot.b = grid.b
+    LEFT JOIN own ON own.rep = m.rep AND own.fold = m.fold AND own.f = grid.f AND own.b = grid.b),
+  scored AS MATERIALIZED (SELECT rep, w.fold AS mf, w.fold = l.fold AS held, l.row_id, any_value(z.y) AS y, any_value(prior) + sum(wt) AS s
+    FROM long_ l JOIN sz z ON z.row_id = l.row_id JOIN w ON w.f = l.f AND w.b = l.b AND (w.fold = l.fold OR size_index <= w.rep)
+    GROUP BY rep, w.fold, l.fold, l.row_id),
+  line AS (SELECT rep, mf, regr_slope(y, s) FILTER (NOT held) AS slope, regr_intercept(y, s) FILTER (NOT held) AS icept FROM scored GROUP BY ALL),
+  r2 AS (SELECT rep, mf, held, 1 - sum((y - icept - slope * s) ** 2) / (var_pop(y) * count(*)) AS value FROM scored JOIN line USING (rep, mf) GROUP BY ALL),
+  ntr AS (SELECT rep, avg(n_train) AS n_train FROM mean_ GROUP BY rep),
+  curve AS (SELECT {_list([str(s) + '::DOUBLE' for s in forensics.SIZES])}[rep + 1] AS size, n_train,
+      avg(value) FILTER (NOT held) AS score_train, avg(value) FILTER (held) AS score_valid
+    FROM r2 JOIN ntr USING (rep) GROUP BY rep, n_train)"""
+
+
+@query("learning_curve_reg", ("number_target",), f"WITH {CURVE_REG} SELECT * FROM curve", ("size", "n_train", "score_train", "score_valid"))
 def learning_curve_reg(spark, sf):
     return regression.learning_curve(regression.prepare_regression(v.number_target(spark, sf), "y", ["x1", "x2"]))
 
@@ -582,11 +612,36 @@ def paired_gain_reg(spark, sf):
     return combos.paired_gain(regression.fold_gains(prep, ["x1"], {"x2": ["x2"], "diff": ["x3"]}))
 
 
-@query("feature_signal_reg", ("number_target",),
-       f"""WITH edges AS (SELECT list_sort(list_distinct(quantile_cont(y, [{", ".join(f"{i}/10.0::DOUBLE" for i in range(1, 10))}]))) AS e FROM number_target),
+_FEATURE_SIGNAL_REG = f"""WITH edges AS (SELECT list_sort(list_distinct(quantile_cont(y, [{", ".join(f"{i}/10.0::DOUBLE" for i in range(1, 10))}]))) AS e FROM number_target),
           nt AS (SELECT row_id, x1, x2, len([q FOR q IN e IF q < y]) AS y FROM number_target, edges), {long_sql('nt', ('x1', 'x2'))}, {MI}
-          SELECT feature, mutual_info, row_number() OVER (ORDER BY mutual_info DESC, feature) AS rank, mutual_info > 0.01 AS informative FROM mi""",
-       ("mutual_info",))
+          SELECT feature, mutual_info, row_number() OVER (ORDER BY mutual_info DESC, feature) AS rank, mutual_info > 0.01 AS informative FROM mi"""
+
+
+@query("feature_signal_reg", ("number_target",), _FEATURE_SIGNAL_REG, ("mutual_info",))
 def feature_signal_reg(spark, sf):
     binned = regression.target_classes(v.number_target(spark, sf), "y")
     return forensics.feature_signal(learners.prepare(binned, "target_bin", ["x1", "x2"]))
+
+
+_TREND_REG = TREND.replace(CURVE, CURVE_REG)
+_CONFLICT_REG = """SELECT *, within_std / overall_std AS relative FROM (
+  SELECT sum(size)::BIGINT AS n, coalesce(sum(size) FILTER (size > 1), 0) / sum(size) AS duplicate_fraction, avg(sd) FILTER (size > 1) AS within_std,
+    (SELECT stddev_pop(y) FROM number_target) AS overall_std
+  FROM (SELECT count(*) AS size, stddev_pop(y) AS sd FROM number_target GROUP BY x1, x2))"""
+_VERDICT_REG = f"""SELECT CASE WHEN NOT sig THEN 'no_signal' WHEN NOT flat THEN 'more_data_needed' ELSE 'model_limited' END AS verdict,
+    CASE WHEN NOT sig AND sc = 'high' THEN 'high' ELSE 'medium' END AS confidence,
+    CASE WHEN NOT sig THEN 'no_signal' WHEN flat THEN 'curve_flat' ELSE 'curve_moving' END AS findings,
+    CASE WHEN NOT sig THEN 'change_features_or_verify_labels' WHEN flat THEN 'invest_in_features_or_labels' ELSE 'collect_more_data' END AS recommendations
+  FROM (SELECT s.has_signal AS sig, s.confidence AS sc, t.plateaued AS flat FROM ({SIGNAL_REG}) s, ({_TREND_REG}) t)"""
+
+
+@query("forensics_summary_reg", ("number_target",), " UNION ALL ".join(f"({x})" for x in (
+    items_sql("'signal_check'", SIGNAL_REG, _SIGNAL, ("has_signal", "confidence")),
+    items_sql("'conflict_rate'", _CONFLICT_REG, ("duplicate_fraction", "within_std", "overall_std", "relative"), ("n",)),
+    items_sql("'learning_curve'", _TREND_REG, ("last_gain", "total_gain"), ("plateaued", "rising")),
+    items_sql("'feature_signal'", f"SELECT * FROM ({_FEATURE_SIGNAL_REG}) WHERE rank = 1", ("mutual_info",), ("feature",)),
+    items_sql("'verdict'", _VERDICT_REG, (), ("verdict", "confidence", "findings", "recommendations")),
+    items_sql("'input'", "SELECT count(*) AS n_rows, 2 AS n_features, '' AS dropped, 'r2' AS scoring FROM number_target", (),
+              ("n_rows", "n_features", "dropped", "scoring")))))
+def forensics_summary_reg(spark, sf):
+    return reports.run_forensics(v.number_target(spark, sf), "y", ["x1", "x2"], "regression")
