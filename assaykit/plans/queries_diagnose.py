@@ -250,24 +250,28 @@ _POINTS_SQL = ", ".join(
     + [f"round(min(fpr) FILTER (tpr >= {x}), 3) AS overkill_for_{round(x * 100)}pct_recall" for x in d.RECALL_LEVELS])
 
 
-@query("run_diagnosis", ("preds_slice", "feat"), _report_sql(
-    "preds_slice", "(y_true <> y_pred)::INT", "error rate", "roc_auc", "auc", "false", [
-        items_sql("'confusion'", "SELECT y_true, y_pred, count(*) AS n FROM preds_slice WHERE y_true <> y_pred GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1",
+#: Items of a run with two labels and probabilities.
+LABEL_ITEMS = [
+    items_sql("'confusion'", "SELECT y_true, y_pred, count(*) AS n FROM preds_slice WHERE y_true <> y_pred GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1",
                   (), ("y_true", "y_pred", "n")),
-        items_sql("'class_balance'", """SELECT n_classes, r AS imbalance_ratio,
+    items_sql("'class_balance'", """SELECT n_classes, r AS imbalance_ratio,
               CASE WHEN r < 2 THEN 'balanced' WHEN r < 10 THEN 'imbalanced' ELSE 'severely imbalanced' END AS level
             FROM (SELECT count(*) AS n_classes, max(n)::DOUBLE / min(n) AS r FROM (SELECT count(*) AS n FROM preds_slice GROUP BY y_true))""",
                   ("imbalance_ratio",), ("n_classes", "level")),
-        items_sql("'missed_positives'", """SELECT count(*) FILTER (y_pred <> 1) AS n_missed, count(*) FILTER (y_pred = 1) AS n_caught
+    items_sql("'missed_positives'", """SELECT count(*) FILTER (y_pred <> 1) AS n_missed, count(*) FILTER (y_pred = 1) AS n_caught
             FROM preds_slice WHERE y_true = 1""", (), ("n_missed", "n_caught")),
-        items_sql("'calibration'", """SELECT e AS ece, CASE WHEN e < 0.05 THEN 'well calibrated' WHEN e < 0.15 THEN 'moderately miscalibrated'
+    items_sql("'calibration'", """SELECT e AS ece, CASE WHEN e < 0.05 THEN 'well calibrated' WHEN e < 0.15 THEN 'moderately miscalibrated'
               ELSE 'badly miscalibrated' END AS quality
             FROM (SELECT sum(abs(o - c) * n) / sum(n) AS e FROM (SELECT avg(y_true) AS o, avg(proba_1) AS c, count(*) AS n
               FROM preds_slice GROUP BY least(floor(proba_1 * 10), 9)))""", ("ece",), ("quality",)),
-        items_sql("'scores'", """SELECT least(count(DISTINCT proba_1), 3) AS n_distinct, count(DISTINCT proba_1) < 3 AS degenerate FROM preds_slice""",
+    items_sql("'scores'", """SELECT least(count(DISTINCT proba_1), 3) AS n_distinct, count(DISTINCT proba_1) < 3 AS degenerate FROM preds_slice""",
                   (), ("n_distinct", "degenerate")),
-        items_sql("'operating_curve'", f"SELECT {_POINTS_SQL} FROM ({_ROC})", reports.POINTS),
-    ]))
+    items_sql("'operating_curve'", f"SELECT {_POINTS_SQL} FROM ({_ROC})", reports.POINTS),
+]
+
+
+@query("run_diagnosis", ("preds_slice", "feat"), _report_sql(
+    "preds_slice", "(y_true <> y_pred)::INT", "error rate", "roc_auc", "auc", "false", LABEL_ITEMS))
 def run_diagnosis(spark, sf):
     """Two labels with probabilities, in the goal's metric under its other name."""
     return reports.run_diagnosis(v.preds_slice(spark, sf), v.feat(spark, sf), "target", v.FEATURES, "classification", "roc_auc")

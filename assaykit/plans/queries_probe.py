@@ -12,8 +12,8 @@ from ..operators.resample import noise_floor
 from ..session import cut_lineage
 from . import views as v
 from .catalog import query
-from .queries_diagnose import items_sql
-from .queries_resample import ring_sql, strat_sql
+from .queries_diagnose import LABEL_ITEMS, SLICES_SQL, items_sql
+from .queries_resample import floor_sql, ring_sql, strat_sql
 
 # --- oracle side of the additive learner ----------------------------------------------------------
 
@@ -279,17 +279,19 @@ NO_CONFLICT = """SELECT sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (c > 1), 0)
   FROM (SELECT sum(n) AS c, max(n) AS m FROM (SELECT x1, x2, y, count(*) AS n FROM noisy GROUP BY ALL) GROUP BY x1, x2)"""
 
 
-@query("verdict", ("noisy",),
-       f"""WITH a AS (SELECT s.has_signal AS sig, s.confidence AS sc, n.noise_rate >= 0.08 AS nz, t.plateaued AS flat, c.error_lower_bound > 0.01 AS cf
-            FROM (WITH {signal_sql("noisy")}) s, ({NOISE}) n, ({NO_CONFLICT}) c, ({TREND}) t)
-          SELECT CASE WHEN NOT sig THEN 'no_signal' WHEN nz OR (flat AND cf) THEN 'data_limited' WHEN NOT flat THEN 'more_data_needed' ELSE 'model_limited' END AS verdict,
-            CASE WHEN (NOT sig AND sc = 'high') OR (sig AND nz AND flat) THEN 'high' ELSE 'medium' END AS confidence,
-            concat_ws(',', CASE WHEN NOT sig THEN 'no_signal' END, CASE WHEN sig AND nz THEN 'label_noise' END,
-              CASE WHEN sig AND cf THEN 'conflicting_duplicates' END, CASE WHEN sig AND flat THEN 'curve_flat' WHEN sig THEN 'curve_moving' END) AS findings,
-            concat_ws(',', CASE WHEN NOT sig THEN 'change_features_or_verify_labels' END, CASE WHEN sig AND nz THEN 'review_suspect_labels' END,
-              CASE WHEN sig AND cf THEN 'collect_distinguishing_features' END,
-              CASE WHEN sig AND flat THEN 'invest_in_features_or_labels' WHEN sig THEN 'collect_more_data' END) AS recommendations
-          FROM a""")
+VERDICT = f"""WITH a AS (SELECT s.has_signal AS sig, s.confidence AS sc, n.noise_rate >= 0.08 AS nz, t.plateaued AS flat, c.error_lower_bound > 0.01 AS cf
+    FROM (WITH {signal_sql("noisy")}) s, ({NOISE}) n, ({NO_CONFLICT}) c, ({TREND}) t)
+  SELECT CASE WHEN NOT sig THEN 'no_signal' WHEN nz OR (flat AND cf) THEN 'data_limited' WHEN NOT flat THEN 'more_data_needed' ELSE 'model_limited' END AS verdict,
+    CASE WHEN (NOT sig AND sc = 'high') OR (sig AND nz AND flat) THEN 'high' ELSE 'medium' END AS confidence,
+    concat_ws(',', CASE WHEN NOT sig THEN 'no_signal' END, CASE WHEN sig AND nz THEN 'label_noise' END,
+      CASE WHEN sig AND cf THEN 'conflicting_duplicates' END, CASE WHEN sig AND flat THEN 'curve_flat' WHEN sig THEN 'curve_moving' END) AS findings,
+    concat_ws(',', CASE WHEN NOT sig THEN 'change_features_or_verify_labels' END, CASE WHEN sig AND nz THEN 'review_suspect_labels' END,
+      CASE WHEN sig AND cf THEN 'collect_distinguishing_features' END,
+      CASE WHEN sig AND flat THEN 'invest_in_features_or_labels' WHEN sig THEN 'collect_more_data' END) AS recommendations
+  FROM a"""
+
+
+@query("verdict", ("noisy",), VERDICT)
 def verdict(spark, sf):
     prep = _noisy(spark, sf)
     flagged = forensics.flag_issues(learners.out_of_fold(prep), 2)
@@ -299,7 +301,18 @@ def verdict(spark, sf):
         forensics.curve_verdict(forensics.learning_curve(prep)))
 
 
-@query("forensics_summary", ("noisy",))
+_TOP_SIGNAL = f"WITH {NOISY}, {MI} SELECT feature, mutual_info FROM mi ORDER BY mutual_info DESC, feature LIMIT 1"
+
+
+@query("forensics_summary", ("noisy",), " UNION ALL ".join(f"({x})" for x in (
+    items_sql("'signal_check'", "WITH " + signal_sql("noisy"), _SIGNAL, ("has_signal", "confidence")),
+    items_sql("'label_noise'", NOISE, ("noise_rate",), ("n", "n_flagged", "confidence")),
+    items_sql("'conflict_rate'", NO_CONFLICT, ("duplicate_fraction", "error_lower_bound"), ("n",)),
+    items_sql("'learning_curve'", TREND, ("last_gain", "total_gain"), ("plateaued", "rising")),
+    items_sql("'feature_signal'", _TOP_SIGNAL, ("mutual_info",), ("feature",)),
+    items_sql("'leakage'", f"SELECT * FROM ({leakage_sql(NOISY)}) ORDER BY single_feature_auc DESC, feature LIMIT 1",
+              ("single_feature_auc",), ("feature", "leakage")),
+    items_sql("'verdict'", VERDICT, (), ("verdict", "confidence", "findings", "recommendations")))))
 def forensics_summary(spark, sf):
     return forensics.forensics_table(_noisy(spark, sf), v.noisy(spark, sf), ["x1", "x2"], "y")
 
@@ -332,7 +345,15 @@ def missed_attribution(spark, sf):
     return learners.contributions(_feat(spark, sf), missed)
 
 
-@query("diagnose_summary", ("preds_slice", "feat"))
+_WORST = f"SELECT feature, bucket, n, error, lift FROM ({SLICES_SQL}) ORDER BY lift DESC, n DESC, feature, bucket LIMIT 1"
+
+
+@query("diagnose_summary", ("preds_slice", "feat", "meanings"), " UNION ALL ".join(f"({x})" for x in (
+    items_sql("'overall'", "SELECT count(*) AS n, avg((y_true <> y_pred)::INT) AS error FROM preds_slice JOIN feat USING (row_id)", ("error",), ("n",)),
+    items_sql("'worst_slice'", _WORST, ("error", "lift"), ("feature", "bucket", "n")),
+    items_sql("'noise_floor'", floor_sql("accuracy", 200).replace("FROM preds_cls", "FROM preds_slice"),
+              ("mean", "std", "ci_low", "ci_high", "min_significant_delta"), ("metric", "n_boot")),
+    *[x for x in LABEL_ITEMS if "'scores'" not in x])))
 def diagnose_summary(spark, sf):
     preds = v.preds_slice(spark, sf)
     rows = d.row_error(align.join_features(preds, v.feat(spark, sf), "target"))

@@ -55,3 +55,27 @@ def test_an_empty_table_has_no_floor(spark):
     preds, data = tables(spark, 2)
     report = as_dict(reports.run_diagnosis(preds.limit(0), data, "target", ["part"], "classification", "accuracy"))
     assert report["overall", "n"] == "0" and report["noise_floor", "status"] == "too_few_valid_resamples"
+
+
+def test_forensics_of_numbers_and_labels(spark):
+    ids = spark.range(900).withColumnRenamed("id", "row_id")
+    data = ids.withColumn("x", (F.col("row_id") * 37 % 101) / 101.0).withColumn("same", F.lit(3.0)).withColumn(
+        "name", F.concat(F.lit("n"), F.col("row_id").cast("string"))).withColumn("z", (F.col("row_id") * 53 % 97) / 97.0)
+    numbers = data.withColumn("y", 3 * F.col("x") + 1000.0)
+    report = as_dict(reports.run_forensics(numbers, "y", ["x", "z", "name"], "regression", quick=True))
+    assert report["signal_check", "has_signal"] == "true" and report["input", "scoring"] == "r2"
+    assert report["feature_signal", "feature"] == "x" and report["input", "n_rows"] == "900"
+    assert report["input", "dropped"] == "name" and not {i for i, _ in report} & {"label_noise", "leakage"}
+    assert report["verdict", "verdict"] in ("model_limited", "more_data_needed")
+    labels = data.withColumn("y", (F.col("x") > 0.5).cast("int"))
+    report = as_dict(reports.run_forensics(labels, "y", ["x", "z", "name"], "classification", quick=True))
+    assert report["leakage", "leakage"] == "true" and report["label_suspects", "n_listed"] is not None
+    assert report["input", "scoring"] == "roc_auc" and report["input", "dropped"] == "name"
+
+
+def test_forensics_with_reference_models(spark):
+    ids = spark.range(300).withColumnRenamed("id", "row_id")
+    labels = ids.withColumn("x", (F.col("row_id") * 37 % 101) / 101.0).withColumn("y", (F.col("x") > 0.5).cast("int"))
+    report = as_dict(reports.run_forensics(labels, "y", ["x"], "classification", quick=True, reference=True))
+    models_ = {i for i, _ in report if i.startswith("reference_")}
+    assert len(models_) >= 3
