@@ -19,7 +19,7 @@ from .featurize import impute_median
 from .forensics import _outcome, mutual_information
 from .learners import (
     Prepared, cell_counts, counts_array, grouped_score, importance, log_odds, logit, models_frame, prepare,
-    with_models,
+    WRITTEN_OUT, with_models,
 )
 
 MIN_GAIN = 0.005
@@ -76,6 +76,13 @@ def arithmetic_combos(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
     return df.withColumns(added), combos
 
 
+def _add_weights(total: Column, weights: Column, at: Sequence[int]) -> Column:
+    """``total`` plus the weights of the cells at positions ``at``; many are folded over, not written out."""
+    if len(at) > WRITTEN_OUT:
+        return F.aggregate(F.array(*[F.lit(i) for i in at]), total, lambda acc, i: acc + F.get(weights, F.get("cells", i)))
+    return sum((F.get(weights, F.get("cells", F.lit(i))) for i in at), total)
+
+
 def fold_gains(prep: Prepared, base: Sequence[str], sets: dict[str, Sequence[str]]) -> DataFrame:
     """(candidate, fold, value, base): fold scores of the base features plus each candidate set."""
     names = list(prep.binner.names)
@@ -91,10 +98,8 @@ def fold_gains(prep: Prepared, base: Sequence[str], sets: dict[str, Sequence[str
     def entry(name: str, extra: Sequence[str]) -> Column:
         logits = []
         for c in range(width):
-            total = F.col("_base").getItem(c)
-            for e in extra:
-                if e in position:
-                    total = total + F.get(F.col("w").getItem(c), F.col("cells").getItem(position[e]))
+            at = [position[e] for e in extra if e in position]
+            total = _add_weights(F.col("_base").getItem(c), F.col("w").getItem(c), at)
             logits.append(total)
         return F.struct(F.lit(name).alias("candidate"), *_outcome(logits, F.col("y")))
 

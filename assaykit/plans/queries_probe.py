@@ -438,31 +438,33 @@ _NAMES = _list([f"'{n}'" for n in COMBO_SQL])
 _NAME = f"{_NAMES}[substr(feature, 2)::INT + 1]"
 _BEST = f"""best AS MATERIALIZED (SELECT feature AS f, {_NAME} AS candidate, mutual_info FROM mi WHERE feature LIKE 'c%'
     ORDER BY round(mutual_info, 9) DESC, candidate LIMIT {combos.TOP_COMBOS})"""
-_AUG = long_sql(_WIDE, (*XS, "c0", "c1", "c2"))
-#: Combinations whose gains are priced: those of the first two columns.
-_PRICED = list(COMBO_SQL)[:3]
-_SETS = {"combined": "'c0', 'c1', 'c2'", **{n: f"'c{i}'" for i, n in enumerate(_PRICED)}}
-GAINS = f"""{_AUG}, {PLAIN}, {WEIGHTS},
+_AUG = long_sql(_WIDE, (*XS, *_CS))
+# priced are all combinations together and the most informative ones by themselves
+GAINS = f"""{_AUG}, {MI}, {_BEST}, {PLAIN}, {WEIGHTS},
   cell AS MATERIALIZED (SELECT row_id, l.fold, y, l.f, wt, prior FROM long_ l JOIN w ON w.fold = l.fold AND w.f = l.f AND w.b = l.b),
-  scored AS ({" UNION ALL ".join(
-      f"SELECT '{n}' AS candidate, fold, any_value(y) AS y, {PROBA} AS p FROM cell WHERE f LIKE 'x%' OR f IN ({s}) GROUP BY row_id, fold"
-      for n, s in {'': "'none'", **_SETS}.items())}),
+  sets AS (SELECT candidate, f FROM best UNION ALL SELECT 'combined', unnest({_list([f"'{c}'" for c in _CS])})),
+  plain_ AS (SELECT row_id, fold, any_value(y) AS y, any_value(prior) + sum(wt) AS s FROM cell WHERE f LIKE 'x%' GROUP BY row_id, fold),
+  more AS (SELECT candidate, row_id, sum(wt) AS e FROM sets JOIN cell USING (f) GROUP BY candidate, row_id
+    UNION ALL SELECT '', row_id, 0 FROM plain_),
+  scored AS (SELECT candidate, fold, y, round(1 / (1 + exp(-(s + e))), 4) AS p FROM plain_ JOIN more USING (row_id)),
   folded AS ({auc_sql('scored', 'candidate, fold')}),
   diffs AS (SELECT c.candidate, c.value - b.value AS diff FROM folded c JOIN folded b ON b.fold = c.fold AND b.candidate = '' WHERE c.candidate <> ''),
   gains AS (SELECT candidate, avg(diff) AS gain, stddev_samp(diff) / sqrt(count(*)) AS sem,
     avg(diff) > greatest(3 * stddev_samp(diff) / sqrt(count(*)), 0.005) AS significant FROM diffs GROUP BY candidate)"""
 
 
-def _gains(spark, sf) -> DataFrame:
-    wide, made = combos.arithmetic_combos(v.ratio(spark, sf), ["x1", "x2"])
+def _gains(spark, sf) -> tuple[DataFrame, int]:
+    wide, made = combos.arithmetic_combos(v.ratio(spark, sf), XS)
     names = [c.name for c in made]
     prep = learners.prepare(wide, "y", [*XS, *names])
-    return combos.paired_gain(combos.fold_gains(prep, XS, {"combined": names, **{n: [n] for n in names}}))
+    best = combos.best_combos(combos.information(prep), names)
+    gains = combos.fold_gains(prep, XS, {"combined": names, **{n: [n] for n in best}})
+    return combos.paired_gain(gains), len(names)
 
 
 @query("paired_gain", ("ratio",), f"WITH {GAINS} SELECT * FROM gains", ("gain", "sem"))
 def paired_gain(spark, sf):
-    return _gains(spark, sf)
+    return _gains(spark, sf)[0]
 
 
 @query("combo_candidates", ("ratio",), f"WITH {long_sql(_WIDE, _CS)}, {MI}, {_BEST} SELECT candidate, mutual_info FROM best", ("mutual_info",))
@@ -476,10 +478,10 @@ def combo_candidates(spark, sf):
 @query("fe_verdict", ("ratio",),
        f"""WITH {GAINS}, top AS (SELECT arg_max(candidate, row(significant, gain, candidate)) AS c, arg_max(gain, row(significant, gain, candidate)) AS g,
             bool_or(significant) AS s FROM gains)
-          SELECT CASE WHEN s THEN 'fe_worth_testing' ELSE 'fe_unlikely_to_help' END AS verdict, c AS best_candidate, g AS best_gain, 3::BIGINT AS n_swept FROM top""",
+          SELECT CASE WHEN s THEN 'fe_worth_testing' ELSE 'fe_unlikely_to_help' END AS verdict, c AS best_candidate, g AS best_gain, {len(COMBO_SQL)}::BIGINT AS n_swept FROM top""",
        ("best_gain",))
 def fe_verdict(spark, sf):
-    return combos.fe_verdict(_gains(spark, sf), 3)
+    return combos.fe_verdict(*_gains(spark, sf))
 
 
 
