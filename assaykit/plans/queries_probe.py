@@ -628,7 +628,31 @@ def learning_curve_reg(spark, sf):
     return regression.learning_curve(regression.prepare_regression(v.number_target(spark, sf), "y", ["x1", "x2"]))
 
 
-@query("paired_gain_reg")
+_REG3 = ("x1", "x2", "x3")
+GAINS_REG = f"""wide_ AS (SELECT *, x1 - x2 AS x3, floor({v.u_sql('row_id', 'fold0')} * 5)::BIGINT AS fold FROM number_target),
+  edges_ AS (SELECT {", ".join(f"list_sort(list_distinct(quantile_cont({c}, [{PROBES}]))) AS e_{c}" for c in _REG3)} FROM wide_),
+  long_ AS MATERIALIZED ({" UNION ALL ".join(
+      f"SELECT row_id, fold, y, '{c}' AS f, len([e FOR e IN e_{c} IF e < {c}]) AS b FROM wide_, edges_" for c in _REG3)}),
+  fs AS (SELECT DISTINCT fold FROM wide_),
+  own AS (SELECT fold, f, b, count(*) AS n, sum(y) AS s FROM long_ GROUP BY ALL),
+  tot AS (SELECT f, b, sum(n) AS n, sum(s) AS s FROM own GROUP BY ALL),
+  mean_ AS (SELECT fs.fold, avg(y) FILTER (wide_.fold <> fs.fold) AS m FROM wide_, fs GROUP BY ALL),
+  w AS MATERIALIZED (SELECT m.fold, tot.f, tot.b, m.m AS prior,
+      (tot.s - coalesce(own.s, 0) - (tot.n - coalesce(own.n, 0)) * m.m) / (tot.n - coalesce(own.n, 0) + 1) AS wt
+    FROM mean_ m CROSS JOIN tot LEFT JOIN own ON own.fold = m.fold AND own.f = tot.f AND own.b = tot.b),
+  sets AS (SELECT unnest(['', 'x2', 'x2', 'diff', 'diff']) AS candidate, unnest(['x1', 'x1', 'x2', 'x1', 'x3']) AS f),
+  scored AS MATERIALIZED (SELECT candidate, l.fold, row_id, any_value(y) AS y, any_value(prior) + sum(wt) AS s
+    FROM long_ l JOIN sets USING (f) JOIN w ON w.fold = l.fold AND w.f = l.f AND w.b = l.b GROUP BY candidate, l.fold, row_id),
+  line AS (SELECT candidate, fs.fold, regr_slope(y, s) FILTER (a.fold <> fs.fold) AS slope, regr_intercept(y, s) FILTER (a.fold <> fs.fold) AS icept
+    FROM scored a, fs GROUP BY ALL),
+  folded AS (SELECT candidate, fold, 1 - sum((y - icept - slope * s) ** 2) / (var_pop(y) * count(*)) AS value
+    FROM scored JOIN line USING (candidate, fold) GROUP BY ALL),
+  diffs AS (SELECT c.candidate, c.value - b.value AS diff FROM folded c JOIN folded b ON b.fold = c.fold AND b.candidate = '' WHERE c.candidate <> '')"""
+
+
+@query("paired_gain_reg", ("number_target",),
+       f"""WITH {GAINS_REG} SELECT candidate, avg(diff) AS gain, stddev_samp(diff) / sqrt(count(*)) AS sem,
+            avg(diff) > greatest(3 * stddev_samp(diff) / sqrt(count(*)), 0.005) AS significant FROM diffs GROUP BY candidate""", ("gain", "sem"))
 def paired_gain_reg(spark, sf):
     data = v.number_target(spark, sf).withColumn("x3", F.col("x1") - F.col("x2"))
     prep = regression.prepare_regression(data, "y", ["x1", "x2", "x3"])
