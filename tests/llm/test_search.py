@@ -177,3 +177,16 @@ def test_partitions_with_gaps_are_packed_again(spark):
 
 def test_nothing_to_pack(documents):
     assert packing.pack(documents([]), vocabulary()).collect() == []
+
+
+def test_ids_of_odd_chunks_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(vocabulary()), packing.WordEncoder(vocabulary())
+    random = np.random.default_rng(3)
+    signs = [*"aBéÉßª²İıŉ'.,日дДΣς05  \n\t !ʼﬁKǅĳ-#$_", "̇", "́", "'s", "'re", "\r", "\x00"]
+    texts = ["".join(random.choice(signs, random.integers(60))) for _ in range(20_000)]
+    texts += ["word$$$ Word!!, x.** été### (a) b_ _c", "", " "]
+    got = [np.frombuffer(ids, np.uint32).tolist() for ids in encode(texts)]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert list(encode([])) == []
