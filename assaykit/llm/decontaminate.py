@@ -154,10 +154,21 @@ def _automaton(token: str, items: list[tuple[str, str]], window: int) -> Automat
 
 
 SCAN = "struct<n_words:bigint,longest:bigint,spans:array<struct<a:bigint,b:bigint>>,items:array<string>>"
+SCAN_AND_CUT = SCAN[:-1] + ",text:string>"
 
 
-def _scanner(token: str, shared, window: int):
-    @F.arrow_udf(SCAN)
+def _scanner(token: str, shared, window: int, least: int | None = None):
+    """Scans of texts; with ``least`` given, the text without its spans of so many words is found in the
+    same pass, null where there is none to cut.
+
+    Called non-deterministic so that Spark scans each text once: a filter on a scan would otherwise be
+    pushed below it as a second scan, in a Python worker of its own.
+    """
+    fields = [
+        ("n_words", pa.int64()), ("longest", pa.int64()),
+        ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string())),
+    ]
+
     def scan(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         auto = _automaton(token, shared.value, window)
         for part in parts:
@@ -165,13 +176,14 @@ def _scanner(token: str, shared, window: int):
             for text in part.to_pylist():
                 ws = words(text) if text else []
                 spans, longest, names = auto.scan(ws)
-                out.append({"n_words": len(ws), "longest": longest, "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(names)})
-            yield pa.array(out, pa.struct([
-                ("n_words", pa.int64()), ("longest", pa.int64()),
-                ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string())),
-            ]))
+                row = {"n_words": len(ws), "longest": longest, "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(names)}
+                if least is not None:
+                    spans = [(a, b) for a, b in spans if b - a >= least]
+                    row["text"] = cut_spans(text, spans) if spans else None
+                out.append(row)
+            yield pa.array(out, pa.struct(fields if least is None else [*fields, ("text", pa.string())]))
 
-    return scan
+    return F.arrow_udf(scan, SCAN if least is None else SCAN_AND_CUT).asNondeterministic()
 
 
 def _union(left: list[dict], right: list[dict]) -> list[dict]:
@@ -196,9 +208,11 @@ def _merge(left, right):
     return merge(left, right)
 
 
-def mark(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mark(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, least: int | None = None) -> DataFrame:
     """``docs`` as struct column ``_whole_row`` with column ``scan``: n_words, longest, spans, items.
 
+    With ``least`` given there is a column ``new`` too, the text without its spans of at least so many words.
+
     ``items`` has item_id and text. Spans are half-open word ranges, sorted and disjoint. What is
     broadcast is bounded: at most ``block_words`` item words (or one longer item) at a time. With
     more item words the documents are streamed through one automaton after another, and the spans
@@ -213,13 +227,17 @@ def mark(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int =
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
         shared = spark.sparkContext.broadcast([(r["item_id"] or "", r["text"]) for r in part])
-        scan = _scanner(uuid.uuid4().hex, shared, window)
+        scan = _scanner(uuid.uuid4().hex, shared, window, least if n_blocks == 1 else None)
         if n_blocks == 1:
             rows = rows.withColumn("scan", scan(F.col(f"{ROW}.text")))
+            if least is not None:
+                rows = rows.withColumn("new", F.coalesce("scan.text", f"{ROW}.text"))
         else:
             rows = rows.withColumn("new", scan(F.col(f"{ROW}.text")))
             rows = rows.withColumn("scan", F.col("new") if block == 0 else _merge("scan", "new")).drop("new")
             rows = cut_lineage(rows)
+    if n_blocks > 1 and least is not None:
+        rows = rows.withColumn("new", _cut(F.col(f"{ROW}.text"), F.col("scan"), least))
     return rows
 
 
@@ -271,8 +289,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span:
     is set to the length of the new text.
     """
     hit = F.aggregate("scan.spans", F.lit(0).cast("bigint"), lambda s, x: s + x["b"] - x["a"])
-    rows = mark(docs, items, window).where(hit <= F.lit(max_coverage) * F.col("scan.n_words"))
-    rows = rows.withColumn("new", _cut(F.col(f"{ROW}.text"), F.col("scan"), max_span + 1))
+    rows = mark(docs, items, window, least=max_span + 1).where(hit <= F.lit(max_coverage) * F.col("scan.n_words"))
     types = dict(docs.dtypes)
 
     def column(name):

@@ -66,3 +66,19 @@ def test_cut_texts(spark, documents, prose):
     kept = {r["doc_id"]: r for r in out.collect()}
     assert set(kept) == {1, 2, 4, 5} and kept[2]["text"] == rows[1][1]
     assert kept[1]["text"] == f"{prose(2, 60)} {prose(3, 60)}" and kept[1]["n_chars"] == len(kept[1]["text"])
+
+
+def test_texts_are_scanned_and_cut_in_one_pass(spark, documents, prose):
+    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id bigint, text string")
+    out = dc.decontaminate(documents([(1, f"{prose(2, 60)} {prose(1, 30)}"), (2, None)]), bench)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_blocks_cut_the_same(spark, documents, prose, monkeypatch):
+    items = [(i, prose(900 + i, 14)) for i in range(12)]
+    rows = [(i, f"{prose(i, 20)} {items[i % 12][1]}. {prose(i + 50, 20)} {items[i % 5][1] if i % 3 else ''}") for i in range(30)] + [(50, None), (51, items[0][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {tuple(x) for x in dc.decontaminate(documents(rows), bench, max_coverage=0.8).collect()}
+    monkeypatch.setattr(dc.mark, "__defaults__", (10, 60, None))
+    assert {tuple(x) for x in dc.decontaminate(documents(rows), bench, max_coverage=0.8).collect()} == want and len(want) == 31
