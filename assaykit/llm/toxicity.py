@@ -326,8 +326,8 @@ class Reader:
     words stands for nothing depends on two letters on either side, so it is looked up, for all blanks
     of the texts together, in a table of all four letters. With ``weights`` given, joined words are
     first looked up by hashes of their beginnings and of themselves, for all of them together, and only
-    those that may have a weight are spelled out. What is remembered is dropped when it holds
-    ``CACHED`` tokens or twice as many words.
+    those that may have a weight are spelled out. Joined words seldom come again, so the next call drops
+    them. What else is remembered is dropped when it holds ``CACHED`` tokens or twice as many words.
     """
 
     def __init__(self, decoder: Decoder, weights: dict[str, float] | None = None):
@@ -354,12 +354,37 @@ class Reader:
         self.words: dict[str, int] = {}
         self.names: list[str] = []
         self.tail, self.head, self.word = (np.zeros(1 << 12, np.int32) for _ in range(3))
-        self.single, self.decoded = np.zeros(1 << 12, bool), {}
+        self.single, self.again, self.decoded = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool), {}
         # of words: hashes, lengths and weights, for as many as are settled
         self.hashes, self.size, self.value = np.zeros((1 << 12, 8), np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12)
-        self.settled = 0
+        self.settled = self.lasting = 0
         self.several: dict[int, list[int]] = {}
 
+    def _keep_met_again(self) -> None:
+        """Drops the tokens that no call since the last drop has met again, and the words of none but them;
+        all, if too many would stay."""
+        kept = np.flatnonzero(self.again[: len(self.index)])
+        number = dict(zip(kept.tolist(), range(len(kept)), strict=True))
+        word = self.word[kept]
+        several = {number[k]: words for k, words in self.several.items() if k in number}
+        words = np.unique(np.concatenate([word[word >= 0], np.array([w for own in several.values() for w in own], np.int32)]))
+        if len(kept) > CACHED // 2 or len(words) > CACHED:
+            self._forget()
+            return
+        self.index = {t: number[k] for t, k in self.index.items() if k in number}
+        self.special = {number[k]: form for k, form in self.special.items() if k in number}
+        for own in (self.tail, self.head, self.single):
+            own[: len(kept)] = own[kept]
+        self.again[:] = False
+        self.word[: len(kept)] = np.where(word >= 0, np.searchsorted(words, word), -1)
+        self.several = {k: np.searchsorted(words, own).tolist() for k, own in several.items()}
+        self.names = list(map(self.names.__getitem__, words.tolist()))
+        self.words = dict(zip(self.names, range(len(self.names)), strict=True))
+        for own in (self.hashes, self.size, self.value):
+            if self.weights is not None:
+                own[: len(words)] = own[words]
+        self.settled = self.lasting = len(words)
+
     def _ends(self, letters: str | None) -> int:
         if not letters:
             return _ALONE if letters is None else _NO_LETTER
@@ -372,15 +397,25 @@ class Reader:
             self.names.append(word)
         return number
 
+    def _make_room(self) -> None:
+        while len(self.value) < len(self.names):
+            self.hashes, self.size, self.value = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.size, self.value))
+
+    def _drop_joined(self) -> None:
+        """Forgets the joined words of the call before."""
+        for word in self.names[self.lasting :]:
+            del self.words[word]
+        del self.names[self.lasting :]
+
     def _settle(self) -> None:
         """Hashes and weights of words that are new."""
         new = self.names[self.settled :]
         if self.weights is None or not new:
             return
-        while len(self.value) < len(self.names):
-            self.hashes, self.size, self.value = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.size, self.value))
+        self._make_room()
         here = slice(self.settled, len(self.names))
         self.hashes[here], self.size[here] = h, _ = _hashes(new)
+        self.value[here] = 0
         likely = self.telling[1][_slot(h[:, 7])]
         for k in (4, 5, 6):
             likely |= self.telling[0][_slot(h[:, k])]
@@ -388,6 +423,12 @@ class Reader:
             self.value[self.settled + i] = weight(new[i], self.weights)
         self.settled = len(self.names)
 
+    def _weigh_joined(self) -> None:
+        if self.weights is not None:
+            self._make_room()
+            worth = self.worth
+            self.value[self.lasting : len(self.names)] = [worth[w] if w in worth else weight(w, self.weights) for w in self.names[self.lasting :]]
+
     def _learn(self, tokens: set[str]) -> None:
         """Decodes tokens that are new; those of one reading, all together."""
         if not tokens:
@@ -400,7 +441,9 @@ class Reader:
         self.index.update(zip([t for t, w in zip(tokens, words, strict=True) if w], range(begin, middle), strict=True))
         self.index.update(zip(others, range(middle, middle + len(others)), strict=True))
         while len(self.tail) < len(self.index):
-            self.tail, self.head, self.word, self.single = (np.concatenate([x, np.zeros_like(x)]) for x in (self.tail, self.head, self.word, self.single))
+            self.tail, self.head, self.word, self.single, self.again = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.tail, self.head, self.word, self.single, self.again)
+            )
         here = slice(begin, middle)
         new = set(plain).difference(self.words)
         self.words.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
@@ -438,15 +481,22 @@ class Reader:
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word) numbers of the distinct words of each text, in order of texts, and how many
         distinct words each text has as they stand. With weights, joined words without one are left out."""
-        if len(self.index) > CACHED or len(self.names) > 2 * CACHED or len(self.gaps) > CACHED // 4:
-            self._forget()
+        self._drop_joined()
+        if len(self.index) > CACHED or len(self.names) > 2 * CACHED:
+            self._keep_met_again()
+        if len(self.gaps) > CACHED // 4:
+            self.gaps.clear()
+        if len(self.decoded) > CACHED // 4:
+            self.decoded.clear()
         tokens, sizes = [], []
         for text in texts:
             own = text.lower().split()
             tokens += own
             sizes.append(len(own))
+        before = len(self.index)
         self._learn(set(tokens).difference(self.index))
         ids = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        self.again[:before] |= np.bincount(ids, minlength=before)[:before] > 0
         self._settle()
         text_of = np.repeat(np.arange(len(texts)), sizes)
         pairs = _distinct((text_of << 32) | ids)
@@ -460,8 +510,10 @@ class Reader:
             for i in np.flatnonzero(some[token]).tolist():
                 more += [int(at[i]) << 32 | w for w in self.several[int(token[i])]]
         standing = _distinct(np.concatenate([found, np.array(more, np.int64)]))
+        self.lasting = len(self.names)
+        self.worth: dict[str, float] = {}
         more = [int(text_of[k]) << 32 | self._word(w) for k, w in self._joined_words(tokens, ids, text_of)]
-        self._settle()
+        self._weigh_joined()
         pairs = _distinct(np.concatenate([standing, np.array(more, np.int64)])) if more else standing
         return pairs >> 32, pairs & 0xFFFFFFFF, np.bincount(standing >> 32, minlength=len(texts))
 
@@ -531,10 +583,15 @@ class Reader:
                 at[open_] += 1
                 open_ = open_[(have[open_] < k) & (at[open_] < end[open_])]
             likely |= self.telling[0][_slot(h)]
-        for a, b in zip(start[likely].tolist(), end[likely].tolist(), strict=True):
-            said = "".join([self.names[k] for k in word[a:b].tolist()])
-            if weight(said, self.weights):
-                yield int(base[a]) + a, said
+        names, worth = list(map(self.names.__getitem__, word.tolist())), self.worth
+        start, end = start[likely], end[likely]
+        for at, a, b in zip((base[start] + start).tolist(), start.tolist(), end.tolist(), strict=True):
+            said = "".join(names[a:b])
+            found = worth.get(said)
+            if found is None:
+                found = worth[said] = weight(said, self.weights)
+            if found:
+                yield at, said
 
     def _spelled(self, tokens: list[str], forms: list[tuple]) -> Iterator[str]:
         """Words of a run of single characters."""

@@ -149,3 +149,48 @@ def test_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [x["predicted"] for x in tx.report(docs, none).collect()] == [0, 0]
     assert tx.report(documents([]), none).collect() == []
+
+
+def _evidence(reader, block):
+    """Words of each text, with the weights a reader has settled for them."""
+    text_of, words, sizes = reader.read(block)
+    values = reader.value[words] if reader.weights is not None else np.zeros(len(words))
+    own = [{} for _ in block]
+    for t, w, v in zip(text_of.tolist(), words.tolist(), values.tolist(), strict=True):
+        assert reader.names[w] not in own[t]
+        own[t][reader.names[w]] = v
+    return own, sizes.tolist()
+
+
+@pytest.mark.parametrize("weighed", [False, True])
+def test_a_full_reader_keeps_what_comes_again_and_reads_the_same(model, monkeypatch, weighed):
+    r = random.Random(5)
+    weights = {"=idiot": 2.0, "moro": 3.0, "scumb": 1.5, "=the": 0.5, "worth": 2.5} if weighed else None
+
+    def word():
+        kind = r.randrange(6)
+        if kind == 0:
+            return disguise(r.choice(BAD), r)
+        if kind == 1:
+            return "".join(r.choice("aeiourstl13!(.") for _ in range(r.randrange(1, 9)))
+        return r.choice(BASE)
+
+    blocks = [[" ".join(word() for _ in range(60)) for _ in range(4)] + [" ".join(r.choice(BAD)) + " mo ron sc um bag", ""] for _ in range(60)]
+    monkeypatch.setattr(tx, "CACHED", 150)
+    one = tx.Reader(tx.Decoder(model.logp), weights)
+    learnt = []
+    learn = one._learn
+    monkeypatch.setattr(one, "_learn", lambda tokens: (learnt.append(set(tokens)), learn(tokens)))
+    for block in blocks:
+        assert _evidence(one, block) == _evidence(tx.Reader(tx.Decoder(model.logp), weights), block)
+    # words of every text are learnt again at most when too many others come again
+    assert sum("people" in tokens for tokens in learnt) <= len(blocks) // 10
+    assert len(one.index) <= 150 + 6 * 62
+
+
+def test_joined_words_are_not_kept(model):
+    reader = tx.Reader(tx.Decoder(model.logp), {"=idiot": 2.0})
+    own, _ = _evidence(reader, ["the i d i o t and id iot people"])
+    assert own[0]["idiot"] == 2.0
+    assert _evidence(reader, ["the people"])[0] == [{"the": 0.0, "people": 0.0}]
+    assert "idiot" not in reader.words and "idiot" not in reader.names
