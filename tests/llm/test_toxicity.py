@@ -194,3 +194,48 @@ def test_joined_words_are_not_kept(model):
     assert own[0]["idiot"] == 2.0
     assert _evidence(reader, ["the people"])[0] == [{"the": 0.0, "people": 0.0}]
     assert "idiot" not in reader.words and "idiot" not in reader.names
+
+
+def test_words_with_doubled_letters_are_decoded_together(model, monkeypatch):
+    """A token of letters, doubled or not, needs no lattice of its own, and reads as one does."""
+    r = random.Random(11)
+    tokens = {"".join(r.choice("aabbeellnooprsstéèßñ") for _ in range(r.randrange(1, 12))) for _ in range(4000)}
+    tokens = {r.choice(["", "", '"', "«", "["]) + t + r.choice(["", "", ".", "!", "),", "»"]) for t in tokens} | {"oo", "ee.", "a²²b", "²²", "aßß", "x́xx", "İİ".lower(), "(ll", "çç("}
+    decoder, asked = tx.Decoder(model.logp), []
+    form = tx._form
+    monkeypatch.setattr(tx, "_form", lambda token, *more: (asked.append(token), form(token, *more))[1])
+    reader = tx.Reader(decoder, {"=the": 1.0})
+    reader.read([" ".join(sorted(tokens))])
+    letters = [t for t in tokens if (bare := t.strip(tx._EDGES)).isalpha() and len(bare) > 1 and "(" not in t and not tx._THRICE.search(bare)]
+    assert len(letters) > 2000 and not set(letters) & set(asked)
+    assert any(tx._TWICE.search(t) and decoder.decode(t.strip(tx._EDGES)) != t.strip(tx._EDGES) for t in letters)
+    for t in tokens:
+        words, tail, head, more = form(t, decoder, {})
+        k = reader.index[t]
+        got = ([reader.names[reader.word[k]]] if reader.word[k] >= 0 else []) + [reader.names[w] for w in reader.several.get(k, [])]
+        assert got == [*words, *more]
+        if "²" not in t:
+            assert (reader.tail[k], reader.head[k]) == (reader._ends(tail), reader._ends(head))
+
+
+def test_joined_words_without_a_weight_are_not_numbered(model):
+    reader = tx.Reader(tx.Decoder(model.logp), {"=idiot": 2.0})
+    own, _ = _evidence(reader, ["the i d i o t m o r o n mo r on people"])
+    assert own[0]["idiot"] == 2.0 and not {"moron", "idiotmoron"} & set(reader.words)
+
+
+def test_features_of_lists_of_words_are_counted_together():
+    import pyarrow as pa
+
+    lists = [["idiot", "idiots", "the"], [], ["=abc", "ab", "ééééé"], ["abcd", "=abcd", "", "abcdefg"], ["the", "idiotic"]]
+    group = np.array([0, 1, 2, 2, 0])
+    found, n = tx._occurrences(pa.array(lists, pa.list_(pa.string())), group, 3)
+    want = {}
+    for g, own in zip(group.tolist(), lists, strict=True):
+        for f in {f for w in own for f in tx.features(w)}:
+            want.setdefault(f, [0, 0, 0])[g] += 1
+    assert dict(zip(found.to_pylist(), n.tolist(), strict=True)) == want
+    weights = {"=the": 1.0, "idio": 0.5, "=idiots": 2.0, "abcdef": 0.25, "ééééé": 3.0, "=": 4.0}
+    words = sorted({w for own in lists for w in own})
+    assert tx._weights_of(pa.array(words), weights).tolist() == [tx.weight(w, weights) for w in words]
+    assert tx._weights_of(pa.array(words), {}).tolist() == [0.0] * len(words)
