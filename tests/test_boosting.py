@@ -79,3 +79,43 @@ def test_failing_models_are_recorded(spark, monkeypatch):
     monkeypatch.setattr(models, "linear_learner", lambda *_: (_ for _ in ()).throw(NameError("a defect")))
     with pytest.raises(NameError):
         models.reference_band(df, ["0", "1"], 2, rounds=5)
+
+
+@pytest.mark.parametrize("n_classes", [2, 3, None])
+def test_trees_from_sums_are_those_of_all_rows(spark, n_classes):
+    rng = np.random.default_rng(6)
+    x, fold = rng.random((3000, 2)), rng.integers(0, 3, 3000)
+    x[:, 1] = np.round(x[:, 1], 1)
+    cell = (x[:, 0] > 0.5).astype(int) ^ (x[:, 1] > 0.45)
+    y = {2: cell, 3: cell + (x[:, 0] > 0.7) * cell, None: cell + np.round(rng.random(3000) * 4) / 4}[n_classes]
+    df = table(spark, x, y, fold)
+    plain, sums = (boosting.BoostedTrees(n_classes, rounds=6, at_once=n) for n in (10_000, 0))
+    trees = [{(r["fold"], r["round"], r["klass"]): r for r in t.train(df, 3).collect()} for t in (plain, sums)]
+    assert set(trees[0]) == set(trees[1]) and len(trees[0]) == 3 * (6 * (3 if n_classes == 3 else 1) + 1)
+    for at, tree in trees[0].items():
+        assert tree["feature"] == trees[1][at]["feature"]
+        assert np.allclose(tree["threshold"], trees[1][at]["threshold"], rtol=1e-12)
+        assert np.allclose(tree["value"], trees[1][at]["value"])
+
+
+def test_edges_of_folds_are_those_of_the_rows_outside(spark):
+    rng = np.random.default_rng(7)
+    x, fold = np.column_stack([rng.random(2500), rng.integers(0, 300, 2500) // 2, np.ones(2500)]), rng.integers(0, 3, 2500)
+    got = boosting.fold_edges(table(spark, x, fold, fold), 3)
+    for f in range(3):
+        for j in range(3):
+            assert np.allclose(got[f][j], boosting.bin_edges(x[fold != f, j]), rtol=1e-13, atol=0)
+    alone = boosting.fold_edges(table(spark, x[:50], fold[:50], np.zeros(50)), 3)
+    assert set(alone) == {1, 2} and len(alone[1]) == 3
+
+
+def test_all_rows_train_the_trees(spark):
+    """In the old way 20,000 rows of a larger table trained: trees then hold few of the rows of rare cells."""
+    n = boosting.AT_ONCE + 10_000
+    df = spark.range(n).selectExpr("id AS row_id", "CAST(id % 1501 = 0 AS bigint) AS y", "id % 2 AS fold", "array(CAST(id % 1501 = 0 AS double), 0D) AS x")
+    # a cell of min_rows rows outside the fold in the whole table only is told apart
+    outside = df.filter("y = 1").groupBy("fold").count().collect()
+    least = min(r["count"] for r in outside)
+    learner = boosting.BoostedTrees(2, rounds=1, min_rows=least)
+    roots = learner.train(df, 2).filter("round = 0").collect()
+    assert len(roots) == 2 and all(r["threshold"][0] == 0.5 for r in roots)
